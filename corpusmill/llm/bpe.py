@@ -4,8 +4,9 @@ A pair of adjacent bytes that occurs inside no vocabulary token can never be mer
 there and the pieces encoded on their own. Two kinds of forced pairs are also neutral to the pre-tokenizer's
 pattern, and only those are cut:
 
-* any byte that isn't ASCII white space, followed by ASCII white space (a pre-token never runs into white
-  space that follows it, and the pattern's only look-ahead is about what follows white space);
+* a byte that isn't ASCII white space, followed by ASCII white space (a pre-token never runs into white
+  space that follows it, and the pattern's only look-ahead is about what follows white space); bytes that some
+  token does have before white space are read from the vocabulary and not cut after;
 * two ASCII letters (the run of letters goes on in the second piece as a run of its own).
 
 Pieces repeat, so each distinct piece is encoded once and kept in a bounded memo; ids of a text are the
@@ -17,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 #: Fixed: the split pattern of byte-level BPE tokenizers of this family (public).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept in memory by one Python worker; when full, the memo starts anew (a bound on memory alone).
-MEMO_PIECES = 400_000
+MEMO_PIECES = 600_000
+#: Longer pieces aren't kept; pieces above SHORT are cut inside runs of letters as well.
+MEMO_BYTES, SHORT = 64, 24
 
 
 def default_path() -> str:
@@ -55,7 +60,6 @@ class Encoder:
             spec = json.load(f)
         letter = byte_letters()
         vocab = {bytes(letter[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
-        ordered = sorted(vocab.values())
         joined = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         made = [spec["model"]["vocab"][a + b] for a, b in joined]
         if made != sorted(made):
@@ -64,34 +68,40 @@ class Encoder:
             raise ValueError("only byte-level BPE without normalizer and prefix space is supported")
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of = {i: t for t, i in vocab.items()} | {i: s.encode() for s, i in self.added.items()}
-        self.bpe = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={}) if ordered else None
+        self.bpe = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={})
         inside = {t[i : i + 2] for t in vocab for i in range(len(t) - 1)}
         space = b" \t\n\r"
-        other = [b for b in range(256) if b not in space]
-        #: White space before which a cut is always forced, whatever non-space byte comes first.
-        self.cut_space = "".join(chr(s) for s in space if not any(bytes((b, s)) in inside for b in other))
-        cut, word = re.escape(self.cut_space), self.cut_space
-        self.pieces = re.compile(f"[{cut}]*[^{cut}]+|[{cut}]+").findall if word else (lambda text: [text])
+        #: Bytes that some token has before white space; after those, white space is no certain cut.
+        joined_to_space = bytes(b for b in range(256) if b not in space and any(bytes((b, x)) in inside for x in space))
+        tail = b"(?:(?<=[%s])[ \t\n\r]+[^ \t\n\r]*)*" % re.escape(joined_to_space) if joined_to_space else b""
+        #: Cuts UTF-8 text before white space.
+        self.pieces = re.compile(b"[ \t\n\r]*[^ \t\n\r]+%s|[ \t\n\r]+" % tail, re.DOTALL).findall
         letters = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
         #: Forced pairs of ASCII letters.
         self.cut_letters = {chr(a) + chr(b) for a in letters for b in letters if bytes((a, b)) not in inside}
         self.special = re.compile("|".join(sorted(map(re.escape, self.added), key=len, reverse=True))) if self.added else None
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.memo: dict[bytes, tuple[bytes, bytes]] = {}
 
-    def _new(self, piece: str) -> tuple[bytes, bytes]:
+    def _new(self, key: bytes) -> tuple[bytes, bytes]:
         """Ids (little-endian unsigned 32-bit) and decoded bytes of a piece not yet in the memo."""
-        ids: list[int] = []
-        start = 0
-        for i in range(1, len(piece)):
-            if piece[i - 1 : i + 1] in self.cut_letters:
-                ids += self.bpe.encode_ordinary(piece[start:i])
-                start = i
-        ids += self.bpe.encode_ordinary(piece[start:])
-        out = np.array(ids, "<u4").tobytes(), b"".join([self.bytes_of[i] for i in ids])
-        if len(self.memo) >= MEMO_PIECES:
-            self.memo.clear()
-        if len(piece) <= 64:
-            self.memo[piece] = out
+        piece = key.decode()
+        if len(piece) <= SHORT:
+            ids = self.bpe.encode_ordinary(piece)
+        else:  # long unbroken strings are cut at forced pairs of letters too
+            ids, start = [], 0
+            for i in range(1, len(piece)):
+                if piece[i - 1 : i + 1] in self.cut_letters:
+                    ids += self.bpe.encode_ordinary(piece[start:i])
+                    start = i
+            ids += self.bpe.encode_ordinary(piece[start:])
+        packed = array("I", ids)
+        if sys.byteorder != "little":
+            packed.byteswap()
+        out = packed.tobytes(), b"".join(map(self.bytes_of.__getitem__, ids))
+        if len(key) <= MEMO_BYTES:
+            if len(self.memo) >= MEMO_PIECES:
+                self.memo.clear()
+            self.memo[key] = out
         return out
 
     def _spans(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -113,7 +123,7 @@ class Encoder:
             if special:
                 got.append((np.array([self.added[part]], "<u4").tobytes(), part.encode()))
             else:
-                got += [look(p) or new(p) for p in self.pieces(part)]
+                got += [look(p) or new(p) for p in self.pieces(part.encode())]
         return b"".join([x[0] for x in got]), b"".join([x[1] for x in got])
 
     def encode(self, text: str) -> list[int]:
