@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bwt_dedup, html_extract, packing, quality_rules, ri_classifier, secret_index, simhash_golay, url_equiv
+from . import bpe, bwt_dedup, html_extract, packing, quality_rules, ri_classifier, secret_index, simhash_golay, url_equiv, vector_graph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.link_vectors(table(spark, sf_dir, "embeddings"))[0]
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op3_repeats, op4_simhash, op5_secrets, op6_quality, op7_packing, op8_bpe, op9_urls, op10_rules)}
+    return {f.__name__: f for f in (op1_html, op2_vectors, op3_repeats, op4_simhash, op5_secrets, op6_quality, op7_packing, op8_bpe, op9_urls, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
