@@ -122,7 +122,7 @@ def runs_of(text: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k: int
 
 # -- chunks ------------------------------------------------------------------
 
-CHUNK = "ids binary, ranks binary, offsets binary, runs binary, text binary"
+CHUNK = "ids binary, ranks binary, offsets binary, runs binary, text binary, extra binary"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     pack = zstandard.ZstdCompressor(level=1).compress
     held: list[tuple[int | None, bytes]] = []
-    size = 0
+    size, extra = 0, []
 
     def flush():
         text = np.frombuffer(b"".join(t for _, t in held), np.uint8)
@@ -140,16 +140,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = np.stack([np.diff(first, prepend=0), last - first, place - first]).astype("<i4")
         ranks = np.array([LAST if i is None else i for i, _ in held], "<i8")
         null = np.array([i is None for i, _ in held])
-        row = [null.tobytes(), ranks.tobytes(), offsets.tobytes(), pack(runs.tobytes()), pack(text.tobytes())]
+        row = [null.tobytes(), ranks.tobytes(), offsets.tobytes(), pack(runs.tobytes()), pack(text.tobytes()), pack("\n".join(extra).encode())]
         return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], [x.split()[0] for x in CHUNK.split(", ")])
 
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for i, t, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
             t = (t or "").encode("utf-8", "surrogatepass")
             if held and size + len(t) > CHUNK_BYTES:
                 yield flush()
-                held, size = [], 0
+                held, size, extra = [], 0, []
             held.append((i, t))
+            extra.append(x or "")
             size += len(t)
     if held:
         yield flush()
@@ -170,6 +171,13 @@ class Chunk:
         self.doc = np.searchsorted(self.offsets, self.first, "right") - 1
         self.sums = sums(self.text)
 
+        self.row = row
+
+    def extra(self) -> list[str]:
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress(self.row["extra"]).decode().split("\n")
+
     def anchors(self) -> np.ndarray:
         return hash_at(self.sums, self.place, self.place + K) if len(self.place) else np.zeros(0, np.uint64)
 
@@ -442,6 +450,8 @@ def covered(c: Chunk, buckets: int, row: dict) -> np.ndarray:
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: With texts: the remaining text, and the row's other columns as JSON.
+TEXT = DIGEST + ", text string, extra string"
 
 
 def _finish(buckets: int, with_text: bool):
@@ -450,16 +460,17 @@ def _finish(buckets: int, with_text: bool):
             for row in b.to_pylist():
                 c = Chunk(row)
                 gone = covered(c, buckets, row)
-                rows = []
+                rows, extra = [], c.extra()
                 for k, (s, e) in enumerate(zip(c.offsets[:-1].tolist(), c.offsets[1:].tolist(), strict=True)):
                     g = gone[s:e]
                     removed = int(g.sum())
                     kept = c.text[s:e][~g].tobytes() if removed else c.text[s:e].tobytes()
                     spans = int((np.diff(g.astype(np.int8), prepend=0) == 1).sum()) if removed else 0
-                    rows.append((None if c.null[k] else int(c.ranks[k]), e - s, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
+                    rows.append((None if c.null[k] else int(c.ranks[k]), e - s, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None, extra[k]))
                 cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)][: 6 if with_text else 5], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"][: 6 if with_text else 5])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+                names = [x.split()[0] for x in (TEXT if with_text else DIGEST).split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t, _ in zip(cols, kinds, names, strict=False)], names)
 
     return run
 
@@ -473,7 +484,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     one bounded by a chunk's; texts that repeat in a chunk leave it once, so a passage that a third of all documents
     hold is one row a chunk. With with_text, bytes of a character that is cut in two are left out of the text.
     """
-    chunks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_chunks, CHUNK)
+    others = [x for x in docs.columns if x not in ("doc_id", "text")] if with_text else []
+    extra = F.to_json(F.struct(*[F.col(f"`{x}`") for x in others])) if others else F.lit(None).cast("string")
+    chunks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), extra.alias("extra")).mapInArrow(_chunks, CHUNK)
     chunks = persisted(chunks.select("*", F.monotonically_increasing_id().alias("chunk")))
     total = chunks.agg(F.count("*"), F.sum(F.length("runs"))).first()
     buckets = max(64, round((total[1] or 0) * 2 / BUCKET_BYTES))
@@ -484,4 +497,22 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     texts = marked.mapInArrow(_emit_texts(buckets), TEXTS)
     least = persisted(texts.groupBy("bucket").applyInPandas(_least, LEAST))
     back = least.groupBy("chunk").agg(F.collect_list(F.struct("run", "at", "rank")).alias("b")).select("chunk", F.col("b.run").alias("run"), F.col("b.at").alias("at"), F.col("b.rank").alias("rank"))
-    return marked.join(back, "chunk", "left").mapInArrow(_finish(buckets, with_text), DIGEST + (", text string" if with_text else ""))
+    return marked.join(back, "chunk", "left").mapInArrow(_finish(buckets, with_text), TEXT if with_text else DIGEST)
+
+
+def strip_repeats(docs: DataFrame) -> DataFrame:
+    """docs, columns as they were, with the text that remove_repeats leaves (a null text becomes empty); n_chars, where there is one, follows. The other columns travel with their row, so nothing is joined by doc_id."""
+    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    out = remove_repeats(docs, with_text=True)
+    if others:
+        parsed = F.from_json("extra", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others))
+        out = out.withColumn("extra", parsed)
+    columns = []
+    for f in docs.schema.fields:
+        if f.name == "n_chars":
+            columns.append(F.length("text").cast(f.dataType).alias("n_chars"))
+        elif f.name in ("doc_id", "text"):
+            columns.append(F.col(f.name).cast(f.dataType))
+        else:
+            columns.append(F.col(f"extra.`{f.name}`").alias(f.name))
+    return out.select(*columns)

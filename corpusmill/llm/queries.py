@@ -53,8 +53,14 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_vectors, op3_repeats, op4_simhash, op5_secrets, op6_quality, op7_packing, op8_bpe, op9_urls, op10_rules)}
+    return {f.__name__: f for f in (op1_html, op2_vectors, op3_repeats, op4_simhash, op5_secrets, op6_quality, op7_packing, op8_bpe, op9_urls, op10_rules, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
