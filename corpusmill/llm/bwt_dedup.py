@@ -10,7 +10,8 @@ meet by content:
 2. Short fingerprints of the anchors are dealt to buckets; those found in two documents come back to their chunks.
    A false match costs work, never correctness.
 3. The texts of the runs with such anchors, distinct ones of a chunk with the least document id, meet by anchor.
-   Each chunk's texts are a shard with its own Burrows-Wheeler transform. The transforms are merged by iterative
+   Equal texts become one; those that share a string with another text, by its hash, are dealt to shards by their
+   chunk, and each shard has its own Burrows-Wheeler transform. The transforms are merged by iterative
    interleave refinement: in round h the interleave is stable-sorted by the symbols before the suffixes that round
    h - 1 placed, so that after h rounds suffixes are ordered by their first h bytes, and the boundaries that have
    appeared by then part suffixes whose common prefix is shorter than h. After WINDOW rounds the intervals without a boundary are the repeated
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import persisted
 
 WINDOW, K = 50, 20
-#: Bytes of text in a chunk (one longer document is a chunk of its own) and fingerprint bytes aimed at in a bucket.
+#: Bytes of text in a chunk (one longer document is a chunk of its own), and of all text for which there is a bucket.
 CHUNK_BYTES = 2 << 20
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 4 << 20
 #: Rank of a null doc_id: after every other.
 LAST = np.iinfo(np.int64).max
 
@@ -183,7 +184,8 @@ class Chunk:
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """Bucket of an anchor. Anchors have small hashes by their choice, so the hash is mixed anew."""
+    return (((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 # -- anchors in two documents --------------------------------------------------
@@ -258,7 +260,7 @@ def _distinct_runs(c: Chunk, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return which[chosen], inverse
 
 
-TEXTS = "bucket long, chunk long, run int, rank long, anchor long, text binary"
+TEXTS = "bucket long, chunk long, run binary, rank binary, size binary, text binary"
 
 
 def _marked(c: Chunk, buckets: int, wanted: np.ndarray) -> np.ndarray:
@@ -275,6 +277,9 @@ def _wanted(row: dict) -> np.ndarray:
 
 def _emit_texts(buckets: int):
     def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             for row in b.to_pylist():
                 c = Chunk(row)
@@ -284,14 +289,16 @@ def _emit_texts(buckets: int):
                 reps, inverse = _distinct_runs(c, which)
                 rank = np.full(len(reps), LAST)
                 np.minimum.at(rank, inverse, c.ranks[c.doc[which]])
-                h = hash_at(c.sums, c.place[reps], c.place[reps] + K)
+                of = _bucket(hash_at(c.sums, c.place[reps], c.place[reps] + K), buckets)
+                order = np.argsort(of, kind="stable")
+                reps, rank, of = reps[order], rank[order], of[order]
                 size = c.last[reps] + WINDOW - c.first[reps]
                 ends = np.concatenate([[0], np.cumsum(size)])
                 flat = c.text[np.repeat(c.first[reps] - ends[:-1], size) + np.arange(ends[-1])]
-                texts = pa.Array.from_buffers(pa.binary(), len(reps), [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(flat.tobytes())])
-                out = pa.RecordBatch.from_arrays([pa.array(_bucket(h, buckets)), pa.array(np.full(len(reps), row["chunk"], np.int64)), pa.array(reps.astype(np.int32)), pa.array(rank), pa.array(h.view(np.int64)), texts], [x.split()[0] for x in TEXTS.split(", ")])
-                for i in range(0, len(reps), 10_000):
-                    yield out.slice(i, 10_000)
+                cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
+                out = [(int(of[i]), row["chunk"], pack(reps[i:j].astype("<i4").tobytes()), pack(rank[i:j].astype("<i8").tobytes()), pack(size[i:j].astype("<i4").tobytes()), pack(flat[ends[i] : ends[j]].tobytes())) for i, j in zip(cuts, cuts[1:], strict=False)]
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in TEXTS.split(", ")])
 
     return run
 
@@ -370,28 +377,69 @@ def intervals(shards: list[list[bytes]]) -> tuple[list[np.ndarray], list[np.ndar
 
 
 LEAST = "chunk long, run binary, at binary, rank binary"
-MOST_SHARDS = 4
+#: Shards (transforms) that a batch of texts is merged from, and texts in a batch.
+SHARDS, BATCH = 4, 8000
+
+
+def _sharing(texts: list[bytes]) -> list[np.ndarray]:
+    """Places of the texts that share a string with another one by its hash, in batches that hold all texts that share with each other (a batch is only larger than BATCH if they are linked)."""
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    w = size - WINDOW + 1
+    own = np.repeat(np.arange(len(texts)), w)
+    at = np.repeat(np.cumsum(size) - size, w) + np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+    h = hash_at(sums(flat), at, at + WINDOW)
+    order = np.argsort(h, kind="stable")
+    h, own = h[order], own[order]
+    same = np.flatnonzero((h[1:] == h[:-1]) & (own[1:] != own[:-1]))
+    a, b = own[same], own[same + 1]
+    root = np.arange(len(texts))
+    while True:  # least members of linked texts
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = np.minimum(low, low[low])
+        if np.array_equal(low, root):
+            break
+        root = low
+    which = np.unique(np.concatenate([a, b]))
+    which = which[np.argsort(root[which], kind="stable")]
+    heads = np.flatnonzero(np.concatenate([[True], root[which][1:] != root[which][:-1]])) if len(which) else np.zeros(0, np.int64)
+    out, start = [], 0
+    for end in [*heads[1:].tolist(), len(which)]:
+        if end - start >= BATCH or end == len(which):
+            out.append(which[start:end])
+            start = end
+    return [x for x in out if len(x)]
 
 
 def _least(key, pdf: pd.DataFrame) -> pd.DataFrame:
     """The least document of every string of the bucket's texts. Per chunk: arrays (run, string's place from the run's start where the least document changes, its rank)."""
-    rank = pdf["rank"].to_numpy(np.int64)
-    code, distinct = pd.factorize(pdf["text"])
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    texts: list[bytes] = []
+    runs, ranks, chunks = [], [], []
+    for c, r, k, n, t in zip(pdf["chunk"], pdf["run"], pdf["rank"], pdf["size"], pdf["text"], strict=True):
+        t, ends = unpack(t), np.cumsum(np.frombuffer(unpack(n), "<i4")).tolist()
+        texts += [t[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        runs.append(np.frombuffer(unpack(r), "<i4").astype(np.int64))
+        ranks.append(np.frombuffer(unpack(k), "<i8"))
+        chunks.append(np.full(len(ends), c, np.int64))
+    run, rank, chunk = map(np.concatenate, (runs, ranks, chunks))
+    code, distinct = pd.factorize(np.array(texts, object))
+    del texts
     n = len(distinct)
     least = np.full(n, LAST)
     np.minimum.at(least, code, rank)
-    anchor = np.zeros(n, np.int64)
-    anchor[code] = pdf["anchor"].to_numpy(np.int64)
     shard_of = np.zeros(n, np.int64)
-    shard_of[code] = pdf["chunk"].to_numpy(np.int64) % MOST_SHARDS
-    _, group, times = np.unique(anchor, return_inverse=True, return_counts=True)
-    # a text that is alone with its anchor shares its strings with no other text: its own least document stands
-    merged = np.flatnonzero(times[group] > 1)
+    shard_of[code] = chunk % SHARDS
     windows = np.array([len(t) - WINDOW + 1 for t in distinct], np.int64)
     heads = np.concatenate([[0], np.cumsum(windows)])
     value = np.repeat(least, windows)
-    if len(merged):
-        members = [merged[shard_of[merged] == s] for s in range(MOST_SHARDS)]
+    # a text that shares no string with another distinct text keeps its own least document
+    for merged in _sharing(list(distinct)):
+        members = [merged[shard_of[merged] == s] for s in range(SHARDS)]
         members = [m for m in members if len(m)]
         numbers, places = intervals([[distinct[i] for i in m] for m in members])
         spot, which, doc = [], [], []
@@ -411,7 +459,6 @@ def _least(key, pdf: pd.DataFrame) -> pd.DataFrame:
     text_of = np.searchsorted(heads, at, "right") - 1
     from_, count = np.searchsorted(text_of, np.arange(n)), np.bincount(text_of, minlength=n)
     out = []
-    chunk, run = pdf["chunk"].to_numpy(np.int64), pdf["run"].to_numpy(np.int64)
     order = np.argsort(chunk, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(chunk[order])) + 1):
         t = code[part]
@@ -488,12 +535,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     extra = F.to_json(F.struct(*[F.col(f"`{x}`") for x in others])) if others else F.lit(None).cast("string")
     chunks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), extra.alias("extra")).mapInArrow(_chunks, CHUNK)
     chunks = persisted(chunks.select("*", F.monotonically_increasing_id().alias("chunk")))
-    total = chunks.agg(F.count("*"), F.sum(F.length("runs"))).first()
-    buckets = max(64, round((total[1] or 0) * 2 / BUCKET_BYTES))
+    buckets = max(64, chunks.count() * CHUNK_BYTES // BUCKET_BYTES)
     anchors = chunks.mapInArrow(_emit_anchors(buckets), "bucket long, chunk long, low binary, several binary")
     shared = persisted(anchors.groupBy("bucket").applyInPandas(_in_two, "chunk long, bucket long, low binary"))
     wanted = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "low")).alias("w")).select("chunk", F.col("w.bucket").alias("buckets"), F.col("w.low").alias("lows"))
-    marked = persisted(chunks.join(wanted, "chunk", "left"))
+    marked = chunks.join(wanted, "chunk", "left")
     texts = marked.mapInArrow(_emit_texts(buckets), TEXTS)
     least = persisted(texts.groupBy("bucket").applyInPandas(_least, LEAST))
     back = least.groupBy("chunk").agg(F.collect_list(F.struct("run", "at", "rank")).alias("b")).select("chunk", F.col("b.run").alias("run"), F.col("b.at").alias("at"), F.col("b.rank").alias("rank"))
