@@ -212,7 +212,11 @@ def secret_report(docs: DataFrame, rules=RULES, base: int = len(BASE)) -> DataFr
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans; the first `base` rules are the base."""
     found = scan(docs.select("doc_id", F.col("text").cast("string")), rules)
     own = F.filter("spans", lambda x: x["kind"] < base)
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{rules[k].kind}") for k in range(base)]
+
+    def of_kind(k: int) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+
+    counts = [of_kind(k).alias(f"n_{rules[k].kind}") for k in range(base)]
     return found.select("doc_id", *counts, F.sha2(span_list(own, rules), 256).alias("base_sha256"), span_list(F.col("spans"), rules).alias("spans"))
 
 
