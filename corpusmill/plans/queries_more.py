@@ -50,10 +50,10 @@ def flt06_any_in_array(v):
     return g.where(F.exists("p", lambda x: x.contains("URGENT")) | F.col("neg")).select("o_custkey")
 
 
-@query("SELECT p_partkey FROM part WHERE list_contains(string_split(p_type, ' '), 'STEEL') OR list_has_any(string_split(p_type, ' '), ['BRASS', 'TIN'])")
+@query("SELECT p_partkey FROM part WHERE list_contains(string_split(p_type, ' '), 'SMALL') OR list_has_any(string_split(p_type, ' '), ['PROMO', 'TIN'])")
 def flt07_tags(v):
     tags = F.split("p_type", " ")
-    return v.part.where(F.array_contains(tags, "STEEL") | F.arrays_overlap(tags, F.array(F.lit("BRASS"), F.lit("TIN")))).select("p_partkey")
+    return v.part.where(F.array_contains(tags, "SMALL") | F.arrays_overlap(tags, F.array(F.lit("PROMO"), F.lit("TIN")))).select("p_partkey")
 
 
 @query("SELECT doc_id FROM documents WHERE length(text) BETWEEN 3 AND 3000")

@@ -1 +1,360 @@
-"""Composite pipelines."""
+"""Queries that run scanners, services (stubs) and whole pipelines; where SQL can say the result, it is given."""
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..functions import lean
+from ..operators import aggregate as A
+from ..operators import external as X
+from ..operators import relational as R
+from ..operators import sets as S
+from ..operators import trees as TR
+from ..sources import sinks, tables
+from . import pipelines as P
+from .queries_core import _joined, _metrics_sql
+from .queries_more import _scratch
+from .registry import query
+from .views import WITH
+
+#: Own short statements in the shapes that the scanners must take.
+THEOREMS = [
+    ("plain", "import Mathlib\n\ntheorem a (x : ℕ) (h : x > 0) : x ≠ 0 := by\n  omega"),
+    ("braces", "theorem b {x y : ℝ} (h : x < y) : ¬ y ≤ x := by\n  linarith"),
+    ("none", "theorem c : 1 + 1 = 2 := by norm_num"),
+    ("let", "theorem d (x : ℕ) : let y := x; y = x := by\n  rfl"),
+    ("iff", "lemma e (p q : Prop) : (p ↔ q) → (q ↔ p) := fun h => h.symm"),
+    ("nested", "theorem f : ∀ x : ℕ, ∃ y : ℕ, y > x := by\n  intro x\n  exact ⟨x + 1, by omega⟩"),
+    ("two", "theorem g : 1 = 1 := by rfl\ntheorem h : 2 = 2 := by rfl"),
+    ("unnamed", "example : 1 = 1 := by rfl"),
+    ("no theorem", "def k := 3"),
+    ("null", None),
+]
+
+
+def _theorems(v):
+    return tables.literal_rows(v.spark, THEOREMS, "name string, code string")
+
+
+def _scan(v, f, kind: str):
+    return _theorems(v).select("name", lean.column(f, kind)("code").alias("out"))
+
+
+@query()
+def str02_split_indexes(v):
+    return _scan(v, lean.split_indexes, "array<int>")
+
+
+@query()
+def str03_splitable(v):
+    return _scan(v, lean.splitable, "boolean")
+
+
+@query()
+def str04_split_proof(v):
+    return _theorems(v).where("code is not null").select("name", P._split(F.col("code")).alias("s")).select("name", "s.*")
+
+
+@query()
+def str05_split_by_line(v):
+    return _scan(v, lambda x: list(lean.split_proof_by_line(x) or ()), "array<string>")
+
+
+@query()
+def str08_top_level_colon(v):
+    return _scan(v, lean.top_level_colon, "int")
+
+
+@query()
+def str09_components(v):
+    return _scan(v, lambda x: list((lean.components(x) or {}).values()), "array<string>")
+
+
+@query("SELECT p_partkey, replace(replace('{' || p_name || '}', '{', '('), '}', ')') AS out FROM part")
+def str10_braces(v):
+    return v.part.select("p_partkey", F.translate(F.concat(F.lit("{"), "p_name", F.lit("}")), "{}", "()").alias("out"))
+
+
+@query()
+def str11_negate(v):
+    return _scan(v, lean.negate, "string")
+
+
+@query()
+def str12_contradict(v):
+    return _scan(v, lean.contradict, "string")
+
+
+@query()
+def str14_context(v):
+    return _scan(v, lambda x: list(lean.context_of(x, 99).values()), "array<string>")
+
+
+@query()
+def str20_truncate(v):
+    return _scan(v, lean.truncate_tactic, "string")
+
+
+@query()
+def str23_rebuild(v):
+    return _scan(v, lambda x: lean.rebuild([{"tactic": t.strip(), "line": i + 1, "column": len(t) - len(t.lstrip())} for i, t in enumerate(x.split("\n"))]), "string")
+
+
+@query()
+def str24_longest_common_run(v):
+    return _scan(v, lambda x: lean.longest_common_run(x.split(), "by omega norm_num theorem c : 1".split()), "int")
+
+
+@query()
+def str26_loose_match(v):
+    return _scan(v, lambda x: list(lean.loose_span(x, ": = by") or ()), "array<int>")
+
+
+@query()
+def win03_settle_spaces(v):
+    return _scan(v, lambda x: lean.settle_spaces([p + " " for p in x.split("\n")]), "array<string>")
+
+
+@query()
+def win04_merge_equal_goals(v):
+    def merged(x):
+        steps = [{"tactic": t, "goals_before": [str(len(t) % 2)], "goals_after": [str(i % 2)]} for i, t in enumerate(x.split())]
+        return [s["tactic"] for s in TR.merge_equal_goals(steps)]
+
+    return _scan(v, merged, "array<string>")
+
+
+@query()
+def win09_segment_logprobs(v):
+    return _scan(v, lambda x: lean.segment_logprobs(list(x), [-0.5] * len(x), x.split("\n")), "array<double>")
+
+
+INFOTREE = """[{"node":{"stx":{"pp":"by omega","range":{"synthetic":false,"start":{"line":1,"column":2},"finish":{"line":1,"column":10}}},"goalsBefore":["g"],"goalsAfter":[]},
+"children":[{"node":{"stx":{"pp":"<failed to pretty print>"}},"children":[{"node":{"stx":{"pp":"omega","range":{"start":{"line":1,"column":5},"finish":{"line":1,"column":10}}},"goalsBefore":["g"],"goalsAfter":[]},"children":[]}]}]}]"""
+
+
+@query()
+def tre01_flatten_infotree(v):
+    return TR.infotree_nodes(tables.literal_rows(v.spark, [("a", INFOTREE), ("b", None)], "tree_id string, infotree string"))
+
+
+@query()
+def tre03_extract_tactics(v):
+    n = TR.infotree_nodes(tables.literal_rows(v.spark, [("a", INFOTREE)], "tree_id string, infotree string")).where("not synthetic")
+    at = n.withColumn("s", F.col("start_line") * 10_000 + F.col("start_column")).withColumn("e", F.col("end_line") * 10_000 + F.col("end_column"))
+    return R.disjoint_intervals(at, "tree_id", ["s", "node_id"], "s", "e").select("tree_id", "node_id", "text", "s", "e")
+
+
+@query()
+def tre05_outline(v):
+    outline = "Proposition 1: all\n├── Lemma 1.1: some\n│   └── Claim 1.1.1: one\n│       more of it\n└── Lemma 1.2: rest"
+    rows = TR.parse_outline(outline)
+    return tables.literal_rows(v.spark, rows, "id string, parent string, type string, content string")
+
+
+@query()
+def lim04_diverse_greedy(v):
+    return P.diverse_each(v.proofs.select("statement_id", F.translate("formal_proof", "-", " ").alias("formal_proof")), "statement_id", "formal_proof", 3)
+
+
+@query("WITH RECURSIVE r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) SELECT o_custkey, o_orderkey, rank::INTEGER AS rank FROM r WHERE rank <= 2")
+def lim06_priority(v):
+    from pyspark.sql import Window as W
+
+    rank = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return v.orders.select("o_custkey", "o_orderkey", rank.alias("rank")).where("rank <= 2")
+
+
+@query()
+def ext01_generate(v):
+    return X.explode_completions(X.generate(v.problems.select("uuid", "problem"), "problem", 2), "uuid")
+
+
+@query()
+def ext02_votes(v):
+    return X.votes(v.part.select("p_partkey", "p_name"), "p_name", 3)
+
+
+@query()
+def ext03_verify(v):
+    return X.verify(v.proofs.select("statement_id", "formal_proof"), "formal_proof").drop("lean_feedback")
+
+
+@query()
+def ext03_cached_verify(v):
+    return X.cached(v.part.select("p_partkey", "p_name"), _scratch(v, "cache"), "p_partkey", lambda d: X.verify(d, "p_name")).select("p_partkey", "has_error")
+
+
+@query()
+def ext05_embed(v):
+    @F.pandas_udf("array<double>")
+    def embed(s: pd.Series) -> pd.Series:
+        return pd.Series(X.stub_embedder(s.fillna("").tolist()))
+
+    return v.part.select("p_partkey", embed("p_name").alias("e"))
+
+
+@query()
+def ext06_search(v):
+    return X.search(v.part.where("p_partkey <= 50").select("p_name"), "p_name")
+
+
+# -- sources and sinks ---------------------------------------------------------------
+
+
+@query("SELECT count(*) AS n FROM orders")
+def src02_directory(v):
+    v.orders.repartition(3).write.parquet(path := _scratch(v, "dir"))
+    return tables.read_table(v.spark, path).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 3")
+def src03_shard(v):
+    sinks.write_shards(v.orders.select("o_orderkey", (F.col("o_orderkey") % 7).cast("string").alias("shard_id")), path := _scratch(v, "shard"))
+    return tables.read_shard(v.spark, path, "3").select("o_orderkey")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def src06_json_files(v):
+    path = _scratch(v, "jsons")
+    v.nation.select((F.col("n_nationkey") % 5).alias("folder"), F.to_json(F.struct("n_nationkey", "n_name")).alias("value")).repartition(25, F.col("value")).write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+    docs = tables.read_json_files(v.spark, f"{path}/*/*.txt")
+    return docs.select(F.variant_get("doc", "$.n_nationkey", "int").alias("n_nationkey"), F.variant_get("doc", "$.n_name", "string").alias("n_name"))
+
+
+@query()
+def src07_folders(v):
+    path = _scratch(v, "folders")
+    v.nation.select((F.col("n_nationkey") % 5).alias("folder"), "n_name").groupBy("folder").agg(F.array_join(F.array_sort(F.collect_list("n_name")), "\n").alias("value")).write.partitionBy("folder").text(path)
+    names = tables.list_files(v.spark, path, "*.txt").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("n")).distinct()
+    return tables.read_folders(v.spark, path, tuple(sorted(r["n"] for r in names.limit(100).collect())))
+
+
+@query()
+def src08_list_files(v):
+    return tables.list_files(v.spark, v.sf_dir, "*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name")).distinct()
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def src12_saved(v):
+    path = sinks.publish(v.orders.select("o_orderkey", "o_totalprice"), _scratch(v, "hub"), "orders", "v1")
+    return tables.read_table(v.spark, path.rpartition("/")[0], revision="v1")
+
+
+@query("SELECT event_type AS stage, count(*) AS finished, round(count(*) / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY 1")
+def stm05_status(v):
+    return A.shares(v.events, "event_type").withColumnsRenamed({"event_type": "stage", "n": "finished", "ratio": "share"})
+
+
+@query("SELECT o_orderkey FROM orders")
+def stm04_resume(v):
+    """A run that stopped halfway and goes on: finished keys are left out, all are there in the end."""
+    path = _scratch(v, "resume")
+    o = v.orders.select("o_orderkey")
+    o.where("o_orderkey % 2 = 0").write.parquet(path)
+    sinks.pending(o, path, "o_orderkey").write.mode("append").parquet(path)
+    return v.spark.read.parquet(path)
+
+
+# -- pipelines ---------------------------------------------------------------------------
+
+
+@query()
+def pip01_expert_iteration(v):
+    return A.rates(P.expert_iteration(v.problems.where("uuid <= 100")))
+
+
+@query()
+def pip02_proof_generation(v):
+    s = tables.literal_rows(v.spark, [(n, c, False) for n, c in THEOREMS], "statement_id string, formal_statement string, is_negation boolean")
+    store = tables.literal_rows(v.spark, [("plain", 5), ("neg_none", 1)], "statement_id string, proof_count long")
+    return P.proof_generation(P.negated(s), store)[0].select("statement_id", "proof_id", "is_valid")
+
+
+@query(WITH + "SELECT a.statement_id, a.n_proofs, a.n_correct_proofs, s.uuid, s.is_negation FROM agg_statements a JOIN statements s USING (statement_id)")
+def pip03_statements_only(v):
+    return A.proofs_to_statements(v.proofs).select("statement_id", "n_proofs", "n_correct_proofs").join(v.statements.select("statement_id", "uuid", "is_negation"), "statement_id")
+
+
+@query()
+def pip04_auto_sft(v):
+    return P.auto_sft(v.proofs, v.statements)
+
+
+@query("WITH x AS (SELECT o_custkey AS uuid, o_orderpriority AS formal_proof, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) r FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_custkey % 10 != 0)) SELECT uuid, formal_proof FROM x WHERE r <= 2")
+def pip05_human_statements(v):
+    df = v.orders.groupBy(F.col("o_custkey").alias("uuid")).agg(F.collect_list("o_orderpriority").alias("proofs")).withColumn("tags", F.array(F.lit("human"), F.lit("x")))
+    return P.human_statements(df, "human", v.customer.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("uuid")), 2)
+
+
+@query()
+def pip06_human_proofs(v):
+    t = _theorems(v).where("code is not null and name != 'two'")
+    return t.where(lean.column(lean.splitable, "boolean")("code")).select("name", P._split(F.col("code")).alias("s")).select("name", "s.*")
+
+
+@query()
+def pip07_filter_dedup(v):
+    return P.filtered_and_deduped(v.documents.select("doc_id", "text"), "doc_id", "text", [("char_length", {"low": 50}), ("without_word", {"word": "|"})]).select("doc_id")
+
+
+@query("SELECT part, count(*) AS n FROM (SELECT 'customer' AS part FROM customer, range(2) UNION ALL SELECT * FROM (SELECT 'part' FROM part LIMIT (SELECT floor(count(*) * 0.25)::BIGINT FROM part))) GROUP BY 1")
+def pip08_mixture(v):
+    return S.mixture({"customer": (v.customer.select(F.col("c_custkey").alias("id")), 2), "part": (v.part.select(F.col("p_partkey").alias("id")), 0.25)}, "id").groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query()
+def pip09_candidates(v):
+    return P.candidate_build(v.statements, A.proofs_to_statements(v.proofs).where("n_correct_proofs > 0"))
+
+
+@query("SELECT source, count(*) AS n FROM (SELECT 'a:' || p_brand AS source FROM part WHERE p_size > 10 UNION ALL SELECT 'b:' || c_mktsegment FROM customer) GROUP BY 1")
+def pip10_whole_proofs(v):
+    both = S.union_all(v.part.where("p_size > 10").select(F.concat(F.lit("a:"), "p_brand").alias("source")), v.customer.select(F.concat(F.lit("b:"), "c_mktsegment").alias("source")))
+    return both.groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query()
+def pip11_eval_splits(v):
+    t = _theorems(v).select("name", "code", F.explode(lean.column(lean.split_indexes, "array<int>")("code")).alias("at"))
+    t = t.select(F.concat_ws("_", "name", F.col("at").cast("string")).alias("id"), F.substring("code", F.lit(1), F.col("at")).alias("prefix"), "name")
+    return S.hash_split(t, "id", 0.1, {"iff": "eval"}, "name")
+
+
+@query()
+def pip12_steps(v):
+    t = _theorems(v).where("code is not null").select("name", F.split("code", "(?<=\n)").alias("tactics"))
+    return R.prefixes(t, "tactics").select("name", "step", "prefix", "suffix")
+
+
+@query(WITH + ", f AS (SELECT statement_id, min(sample_id) FILTER (WHERE is_valid) AS first, count(*) n, count(*) FILTER (WHERE is_valid) k FROM proofs GROUP BY 1) SELECT count(*) AS n_problems, sum(k)::BIGINT AS n_correct_proofs, round(count(first) / count(*), 6) AS success_rate FROM f")
+def pip13_evaluation(v):
+    f = v.proofs.groupBy("statement_id").agg(F.min(F.when(F.col("is_valid"), F.col("sample_id"))).alias("first"), F.count_if("is_valid").alias("k"))
+    return f.agg(F.count("*").alias("n_problems"), F.sum("k").alias("n_correct_proofs"), F.round(F.count("first") / F.count("*"), 6).alias("success_rate"))
+
+
+@query()
+def pip14_judge_evaluation(v):
+    return P.judge_evaluation(v.labels.join(v.documents, "doc_id").select("doc_id", "text", "quality"), "doc_id", "text", F.col("quality") == 1)
+
+
+@query()
+def pip15_bootstrap(v):
+    pool = v.part.select("p_partkey", "p_name")
+    return P.bootstrap_round(pool, pool.where("p_partkey <= 20"), "p_partkey", "p_name", 100, "37")
+
+
+@query(_metrics_sql("sample_id % 3").replace("SELECT category, sum(valid)::BIGINT AS valid, sum(total)::BIGINT AS total, round(sum(valid) / sum(total), 6) AS valid_ratio FROM m GROUP BY category", "SELECT category, sum(valid)::BIGINT AS shard_valid, sum(total)::BIGINT AS shard_total FROM m GROUP BY category"))
+def pip16_monitoring(v):
+    return P.monitoring(_joined(v)).select("category", "shard_valid", "shard_total")
+
+
+@query(
+    WITH
+    + """, g AS (SELECT s.*, coalesce(a.n_correct_proofs, 0) AS k FROM statements s LEFT JOIN agg_statements a USING (statement_id)), o AS (SELECT uuid FROM g GROUP BY 1 HAVING sum(k) > 20),
+ kept AS (SELECT * FROM g WHERE uuid NOT IN (SELECT uuid FROM o)), fine AS (SELECT * FROM kept x WHERE NOT EXISTS (SELECT 1 FROM kept y WHERE y.k > 0 AND xor(y.statement_id, 1) = x.statement_id))
+SELECT min(statement_id) AS statement_id, uuid, formal_statement FROM fine GROUP BY uuid, formal_statement"""
+)
+def pip17_curate(v):
+    return P.curate(v.statements, v.proofs)
+
+
