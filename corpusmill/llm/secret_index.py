@@ -221,8 +221,8 @@ def secret_report(docs: DataFrame, rules=RULES, base: int = len(BASE)) -> DataFr
 
 
 def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every found span of the text replaced by mark (overlapping spans as one); n_chars, where there is one, follows the text."""
-    found = scan(docs, rules)
+    """docs with every found span of the text replaced by mark (overlapping spans as one); n_chars, where there is one, follows the text. All other columns, whatever their names, stay."""
+    found = scan(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), rules)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
@@ -230,5 +230,6 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), kept.alias("out"))
 
     text = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))).otherwise(F.col("text"))
-    out = found.withColumn("text", text).drop("spans")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    found = found.withColumn("_text", text)
+    changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return found.select(*[(changed[c] if c in changed else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
