@@ -187,3 +187,18 @@ def near_dedup(df: DataFrame, key: str, text: str, n: int = 5, permutations: int
     roots = components(minhash_pairs(df, key, text, n, permutations, threshold).select("src", "dst"))
     gone = roots.where("node != root").select(F.col("node").alias(key))
     return df.join(gone, key, "left_anti")
+
+
+def jaccard_pairs(df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.7) -> DataFrame:
+    """All pairs (src < dst) of distinct shingle sets, each by its least key, whose Jaccard similarity is at least the
+    threshold. Exact: in a global order of the shingles, two such sets share one of the first
+    size - ceil(threshold * size) + 1 of either, so only these prefixes are joined; every pair is verified."""
+    kind = df.schema[key].dataType.simpleString()
+    sets = df.select(key, text).mapInArrow(_signatures(n, 1, 1), f"key {kind}, s array<bigint>, h array<bigint>")
+    reps = sets.groupBy("s").agg(F.min("key").alias("rep"))
+    length = F.size("s") - F.ceil(F.lit(threshold) * F.size("s") - F.lit(1e-9)).cast("int") + 1
+    prefix = reps.select("rep", F.explode(F.slice("s", F.lit(1), length)).alias("t"))
+    pairs = prefix.alias("a").join(prefix.alias("b"), F.expr("a.t = b.t and a.rep < b.rep")).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst")).distinct()
+    a, b = reps.select(F.col("rep").alias("src"), F.col("s").alias("x")), reps.select(F.col("rep").alias("dst"), F.col("s").alias("y"))
+    j = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
+    return pairs.join(a, "src").join(b, "dst").select("src", "dst", j.alias("jaccard")).where(F.col("jaccard") >= threshold)

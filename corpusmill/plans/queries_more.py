@@ -253,9 +253,9 @@ def prj01_prune_rename(v):
     return v.orders.select("o_orderkey", "o_custkey").withColumnsRenamed({"o_orderkey": "id", "o_custkey": "uuid"})
 
 
-@query("SELECT c_custkey, 'numina:' || c_mktsegment AS source FROM customer")
+@query("SELECT c_custkey, 'corpus:' || c_mktsegment AS source FROM customer")
 def prj02_source_tag(v):
-    return v.customer.select("c_custkey", F.concat(F.lit("numina:"), "c_mktsegment").alias("source"))
+    return v.customer.select("c_custkey", F.concat(F.lit("corpus:"), "c_mktsegment").alias("source"))
 
 
 @query("SELECT p_partkey, 'import Mathlib' || chr(10) || p_name || p_type AS code FROM part")
@@ -695,3 +695,63 @@ def stm03_counters(v):
     from ..streaming.monitors import counters_of
 
     return counters_of(v.spark, f"{v.sf_dir}/lineitem.parquet", v.lineitem.schema, "l_orderkey", F.col("l_returnflag") == "R", _scratch(v, "counters"))
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x != '') AS a FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(1, len(a) - 4) + 1), lambda i: array_to_string(a[i:i+4], ' ')))) AS s FROM w WHERE len(a) > 0),
+reps AS (SELECT min(doc_id) AS rep, s FROM g GROUP BY s), x AS (SELECT rep, len(s) AS l, unnest(s) AS t FROM reps),
+i AS (SELECT a.rep AS src, b.rep AS dst, count(*) AS n, a.l AS la, b.l AS lb FROM x a JOIN x b ON a.t = b.t AND a.rep < b.rep GROUP BY ALL)
+SELECT src, dst, round(n / (la + lb - n), 6) AS jaccard FROM i WHERE n / (la + lb - n) >= 0.7"""
+)
+def set07_exact_jaccard_pairs(v):
+    return S.jaccard_pairs(v.documents, "doc_id", "text").select("src", "dst", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def snk02_csv(v):
+    from ..sources.sinks import write_csv
+
+    write_csv(v.supplier.select("s_suppkey", "s_name"), path := _scratch(v, "csv"))
+    return SRC.read_csv(v.spark, path, "s_suppkey long, s_name string")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+def snk03_json(v):
+    from ..sources.sinks import write_json
+
+    write_json(v.supplier.select("s_suppkey", "s_name", "s_nationkey"), path := _scratch(v, "json"))
+    return SRC.read_json(v.spark, path, "s_suppkey long, s_name string, s_nationkey int")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def snk04_publish(v):
+    from ..sources.sinks import publish
+
+    return v.spark.read.parquet(publish(v.region, _scratch(v, "hub"), "region", "main"))
+
+
+@query("SELECT part, count(*) AS n FROM (SELECT p_partkey % 4 AS part FROM part WHERE p_size > 20) GROUP BY 1")
+def udf01_row_functions(v):
+    """map, batched map and filter, as Arrow-batched functions of the user's."""
+    import pandas as pd
+
+    @F.pandas_udf("boolean")
+    def keep(s: pd.Series) -> pd.Series:
+        return s > 20
+
+    @F.pandas_udf("long")
+    def shard(s: pd.Series) -> pd.Series:
+        return s % 4
+
+    return v.part.where(keep("p_size")).select(shard("p_partkey").alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey, count(DISTINCT o_orderpriority) AS kinds, max(o_orderkey) AS last FROM orders GROUP BY 1")
+def udf02_group_function(v):
+    import pandas as pd
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"o_custkey": [pdf["o_custkey"].iloc[0]], "kinds": [pdf["o_orderpriority"].nunique()], "last": [pdf["o_orderkey"].max()]})
+
+    return v.orders.select("o_custkey", "o_orderpriority", "o_orderkey").groupBy("o_custkey").applyInPandas(summary, "o_custkey long, kinds long, last long")

@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import lean
+from ..functions import text as T
 from ..operators import aggregate as A
 from ..operators import external as X
 from ..operators import relational as R
@@ -358,3 +359,27 @@ def pip17_curate(v):
     return P.curate(v.statements, v.proofs)
 
 
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'Correct' ELSE 'Incorrect' END AS status FROM part")
+def udf03_pluggable_judge(v):
+    """A judge and a parser of the user's own."""
+
+    def judge(texts, vote):
+        return ["Status: Correct" if int(t) > 25 else "Status: Incorrect" for t in texts]
+
+    replies = X.votes(v.part.select("p_partkey", F.col("p_size").cast("string").alias("t")), "t", 3, judge).withColumn("status", T.judge_line_status(F.col("reply")))
+    return A.strict_majority(replies, "p_partkey", "status")
+
+
+@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'valid' ELSE 'invalid' END AS status FROM customer, range(2)) GROUP BY 1")
+def stm01_generate_verify(v):
+    """Generation feeds verification; the table between them is the queue, and nothing is lost."""
+    made = X.explode_completions(X.generate(v.customer.select("c_custkey", "c_name"), "c_name", 2, lambda p, n: [[t, t] for t in p]), "c_custkey")
+    made.write.parquet(path := _scratch(v, "queue"))
+
+    def checker(proofs):
+        return ['{"error":null,"response":{"env":0}}' if int(p.split("#")[1]) % 2 == 0 else '{"error":"no","response":null}' for p in proofs]
+
+    done = X.verify(v.spark.read.parquet(path), "formal_proof", checker)
+    return done.groupBy(F.when(F.col("is_valid_no_sorry"), "valid").otherwise("invalid").alias("status")).agg(F.count("*").alias("n"))
