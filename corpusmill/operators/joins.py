@@ -114,21 +114,26 @@ def cosine(a: Column, b: Column) -> Column:
 
 def max_similarity(vectors: DataFrame, truth: DataFrame, vector: str = "embedding", most_bytes: int = 64 << 20) -> DataFrame:
     """Each vector's largest cosine against the ground-truth set. The set is a stated query set: it is collected only
-    after its size is checked, and compared block by block against every Arrow batch; beyond the limit the join is
-    done in the JVM by slices of the set."""
+    after its size is checked, and compared block by block against every Arrow batch; beyond the limit the set is
+    taken in slices below it, one after another, and the largest value of all slices is kept."""
     import numpy as np
     import pyarrow as pa
 
     rows = truth.select(F.col(vector).alias("v")).where("v is not null")
     n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    if n * (width or 0) * 8 > most_bytes:
-        other = truth.select(F.col(vector).alias("_v"))
-        best = vectors.join(other).select(vectors.columns[0], cosine(F.col(vector), F.col("_v")).alias("c"))
-        return best.groupBy(vectors.columns[0]).agg(F.max("c").alias("max_cosine"))
+    slices = max(1, -(-(n * (width or 0) * 8) // most_bytes)) if most_bytes else max(1, n)
+    key = vectors.columns[0]
+    if slices > 1:
+        parts = [max_similarity(vectors, truth.where(F.pmod(F.xxhash64(vector), F.lit(slices)) == k), vector, 1 << 62) for k in range(slices)]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        return every.groupBy(key).agg(F.max("max_cosine").alias("max_cosine"))
     g = np.array([r["v"] for r in rows.collect()], np.float64)
+    if not len(g):
+        return vectors.select(key, F.lit(None).cast("double").alias("max_cosine")).where("false")
     g /= np.linalg.norm(g, axis=1, keepdims=True)
     sent = vectors.sparkSession.sparkContext.broadcast(g)
-    key = vectors.columns[0]
 
     def run(batches):
         for b in batches:

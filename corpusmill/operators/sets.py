@@ -65,9 +65,10 @@ def global_rank(df: DataFrame, order: list[Column], out: str, partitions: int |
 
 
 def take_fraction(df: DataFrame, key: str, fraction: float, seed: str) -> DataFrame:
-    """Exactly floor(n * fraction) rows, in hash order."""
+    """Exactly floor(n * fraction) rows, the first in hash order; ranked over range partitions, so that a large share isn't a limit in one task."""
     n = df.count()
-    return df.orderBy(F.sha2(F.concat(F.col(key).cast("string"), F.lit(seed)), 256), key).limit(int(n * fraction))
+    hashed = df.withColumn("_h", F.sha2(F.concat(F.col(key).cast("string"), F.lit(seed)), 256))
+    return global_rank(hashed, [F.col("_h"), F.col(key)], "_rank").where(F.col("_rank") < int(n * fraction)).drop("_h", "_rank")
 
 
 def mixture(parts: Mapping[str, tuple[DataFrame, int | float]], key: str, seed: str = "142") -> DataFrame:
