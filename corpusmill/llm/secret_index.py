@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_sized
+from .common import join_sized, persisted
 
 # The parser of the standard library, for the structure of an expression.
 _parser = re._parser
@@ -128,9 +128,9 @@ def named_trigrams(rules=RULES) -> list[str]:
 
 def postings(docs: DataFrame, rules=RULES) -> DataFrame:
     """The inverted index: (trigram, doc_id) for the trigrams that the rules' queries name. Null texts have no postings."""
-    low = F.lower(F.col("text"))
-    present = F.array(*[F.when(low.contains(t), F.lit(t)) for t in named_trigrams(rules)])
-    return docs.select("doc_id", F.explode(F.array_compact(present)).alias("trigram"))
+    # the lambda's argument is bound once, so that a text is lower-cased once and not for every trigram
+    present = F.transform(F.array(F.lower("text")), lambda low: F.array_compact(F.array(*[F.when(low.contains(t), F.lit(t)) for t in named_trigrams(rules)])))
+    return docs.select("doc_id", F.explode(F.element_at(present, 1)).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules=RULES) -> DataFrame:
@@ -191,7 +191,8 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     doc_id share candidates, which are a superset; every match is verified on the row's own text). Long texts are
     scanned whole. The documents are joined with the candidates by broadcast where those are measurably few.
     """
-    bits = candidates(postings(docs, rules), rules).withColumnRenamed("doc_id", "_candidate").withColumnRenamed("rules", "_rules")
+    # written, since they are counted before they are joined
+    bits = persisted(candidates(postings(docs, rules), rules)).withColumnRenamed("doc_id", "_candidate").withColumnRenamed("rules", "_rules")
     joined = join_sized(docs, bits, F.col("doc_id").eqNullSafe(F.col("_candidate")), "left", 16)
     empty = F.array().cast(f"array<{SPAN}>")
     parts = []
