@@ -35,7 +35,10 @@ from .common import persisted
 WINDOW, K = 50, 20
 #: Bytes of text in a chunk (one longer document is a chunk of its own), and of all text for which there is a bucket.
 CHUNK_BYTES = 2 << 20
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 3 << 20
+#: Runs whose anchor is in more chunks than this meet string by string instead of by anchor, so that a very common
+#: anchor with ever different surroundings is spread over all buckets.
+HOT_CHUNKS = 1000
 #: Rank of a null doc_id: after every other.
 LAST = np.iinfo(np.int64).max
 
@@ -126,35 +129,44 @@ def runs_of(text: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k: int
 CHUNK = "ids binary, ranks binary, offsets binary, runs binary, text binary, extra binary"
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+def _chunks(chunk_bytes: int = CHUNK_BYTES):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        held: list[tuple[int | None, bytes]] = []
+        size, extra = 0, []
+
+        def flush():
+            text = np.frombuffer(b"".join(t for _, t in held), np.uint8)
+            offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in held], dtype=np.int64)])
+            first, last, place = runs_of(text, offsets)
+            # run starts as differences, the others relative to them: few distinct bytes, which compress
+            runs = np.stack([np.diff(first, prepend=0), last - first, place - first]).astype("<i4")
+            ranks = np.array([LAST if i is None else i for i, _ in held], "<i8")
+            null = np.array([i is None for i, _ in held])
+            row = [null.tobytes(), ranks.tobytes(), offsets.tobytes(), pack(runs.tobytes()), pack(text.tobytes()), pack("\n".join(extra).encode())]
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], [x.split()[0] for x in CHUNK.split(", ")])
 
-    pack = zstandard.ZstdCompressor(level=1).compress
-    held: list[tuple[int | None, bytes]] = []
-    size, extra = 0, []
-
-    def flush():
-        text = np.frombuffer(b"".join(t for _, t in held), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in held], dtype=np.int64)])
-        first, last, place = runs_of(text, offsets)
-        # run starts as differences, the others relative to them: few distinct bytes, which compress
-        runs = np.stack([np.diff(first, prepend=0), last - first, place - first]).astype("<i4")
-        ranks = np.array([LAST if i is None else i for i, _ in held], "<i8")
-        null = np.array([i is None for i, _ in held])
-        row = [null.tobytes(), ranks.tobytes(), offsets.tobytes(), pack(runs.tobytes()), pack(text.tobytes()), pack("\n".join(extra).encode())]
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], [x.split()[0] for x in CHUNK.split(", ")])
-
-    for b in batches:
-        for i, t, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            t = (t or "").encode("utf-8", "surrogatepass")
-            if held and size + len(t) > CHUNK_BYTES:
-                yield flush()
-                held, size, extra = [], 0, []
-            held.append((i, t))
-            extra.append(x or "")
-            size += len(t)
-    if held:
-        yield flush()
+        for b in batches:
+            for i, t, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                t = (t or "").encode("utf-8", "surrogatepass")
+                if held and size + len(t) > chunk_bytes:
+                    yield flush()
+                    held, size, extra = [], 0, []
+                held.append((i, t))
+                extra.append(x or "")
+                size += len(t)
+        if held:
+            yield flush()
+
+    return run
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One row at a time: a chunk is large, and a batch has many."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
 
 
 class Chunk:
@@ -194,7 +206,7 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 def _emit_anchors(buckets: int):
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 c = Chunk(row)
                 h = c.anchors()
                 key = _bucket(h, buckets).astype(np.uint64) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
@@ -221,22 +233,23 @@ def _emit_anchors(buckets: int):
     return run
 
 
-def _in_two(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket, each chunk's fingerprints that are in two documents."""
-    lows = [np.frombuffer(x, "<u4") for x in pdf["low"]]
-    flags = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(n)].astype(bool) for x, n in zip(pdf["several"], lows, strict=True)]
-    every, flag = np.concatenate(lows), np.concatenate(flags)
-    order = np.argsort(every, kind="stable")
-    s = every[order]
-    same = s[1:] == s[:-1]
-    hit = np.zeros(len(s), bool)
-    hit[1:] |= same
-    hit[:-1] |= same
-    found = np.zeros(len(s), bool)
-    found[order] = hit
-    found |= flag
-    out = [(c, low[f]) for c, low, f in zip(pdf["chunk"], lows, np.split(found, np.cumsum([len(x) for x in lows])[:-1]), strict=True)]
-    return pd.DataFrame({"chunk": [c for c, x in out if len(x)], "bucket": [key[0]] * sum(len(x) > 0 for _, x in out), "low": [x.tobytes() for _, x in out if len(x)]})
+def _in_two(hot_chunks: int = HOT_CHUNKS):
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of a bucket, each chunk's fingerprints that are in two documents, and whether more than hot_chunks chunks have them."""
+        lows = [np.frombuffer(x, "<u4") for x in pdf["low"]]
+        flags = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(n)].astype(bool) for x, n in zip(pdf["several"], lows, strict=True)]
+        every, flag = np.concatenate(lows), np.concatenate(flags)
+        order = np.argsort(every, kind="stable")
+        s = every[order]
+        heads = np.concatenate([[True], s[1:] != s[:-1]])
+        times = np.empty(len(s), np.int64)
+        times[order] = np.bincount(np.cumsum(heads) - 1)[np.cumsum(heads) - 1]
+        found = (times > 1) | flag
+        cuts = np.cumsum([len(x) for x in lows])[:-1]
+        out = [(c, low[f], t[f] > hot_chunks) for c, low, f, t in zip(pdf["chunk"], lows, np.split(found, cuts), np.split(times, cuts), strict=True) if f.any()]
+        return pd.DataFrame({"chunk": [x[0] for x in out], "bucket": [key[0]] * len(out), "low": [x[1].tobytes() for x in out], "hot": [x[2].tobytes() for x in out]})
+
+    return run
 
 
 # -- texts of runs ---------------------------------------------------------------
@@ -260,19 +273,22 @@ def _distinct_runs(c: Chunk, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return which[chosen], inverse
 
 
-TEXTS = "bucket long, chunk long, run binary, rank binary, size binary, text binary"
+TEXTS = "bucket long, chunk long, run binary, at binary, rank binary, size binary, text binary"
 
 
-def _marked(c: Chunk, buckets: int, wanted: np.ndarray) -> np.ndarray:
-    """Numbers of the runs whose anchor fingerprint is wanted (bucket and low bits in one number)."""
+def _marked(c: Chunk, buckets: int, row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the runs whose anchor is in two documents, and whether it is a hot one."""
+    wanted, hot = _wanted(row)
     h = c.anchors()
     key = _bucket(h, buckets).astype(np.uint64) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
-    return np.flatnonzero(np.isin(key, wanted))
+    which = np.flatnonzero(np.isin(key, wanted))
+    return which, np.isin(key[which], wanted[hot])
 
 
-def _wanted(row: dict) -> np.ndarray:
+def _wanted(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and low bits in one number, and the hot marks."""
     parts = [np.uint64(b) << np.uint64(32) | np.frombuffer(x, "<u4").astype(np.uint64) for b, x in zip(row["buckets"] or [], row["lows"] or [], strict=True)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return (np.concatenate(parts), np.concatenate([np.frombuffer(x, bool) for x in row["hots"]])) if parts else (np.zeros(0, np.uint64), np.zeros(0, bool))
 
 
 def _emit_texts(buckets: int):
@@ -281,23 +297,32 @@ def _emit_texts(buckets: int):
 
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 c = Chunk(row)
-                which = _marked(c, buckets, _wanted(row))
+                which, hot = _marked(c, buckets, row)
                 if not len(which):
                     continue
                 reps, inverse = _distinct_runs(c, which)
                 rank = np.full(len(reps), LAST)
                 np.minimum.at(rank, inverse, c.ranks[c.doc[which]])
+                hot = hot[np.searchsorted(which, reps)]
                 of = _bucket(hash_at(c.sums, c.place[reps], c.place[reps] + K), buckets)
-                order = np.argsort(of, kind="stable")
-                reps, rank, of = reps[order], rank[order], of[order]
                 size = c.last[reps] + WINDOW - c.first[reps]
+                at = np.zeros(len(reps), np.int64)
+                if hot.any():  # each string of a hot run on its own, dealt by its own hash
+                    n = np.where(hot, size - WINDOW + 1, 1)
+                    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    reps, rank, of, size, hot = (np.repeat(x, n) for x in (reps, rank, of, size, hot))
+                    at, size = np.where(hot, inner, 0), np.where(hot, WINDOW, size)
+                    start = c.first[reps] + at
+                    of = np.where(hot, _bucket(hash_at(c.sums, start, start + WINDOW), buckets), of)
+                order = np.argsort(of, kind="stable")
+                reps, rank, of, at, size = (x[order] for x in (reps, rank, of, at, size))
                 ends = np.concatenate([[0], np.cumsum(size)])
-                flat = c.text[np.repeat(c.first[reps] - ends[:-1], size) + np.arange(ends[-1])]
+                flat = c.text[np.repeat(c.first[reps] + at - ends[:-1], size) + np.arange(ends[-1])]
                 cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
-                out = [(int(of[i]), row["chunk"], pack(reps[i:j].astype("<i4").tobytes()), pack(rank[i:j].astype("<i8").tobytes()), pack(size[i:j].astype("<i4").tobytes()), pack(flat[ends[i] : ends[j]].tobytes())) for i, j in zip(cuts, cuts[1:], strict=False)]
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                out = [(int(of[i]), row["chunk"], pack(reps[i:j].astype("<i4").tobytes()), pack(at[i:j].astype("<i2").tobytes()), pack(rank[i:j].astype("<i8").tobytes()), pack(size[i:j].astype("<i4").tobytes()), pack(flat[ends[i] : ends[j]].tobytes())) for i, j in zip(cuts, cuts[1:], strict=False)]
+                kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in TEXTS.split(", ")])
 
     return run
@@ -419,14 +444,15 @@ def _least(key, pdf: pd.DataFrame) -> pd.DataFrame:
 
     unpack = zstandard.ZstdDecompressor().decompress
     texts: list[bytes] = []
-    runs, ranks, chunks = [], [], []
-    for c, r, k, n, t in zip(pdf["chunk"], pdf["run"], pdf["rank"], pdf["size"], pdf["text"], strict=True):
+    runs, offsets, ranks, chunks = [], [], [], []
+    for c, r, o, k, n, t in zip(pdf["chunk"], pdf["run"], pdf["at"], pdf["rank"], pdf["size"], pdf["text"], strict=True):
         t, ends = unpack(t), np.cumsum(np.frombuffer(unpack(n), "<i4")).tolist()
         texts += [t[i:j] for i, j in zip([0, *ends], ends, strict=False)]
         runs.append(np.frombuffer(unpack(r), "<i4").astype(np.int64))
+        offsets.append(np.frombuffer(unpack(o), "<i2").astype(np.int64))
         ranks.append(np.frombuffer(unpack(k), "<i8"))
         chunks.append(np.full(len(ends), c, np.int64))
-    run, rank, chunk = map(np.concatenate, (runs, ranks, chunks))
+    run, offset, rank, chunk = map(np.concatenate, (runs, offsets, ranks, chunks))
     code, distinct = pd.factorize(np.array(texts, object))
     del texts
     n = len(distinct)
@@ -464,7 +490,7 @@ def _least(key, pdf: pd.DataFrame) -> pd.DataFrame:
         t = code[part]
         c = count[t]
         pick = np.repeat(from_[t], c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-        out.append((chunk[part[0]], np.repeat(run[part], c).astype("<i4").tobytes(), (at[pick] - heads[text_of[pick]]).astype("<i2").tobytes(), value[at[pick]].astype("<i8").tobytes()))
+        out.append((chunk[part[0]], np.repeat(run[part], c).astype("<i4").tobytes(), (np.repeat(offset[part], c) + at[pick] - heads[text_of[pick]]).astype("<i2").tobytes(), value[at[pick]].astype("<i8").tobytes()))
     return pd.DataFrame(out, columns=["chunk", "run", "at", "rank"])
 
 
@@ -474,7 +500,7 @@ def _least(key, pdf: pd.DataFrame) -> pd.DataFrame:
 def covered(c: Chunk, buckets: int, row: dict) -> np.ndarray:
     """Which bytes of a chunk are removed."""
     out = np.zeros(len(c.text) + 1, np.int32)
-    which = _marked(c, buckets, _wanted(row))
+    which, _ = _marked(c, buckets, row)
     if not len(which):
         return out[:-1].astype(bool)
     reps, inverse = _distinct_runs(c, which)
@@ -504,7 +530,7 @@ TEXT = DIGEST + ", text string, extra string"
 def _finish(buckets: int, with_text: bool):
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 c = Chunk(row)
                 gone = covered(c, buckets, row)
                 rows, extra = [], c.extra()
@@ -522,7 +548,7 @@ def _finish(buckets: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining text) of every row of docs (doc_id, text).
 
     Null text: as empty. Texts below WINDOW bytes keep everything. A null doc_id ranks after every other, so its
@@ -533,12 +559,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     others = [x for x in docs.columns if x not in ("doc_id", "text")] if with_text else []
     extra = F.to_json(F.struct(*[F.col(f"`{x}`") for x in others])) if others else F.lit(None).cast("string")
-    chunks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), extra.alias("extra")).mapInArrow(_chunks, CHUNK)
+    chunks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), extra.alias("extra")).mapInArrow(_chunks(chunk_bytes), CHUNK)
     chunks = persisted(chunks.select("*", F.monotonically_increasing_id().alias("chunk")))
-    buckets = max(64, chunks.count() * CHUNK_BYTES // BUCKET_BYTES)
+    buckets = max(64, chunks.count() * chunk_bytes // BUCKET_BYTES)
     anchors = chunks.mapInArrow(_emit_anchors(buckets), "bucket long, chunk long, low binary, several binary")
-    shared = persisted(anchors.groupBy("bucket").applyInPandas(_in_two, "chunk long, bucket long, low binary"))
-    wanted = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "low")).alias("w")).select("chunk", F.col("w.bucket").alias("buckets"), F.col("w.low").alias("lows"))
+    shared = persisted(anchors.groupBy("bucket").applyInPandas(_in_two(hot_chunks), "chunk long, bucket long, low binary, hot binary"))
+    wanted = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "low", "hot")).alias("w")).select("chunk", F.col("w.bucket").alias("buckets"), F.col("w.low").alias("lows"), F.col("w.hot").alias("hots"))
     marked = chunks.join(wanted, "chunk", "left")
     texts = marked.mapInArrow(_emit_texts(buckets), TEXTS)
     least = persisted(texts.groupBy("bucket").applyInPandas(_least, LEAST))

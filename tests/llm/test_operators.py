@@ -140,14 +140,14 @@ def brute_repeats(rows):
     return sorted(out, key=str)
 
 
-def test_repeats_against_brute_force(spark, odd, docs, empty, monkeypatch):
-    monkeypatch.setattr(bwt_dedup, "CHUNK_BYTES", 3000)
+@pytest.mark.parametrize("hot", [0, 3, 1000])
+def test_repeats_against_brute_force(spark, odd, docs, empty, hot):
     rng = np.random.default_rng(8)
     words = ["ab", "the", "of", "quux", "ñandú", "zz"]
     passage = " ".join(rng.choice(words, 40))
     rows = [(int(i), " ".join(rng.choice(words, int(rng.integers(1, 60)))) + (passage[int(rng.integers(0, 60)) :] if i % 3 else "") + " ".join(rng.choice(words, 9))) for i in rng.permutation(60)]
     rows += [(r["doc_id"], r["text"]) for r in odd.collect()] + [(200, "=" * 300), (201, "=" * 120), (3, passage)]
-    got = sorted(map(tuple, bwt_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    got = sorted(map(tuple, bwt_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk_bytes=2500, hot_chunks=hot).collect()), key=str)
     assert got == brute_repeats(rows)
     assert bwt_dedup.remove_repeats(empty).count() == 0
     stripped = bwt_dedup.strip_repeats(odd)
