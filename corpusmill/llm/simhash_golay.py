@@ -6,6 +6,10 @@ segment, padded to 23 bits, is decoded by the perfect binary Golay code: a word
 within distance 3 as its key and, where that distance is 3, also the indices of the five codewords at distance 4.
 Two words at distance 2 or less always share a key (checked over all coset leaders in the tests). Keys of a pair
 of segments, with the pair's number, are the blocking keys; fingerprints that meet in one are verified.
+
+Four bits of 64 are a similarity of about 0.96. For lower ones (similar_texts, 0.8 of five-word shingles as a rule)
+the fingerprint has eight words: the keys are those of the pairs of five 23-bit segments, the first word is compared
+where keys meet, and all 512 bits verify a link.
 """
 
 from __future__ import annotations
@@ -29,27 +33,50 @@ MOST_BITS = 4
 WORDS_A_SHINGLE, SEED = 4, 42
 #: Fingerprints of one key that are compared in one go; a key with more is dealt to cells of blocks.
 MOST_RUN = 4096
+#: The wide fingerprint: words, the multiples that part them (fixed: splitmix64's step), segments (word, shift) of SEGMENT bits.
+WIDE, SEGMENT = 8, 23
+MIXERS = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+WIDE_SEGMENTS = ((1, 0), (1, 23), (2, 0), (2, 23), (3, 0))
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
 
-def fingerprint(text: str | None, words_a_shingle: int = WORDS_A_SHINGLE, seed: int = SEED) -> int:
-    """SimHash over the XXH64 of word shingles, repeats included; 0 without words. A bit is 1 if it is set in over half of the hashes."""
+def shingle_hashes(text: str | None, words_a_shingle: int = WORDS_A_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included; of the whole sequence if it has fewer words; none without words."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     words = WORDS((text or "").encode("utf-8", "surrogatepass").lower())  # bytes.lower is A-Z only
-    if not words:
-        return 0
     line, k = b" ".join(words), words_a_shingle
-    ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
     if len(words) <= k:
-        return digest(line, seed)
+        return np.array([digest(line, seed)] * bool(words), "<u8")
+    ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
     starts = [0, *(e + 1 for e in ends)]
-    h = np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[k - 1 :], strict=False)], "<u8")
-    votes = np.zeros(64, np.int64)
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[k - 1 :], strict=False)], "<u8")
+
+
+def majority(h: np.ndarray, mixers: np.ndarray | None = None) -> np.ndarray:
+    """The words of the fingerprint over hashes: one word, or one for each mixer. A bit is 1 if it is set in over half of the hashes."""
+    width = 1 if mixers is None else len(mixers)
+    votes = np.zeros(64 * width, np.int64)
     for i in range(0, len(h), 4096):  # blocks keep the unpacked bits small, however long the text
-        votes += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(h), bitorder="little").view("<u8")[0])
+        x = h[i : i + 4096, None]
+        if mixers is not None:
+            x = x + mixers
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+        votes += np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    return np.packbits(2 * votes > len(h), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str | None, words_a_shingle: int = WORDS_A_SHINGLE, seed: int = SEED) -> int:
+    """SimHash over the XXH64 of word shingles, repeats included; 0 without words. A bit is 1 if it is set in over half of the hashes."""
+    return int(majority(shingle_hashes(text, words_a_shingle, seed))[0])
+
+
+def wide_fingerprint(text: str | None, words_a_shingle: int) -> np.ndarray:
+    """WIDE words of SimHash over the distinct shingles; zeros without words."""
+    return majority(np.unique(shingle_hashes(text, words_a_shingle)), MIXERS)
 
 
 @lru_cache(maxsize=1)
@@ -95,11 +122,15 @@ def segment_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocking_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, place of the fingerprint) for all keys of all pairs of segments."""
-    parts = [segment_keys((fps >> np.uint64(shift)) & np.uint64((1 << width) - 1)) for shift, width in SEGMENTS]
+    """(key, place of the fingerprint) for all keys of all pairs of segments; fps: [n], or [n, WIDE] of wide fingerprints."""
+    if fps.ndim == 1:
+        segments = [(fps >> np.uint64(shift)) & np.uint64((1 << width) - 1) for shift, width in SEGMENTS]
+    else:
+        segments = [(fps[:, word] >> np.uint64(shift)) & np.uint64((1 << SEGMENT) - 1) for word, shift in WIDE_SEGMENTS]
+    parts = [segment_keys(x) for x in segments]
     keys, places = [], []
     six = np.arange(6)
-    for number, (i, j) in enumerate(combinations(range(3), 2)):
+    for number, (i, j) in enumerate(combinations(range(len(parts)), 2)):
         (a, na), (b, nb) = parts[i], parts[j]
         key = (number << 24) | (a[:, :, None] << 12) | b[:, None, :]
         valid = (six[None, :, None] < na[:, None, None]) & (six[None, None, :] < nb[:, None, None])
@@ -117,6 +148,19 @@ def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(block[places].view(np.int64))], ["key", "fp"])
 
 
+def _words(column: pa.Array) -> np.ndarray:
+    """[n, WIDE] words of a column of wide fingerprints."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, WIDE)
+
+
+def _emit_wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        wide = _words(b.column(0))
+        for i in range(0, len(wide), 1000):
+            keys, places = blocking_keys(wide[i : i + 1000])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(wide[i : i + 1000, 0][places].view(np.int64))], ["key", "fp"])
+
+
 def forest(fps: np.ndarray, most: int = MOST_BITS) -> Iterator[tuple[int, np.ndarray]]:
     """(fingerprint, those linked to it) over a spanning forest of the links within fps. Each step compares one fingerprint with those not yet reached, so a dense group costs little more than its size."""
     rest = fps
@@ -133,7 +177,22 @@ def forest(fps: np.ndarray, most: int = MOST_BITS) -> Iterator[tuple[int, np.nda
             rest = rest[~near]
 
 
-def _link(columns: int, most_run: int | None):
+def nearest_forest(fps: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """As forest, but with the links of a minimum spanning forest, so that those likeliest to stand a closer look are the ones that are kept. Quadratic in len(fps), which MOST_RUN bounds."""
+    x, rest = fps[0], fps[1:].copy()
+    best, near = np.full(len(rest), 65, np.uint8), np.zeros(len(rest), fps.dtype)
+    for last in range(len(rest) - 1, -1, -1):
+        d = np.bitwise_count(rest[: last + 1] ^ x)
+        closer = d < best[: last + 1]
+        best[: last + 1][closer], near[: last + 1][closer] = d[closer], x
+        k = best[: last + 1].argmin()
+        if best[k] <= most:
+            yield near[k], rest[k : k + 1].copy()
+        x = rest[k]
+        rest[k], best[k], near[k] = rest[last], best[last], near[last]
+
+
+def _link(columns: int, most_run: int | None, most: int, tree):
     """Over batches sorted by their first `columns` columns (the last column is the fingerprint): rows (kind, a, b), kind 0 a link, kind 1 a row of a key with over most_run rows, to be dealt again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +204,8 @@ def _link(columns: int, most_run: int | None):
 
         def done():
             if held_n > 1:
-                for x, found in forest(np.unique(np.concatenate(held))):
-                    yield rows(0, np.full(len(found), x, np.uint64), found)
+                if pairs := list(tree(np.unique(np.concatenate(held)), most)):
+                    yield rows(0, np.concatenate([np.full(len(found), x, np.uint64) for x, found in pairs]), np.concatenate([found for _, found in pairs]))
 
         for batch in batches:
             if not batch.num_rows:
@@ -164,7 +223,7 @@ def _link(columns: int, most_run: int | None):
                 if (ok := (size_of[:-shift] > shift) & (run_of[:-shift] == run_of[shift:])).any():
                     at = np.flatnonzero(ok)
                     a, b = fps[at], fps[at + shift]
-                    near = (np.bitwise_count(a ^ b) <= MOST_BITS) & (a != b)
+                    near = (np.bitwise_count(a ^ b) <= most) & (a != b)
                     if near.any():
                         yield rows(0, a[near], b[near])
             for r in np.flatnonzero(~inner):
@@ -189,11 +248,11 @@ def _link(columns: int, most_run: int | None):
     return run
 
 
-def links(fps: DataFrame, most_run: int = MOST_RUN) -> DataFrame:
-    """(src, dst): a spanning forest's links, at most 4 bits apart, of the groups of distinct fingerprints (column fp). Links inside a key's run are reduced to a forest before they leave the task; a key with too many fingerprints is dealt to cells, one for each pair of its blocks, so that every pair still meets."""
+def links(fps: DataFrame, most_run: int = MOST_RUN, column: str = "fp", emit=_emit_keys, most: int = MOST_BITS, tree=forest) -> DataFrame:
+    """(src, dst): a spanning forest's links, at most `most` bits apart, of the groups of distinct fingerprints. emit turns the column into keys and fingerprints. Links inside a key's run are reduced to a forest before they leave the task; a key with too many fingerprints is dealt to cells, one for each pair of its blocks, so that every pair still meets."""
     out = "kind int, a long, b long"
-    keys = fps.select("fp").mapInArrow(_emit_keys, "key long, fp long").repartition("key").sortWithinPartitions("key")
-    first = persisted(keys.mapInArrow(_link(1, most_run), out))
+    keys = fps.select(column).mapInArrow(emit, "key long, fp long").repartition("key").sortWithinPartitions("key")
+    first = persisted(keys.mapInArrow(_link(1, most_run, most, tree), out))
     found = first.where("kind = 0")
     hot = first.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     if not hot.isEmpty():
@@ -201,7 +260,7 @@ def links(fps: DataFrame, most_run: int = MOST_RUN) -> DataFrame:
         cells = join_sized(hot, blocks, "key", "inner", 16).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")))
         cells = cells.select("key", "own", "fp", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
         cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-        found = found.unionByName(cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_link(3, None), out))
+        found = found.unionByName(cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_link(3, None, most, tree), out))
     return found.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
@@ -221,15 +280,58 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     rows = persisted(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long"))
     distinct = persisted(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    members = connected_components(links(distinct))
+    joined = _grouped(rows, distinct, links(distinct))
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group")
+
+
+def _grouped(rows: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (with fp) with the group of their fingerprint and the group's component_id, the smallest doc_id."""
+    members = connected_components(edges)
     grouped = distinct.join(members, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
     least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
-    of = grouped.select("fp", "group").join(least, "group")
-    joined = join_sized(rows, of, "fp", "left", 24)
-    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group")
+    return join_sized(rows, grouped.select("fp", "group").join(least, "group"), "fp", "left", 24)
+
+
+def expected_bits(similarity: float, bits: int, deviations: float) -> int:
+    """Differing bits, of so many, of two equally large shingle sets at a Jaccard similarity, and so many standard deviations more."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate group: that of the smallest doc_id (and of rows repeated in full, one)."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+def similar_texts(docs: DataFrame, similarity: float = 0.8, words_a_shingle: int = 5) -> DataFrame:
+    """doc_id, group and component_id of every row of docs (doc_id, text): texts whose sets of word shingles are similar.
+
+    Links are found by the Golay keys of the wide fingerprint and stand if all its bits differ by no more than those
+    of a pair at the given Jaccard similarity do, with one standard deviation of allowance: of pairs at 0.8 about
+    four fifths are linked, at 0.9 nearly all, at 0.7 one in ten, at 0.6 and below none. Null or wordless texts are
+    one group. Null ids, repeated rows and empty tables as in near_duplicates.
+    """
+
+    def run(batches):
+        for b in batches:
+            wide = [wide_fingerprint(t, words_a_shingle) for t in b.column(1).to_pylist()]
+            first = np.array([w[0] for w in wide], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first), pa.array([w.tobytes() for w in wide], pa.binary())], ["doc_id", "fp", "wide"])
+
+    sketch, most = expected_bits(similarity, 64, 3.6), expected_bits(similarity, 64 * WIDE, 1)
+
+    def verify(batches):
+        for b in batches:
+            near = np.bitwise_count(_words(b.column(2)) ^ _words(b.column(3))).sum(1, dtype=np.int64) <= most
+            near = pa.array(near)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], ["src", "dst"])
+
+    rows = persisted(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, wide binary"))
+    distinct = persisted(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("wide").alias("wide")))
+    found = links(distinct, column="wide", emit=_emit_wide_keys, most=sketch, tree=nearest_forest)
+    found = found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    for end in ("src", "dst"):
+        found = found.join(distinct.select(F.col("fp").alias(end), F.col("wide").alias(f"wide_{end}")), end)
+    edges = found.select("src", "dst", "wide_src", "wide_dst").mapInArrow(verify, "src long, dst long")
+    return _grouped(rows.drop("wide"), distinct.drop("wide"), edges).select("doc_id", "component_id", "group")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, words_a_shingle: int = 5) -> DataFrame:
+    """docs with one document of each group of similar texts: that of the smallest doc_id (and of rows repeated in full, one)."""
+    kept = similar_texts(docs, similarity, words_a_shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])

@@ -213,6 +213,65 @@ def test_simhash_against_brute_force(spark, odd, docs, empty):
     assert kept.columns == odd.columns and kept.groupBy("doc_id", "text").count().where("count > 1").count() == 0
 
 
+def edited(rng, words, changed):
+    out = list(words)
+    for k in rng.choice(len(out), changed, replace=False):
+        out[k] = f"edit{rng.integers(1 << 30)}"
+    return out
+
+
+def test_similar_texts_by_exact_similarity(spark, odd, empty):
+    def shingles(words):
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    rng = np.random.default_rng(5)
+    rows, near, far = [], 0, 0
+    for g in range(120):
+        base = [f"w{x}" for x in rng.integers(0, 3000, 400)]
+        # a near copy, a looser version of the near copy's start, and an exact copy in other case
+        for words in (base, edited(rng, base, 3), edited(rng, base, 60), [w.upper() for w in base]):
+            rows.append((len(rows), " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash_golay.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d in range(0, len(rows), 4):
+        a, b, c = (shingles(rows[d + k][1].split()) for k in range(3))
+        assert len(a & b) / len(a | b) > 0.9 and len(a & c) / len(a | c) < 0.6
+        assert got[d] == got[d + 3] == d
+        near += got[d + 1] == d
+        far += got[d + 2] == d
+    assert len(got) == len(rows) and near >= 118 and far <= 1
+    assert simhash_golay.similar_texts(empty).count() == 0
+    of = {r["doc_id"]: r["component_id"] for r in simhash_golay.similar_texts(odd.where("doc_id is not null")).collect()}
+    assert of == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 8, 10: 10}
+
+
+def test_nearest_forest_spans_what_forest_spans():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 12, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 12, dtype=np.uint64)) for _ in range(30)] + [base]))
+
+    def parts(tree, most):
+        near = {int(x): int(x) for x in fps}
+
+        def top(x):
+            while near[x] != x:
+                x = near[x]
+            return x
+
+        n = 0
+        for x, found in tree(fps, most):
+            for y in found:
+                near[top(int(y))] = top(int(x))
+                n += 1
+        groups = {}
+        for x in near:
+            groups.setdefault(top(x), set()).add(x)
+        return n, sorted(map(sorted, groups.values()))
+
+    for most in (0, 2, 4, 12):
+        n, mine = parts(simhash_golay.nearest_forest, most)
+        assert mine == parts(simhash_golay.forest, most)[1] and n == len(fps) - len(mine)
+
+
 def test_simhash_definition():
     import xxhash
 
