@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Fixed: the split pattern of byte-level BPE tokenizers of this family (public).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept in memory by one Python worker; when full, the memo starts anew (a bound on memory alone).
@@ -152,7 +154,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_column: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([x[1].decode("utf-8", "replace") for x in got], pa.string())], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_column)
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(lean(run), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_column)
 
 
 def encoding_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -175,7 +177,7 @@ def encoding_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 dec.append(sha(d.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def pieces_of(ids: bytes, size: int) -> list[tuple[int, int, int]]:

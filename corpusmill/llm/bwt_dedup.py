@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import persisted
+from .common import lean, lean_group, persisted
 
 WINDOW, K = 50, 20
 #: Bytes of text in a chunk (one longer document is a chunk of its own), and of all text for which there is a bucket.
@@ -559,17 +559,17 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, chunk_bytes: int =
     """
     others = [x for x in docs.columns if x not in ("doc_id", "text")] if with_text else []
     extra = F.to_json(F.struct(*[F.col(f"`{x}`") for x in others])) if others else F.lit(None).cast("string")
-    chunks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), extra.alias("extra")).mapInArrow(_chunks(chunk_bytes), CHUNK)
+    chunks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), extra.alias("extra")).mapInArrow(lean(_chunks(chunk_bytes)), CHUNK)
     chunks = persisted(chunks.select("*", F.monotonically_increasing_id().alias("chunk")))
     buckets = max(64, chunks.count() * chunk_bytes // BUCKET_BYTES)
-    anchors = chunks.mapInArrow(_emit_anchors(buckets), "bucket long, chunk long, low binary, several binary")
-    shared = persisted(anchors.groupBy("bucket").applyInPandas(_in_two(hot_chunks), "chunk long, bucket long, low binary, hot binary"))
+    anchors = chunks.mapInArrow(lean(_emit_anchors(buckets)), "bucket long, chunk long, low binary, several binary")
+    shared = persisted(anchors.groupBy("bucket").applyInPandas(lean_group(_in_two(hot_chunks)), "chunk long, bucket long, low binary, hot binary"))
     wanted = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "low", "hot")).alias("w")).select("chunk", F.col("w.bucket").alias("buckets"), F.col("w.low").alias("lows"), F.col("w.hot").alias("hots"))
     marked = chunks.join(wanted, "chunk", "left")
-    texts = marked.mapInArrow(_emit_texts(buckets), TEXTS)
-    least = persisted(texts.groupBy("bucket").applyInPandas(_least, LEAST))
+    texts = marked.mapInArrow(lean(_emit_texts(buckets)), TEXTS)
+    least = persisted(texts.groupBy("bucket").applyInPandas(lean_group(_least), LEAST))
     back = least.groupBy("chunk").agg(F.collect_list(F.struct("run", "at", "rank")).alias("b")).select("chunk", F.col("b.run").alias("run"), F.col("b.at").alias("at"), F.col("b.rank").alias("rank"))
-    return marked.join(back, "chunk", "left").mapInArrow(_finish(buckets, with_text), TEXT if with_text else DIGEST)
+    return marked.join(back, "chunk", "left").mapInArrow(lean(_finish(buckets, with_text)), TEXT if with_text else DIGEST)
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,37 @@ def persisted(df: DataFrame, partitions: int | None = None, **options: str) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system; Arrow's pool and the C library's heap keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, after which its worker, which Spark reuses for later stages, holds no memory that it has freed."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
+def lean_group(run: Callable):
+    """The same for a function of a key and a group's rows."""
+
+    def wrapped(key, pdf):
+        try:
+            return run(key, pdf)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
 def small_enough(df: DataFrame, bytes_a_row: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether df, counted now, is below the broadcast limit."""
     most = limit // bytes_a_row

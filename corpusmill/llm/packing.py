@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_path, encoder, pieces_of
-from .common import persisted
+from .common import lean, persisted
 
 CAPACITY = 1024
 #: End-of-document token.
@@ -84,7 +84,7 @@ def document_pieces(docs: DataFrame, path: str | None = None, capacity: int = CA
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ITEM)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), ITEM)
 
 
 def _pack(capacity: int):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import persisted
+from .common import lean, persisted
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 SYMBOLS = "#*$%&|<>"
@@ -57,7 +57,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols), b.column(2)], [x.split()[0] for x in STATS.split(", ")])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), lang.alias("lang")).mapInArrow(run, STATS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), lang.alias("lang")).mapInArrow(lean(run), STATS)
 
 
 def metric(name: str) -> Column:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 FIT_ROWS, FIT_CHARS = 6_000, 20_000
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 48, 6, 2
 HIDDEN, EPOCHS, THRESHOLD = 32, 60, 0.7
@@ -182,7 +184,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
             x = np.stack([model.pool(words.ids(t or "")) for t in b.column(1).to_pylist()]) if b.num_rows else np.zeros((0, len(model.mean)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(x))], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -197,4 +199,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
                 x = np.stack([model.pool(words.ids(t or "")) for t in b.column("text").to_pylist()])
                 yield b.filter(pa.array(model.scores(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

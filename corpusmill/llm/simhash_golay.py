@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, join_sized, persisted
+from .common import connected_components, join_sized, lean, persisted
 
 #: Fixed: generator polynomial of the binary Golay code (23, 12, 7).
 GENERATOR = 0b110001110101
@@ -251,8 +251,8 @@ def _link(columns: int, most_run: int | None, most: int, tree):
 def links(fps: DataFrame, most_run: int = MOST_RUN, column: str = "fp", emit=_emit_keys, most: int = MOST_BITS, tree=forest) -> DataFrame:
     """(src, dst): a spanning forest's links, at most `most` bits apart, of the groups of distinct fingerprints. emit turns the column into keys and fingerprints. Links inside a key's run are reduced to a forest before they leave the task; a key with too many fingerprints is dealt to cells, one for each pair of its blocks, so that every pair still meets."""
     out = "kind int, a long, b long"
-    keys = fps.select(column).mapInArrow(emit, "key long, fp long").repartition("key").sortWithinPartitions("key")
-    first = persisted(keys.mapInArrow(_link(1, most_run, most, tree), out))
+    keys = fps.select(column).mapInArrow(lean(emit), "key long, fp long").repartition("key").sortWithinPartitions("key")
+    first = persisted(keys.mapInArrow(lean(_link(1, most_run, most, tree)), out))
     found = first.where("kind = 0")
     hot = first.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     if not hot.isEmpty():
@@ -260,7 +260,7 @@ def links(fps: DataFrame, most_run: int = MOST_RUN, column: str = "fp", emit=_em
         cells = join_sized(hot, blocks, "key", "inner", 16).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")))
         cells = cells.select("key", "own", "fp", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
         cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-        found = found.unionByName(cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_link(3, None, most, tree), out))
+        found = found.unionByName(cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(_link(3, None, most, tree)), out))
     return found.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    rows = persisted(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long"))
+    rows = persisted(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, fp long"))
     distinct = persisted(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = _grouped(rows, distinct, links(distinct))
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group")
@@ -321,13 +321,13 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, words_a_shingle: int
             near = pa.array(near)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], ["src", "dst"])
 
-    rows = persisted(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, wide binary"))
+    rows = persisted(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, fp long, wide binary"))
     distinct = persisted(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("wide").alias("wide")))
     found = links(distinct, column="wide", emit=_emit_wide_keys, most=sketch, tree=nearest_forest)
     found = found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     for end in ("src", "dst"):
         found = found.join(distinct.select(F.col("fp").alias(end), F.col("wide").alias(f"wide_{end}")), end)
-    edges = found.select("src", "dst", "wide_src", "wide_dst").mapInArrow(verify, "src long, dst long")
+    edges = found.select("src", "dst", "wide_src", "wide_dst").mapInArrow(lean(verify), "src long, dst long")
     return _grouped(rows.drop("wide"), distinct.drop("wide"), edges).select("doc_id", "component_id", "group")
 
 

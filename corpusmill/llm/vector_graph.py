@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, join_sized, persisted
+from .common import connected_components, join_sized, lean, persisted
 
 THRESHOLD = 0.9
 #: Nodes aimed at in a shard; most centres (sampled by hash).
@@ -239,7 +239,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     vector; a component's id is its smallest non-null one. Empty table: empty result.
     """
     spark = vectors.sparkSession
-    rows = persisted(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_units, "vec_id long, unit binary"))
+    rows = persisted(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(lean(_units), "vec_id long, unit binary"))
     grouped = rows.where("unit is not null").groupBy("unit").agg(F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"))
     nodes = persisted(grouped.withColumn("node", F.monotonically_increasing_id()))
     widths = [r["w"] for r in nodes.select(F.length("unit").alias("w")).distinct().limit(1001).collect()]
@@ -250,7 +250,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
         own = nodes.where(F.length("unit") == width)
         k = max(1, min(MOST_CENTRES, round(own.count() / SHARD)))
         centres = _matrix([r["unit"] for r in own.orderBy(F.xxhash64("unit"), "node").limit(k).collect()])
-        members = persisted(own.select("node", "unit").mapInArrow(_assign(centres), "node long, shard int, home boolean"))
+        members = persisted(own.select("node", "unit").mapInArrow(lean(_assign(centres)), "node long, shard int, home boolean"))
         sizes = members.groupBy("shard").agg(F.count_if("home").alias("h"), F.count("*").alias("m"))
         sizes = persisted(sizes.select("shard", F.greatest(F.lit(1), F.ceil(F.col("h") / BLOCK)).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("m") / SLICE)).cast("int").alias("slices")))
         cells = _cells(own.select("node", "unit", "copies", "vec_id"), members, sizes)
