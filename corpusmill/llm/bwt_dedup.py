@@ -36,6 +36,8 @@ WINDOW, K = 50, 20
 #: Bytes of text in a chunk (one longer document is a chunk of its own), and of all text for which there is a bucket.
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 3 << 20
+#: Strings of a chunk that are hashed in one go.
+BLOCK = 1 << 17
 #: Runs whose anchor is in more chunks than this meet string by string instead of by anchor, so that a very common
 #: anchor with ever different surroundings is spread over all buckets.
 HOT_CHUNKS = 1000
@@ -97,19 +99,23 @@ def runs_of(text: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k: int
     if n < window:
         return empty, empty, empty
     s = sums(text)
-    h = _mixed((s[k:] - s[:-k]) * _power_at(_BACK, _INVERSE, np.arange(n - k + 1)))
-    del s
-    places = np.arange(len(h), dtype=np.int32)
-    least, span = h, 1
     want = window - k + 1
-    while span < want:
-        step = min(span, want - span)
-        right = least[step:]
-        left = least[: len(right)]
-        take = right < left
-        places = np.where(take, places[step:], places[: len(right)])
-        least = np.where(take, right, left)
-        span += step
+    strings = n - window + 1
+    places = np.empty(strings, np.int32)
+    for start in range(0, strings, BLOCK):  # blocks keep the hashes of a chunk out of memory
+        end = min(start + BLOCK, strings) + want - 1
+        least = _mixed((s[start + k : end + k] - s[start:end]) * _power_at(_BACK, _INVERSE, np.arange(start, end)))
+        here, span = np.arange(start, end, dtype=np.int32), 1
+        while span < want:
+            step = min(span, want - span)
+            right = least[step:]
+            left = least[: len(right)]
+            take = right < left
+            here = np.where(take, here[step:], here[: len(right)])
+            least = np.where(take, right, left)
+            span += step
+        places[start : start + len(here)] = here
+    del s
     valid = np.zeros(n + 1, np.int32)
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         if b - a >= window:

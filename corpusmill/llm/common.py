@@ -43,12 +43,20 @@ def release_memory() -> None:
         trim(0)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about most_bytes, so that the objects made of one stay few where rows are long."""
+    for b in batches:
+        rows = max(1, b.num_rows * most_bytes // max(1, b.nbytes))
+        for i in range(0, max(1, b.num_rows), rows):
+            yield b.slice(i, rows)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """run, after which its worker, which Spark reuses for later stages, holds no memory that it has freed."""
+    """run over slices of its batches, after which its worker, which Spark reuses for later stages, holds no memory that it has freed."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(sliced(batches))
         finally:
             release_memory()
 
