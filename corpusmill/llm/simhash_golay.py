@@ -8,12 +8,13 @@ Two words at distance 2 or less always share a key (checked over all coset leade
 of segments, with the pair's number, are the blocking keys; fingerprints that meet in one are verified.
 
 Four bits of 64 are a similarity of about 0.96. For lower ones (similar_texts, 0.8 of five-word shingles as a rule)
-the fingerprint has eight words: the keys are those of the pairs of five 23-bit segments, the first word is compared
-where keys meet, and all 512 bits verify a link.
+the links so found are followed by those of a prefix filter, which misses none, and the exact Jaccard similarity
+decides each.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,10 +34,8 @@ MOST_BITS = 4
 WORDS_A_SHINGLE, SEED = 4, 42
 #: Fingerprints of one key that are compared in one go; a key with more is dealt to cells of blocks.
 MOST_RUN = 4096
-#: The wide fingerprint: words, the multiples that part them (fixed: splitmix64's step), segments (word, shift) of SEGMENT bits.
-WIDE, SEGMENT = 8, 23
-MIXERS = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-WIDE_SEGMENTS = ((1, 0), (1, 23), (2, 0), (2, 23), (3, 0))
+#: Similar texts: bits of a set's sketch, sets in the sample that orders shingles, turns of pivots before all pairs.
+ODD_BITS, SAMPLE, PIVOTS = 512, 2000, 2
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
 
@@ -54,29 +53,18 @@ def shingle_hashes(text: str | None, words_a_shingle: int = WORDS_A_SHINGLE, see
     return np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[k - 1 :], strict=False)], "<u8")
 
 
-def majority(h: np.ndarray, mixers: np.ndarray | None = None) -> np.ndarray:
-    """The words of the fingerprint over hashes: one word, or one for each mixer. A bit is 1 if it is set in over half of the hashes."""
-    width = 1 if mixers is None else len(mixers)
-    votes = np.zeros(64 * width, np.int64)
+def majority(h: np.ndarray) -> int:
+    """The fingerprint over hashes. A bit is 1 if it is set in over half of them."""
+    votes = np.zeros(64, np.int64)
     for i in range(0, len(h), 4096):  # blocks keep the unpacked bits small, however long the text
-        x = h[i : i + 4096, None]
-        if mixers is not None:
-            x = x + mixers
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-        votes += np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
-    return np.packbits(2 * votes > len(h), bitorder="little").view("<u8")
+        x = np.ascontiguousarray(h[i : i + 4096, None])
+        votes += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    return int(np.packbits(2 * votes > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: str | None, words_a_shingle: int = WORDS_A_SHINGLE, seed: int = SEED) -> int:
     """SimHash over the XXH64 of word shingles, repeats included; 0 without words. A bit is 1 if it is set in over half of the hashes."""
-    return int(majority(shingle_hashes(text, words_a_shingle, seed))[0])
-
-
-def wide_fingerprint(text: str | None, words_a_shingle: int) -> np.ndarray:
-    """WIDE words of SimHash over the distinct shingles; zeros without words."""
-    return majority(np.unique(shingle_hashes(text, words_a_shingle)), MIXERS)
+    return majority(shingle_hashes(text, words_a_shingle, seed))
 
 
 @lru_cache(maxsize=1)
@@ -122,12 +110,8 @@ def segment_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocking_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, place of the fingerprint) for all keys of all pairs of segments; fps: [n], or [n, WIDE] of wide fingerprints."""
-    if fps.ndim == 1:
-        segments = [(fps >> np.uint64(shift)) & np.uint64((1 << width) - 1) for shift, width in SEGMENTS]
-    else:
-        segments = [(fps[:, word] >> np.uint64(shift)) & np.uint64((1 << SEGMENT) - 1) for word, shift in WIDE_SEGMENTS]
-    parts = [segment_keys(x) for x in segments]
+    """(key, place of the fingerprint) for all keys of all pairs of segments."""
+    parts = [segment_keys((fps >> np.uint64(shift)) & np.uint64((1 << width) - 1)) for shift, width in SEGMENTS]
     keys, places = [], []
     six = np.arange(6)
     for number, (i, j) in enumerate(combinations(range(len(parts)), 2)):
@@ -148,19 +132,6 @@ def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(block[places].view(np.int64))], ["key", "fp"])
 
 
-def _words(column: pa.Array) -> np.ndarray:
-    """[n, WIDE] words of a column of wide fingerprints."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, WIDE)
-
-
-def _emit_wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        wide = _words(b.column(0))
-        for i in range(0, len(wide), 1000):
-            keys, places = blocking_keys(wide[i : i + 1000])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(wide[i : i + 1000, 0][places].view(np.int64))], ["key", "fp"])
-
-
 def forest(fps: np.ndarray, most: int = MOST_BITS) -> Iterator[tuple[int, np.ndarray]]:
     """(fingerprint, those linked to it) over a spanning forest of the links within fps. Each step compares one fingerprint with those not yet reached, so a dense group costs little more than its size."""
     rest = fps
@@ -292,43 +263,187 @@ def _grouped(rows: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFram
     return join_sized(rows, grouped.select("fp", "group").join(least, "group"), "fp", "left", 24)
 
 
-def expected_bits(similarity: float, bits: int, deviations: float) -> int:
-    """Differing bits, of so many, of two equally large shingle sets at a Jaccard similarity, and so many standard deviations more."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
+# -- texts at a Jaccard similarity ---------------------------------------------------
+
+
+def shingle_set(text: str | None, words_a_shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words_a_shingle))
+
+
+def odd_sketch(h: np.ndarray) -> bytes:
+    """ODD_BITS bits, each the parity of the hashes that fall on it. Two sets' sketches differ in no more bits than the sets differ in elements."""
+    odd = np.bincount((h >> np.uint64(64 - ODD_BITS.bit_length() + 1)).astype(np.int64), minlength=ODD_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def prefix(h: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """So many of the first hashes, in one order for all sets (rare in the sample first, then by value), that sets at the similarity or more have one of them in common."""
+    if not len(h):
+        return h
+    most = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+    often = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        often = np.where(common[at] == h, counts[at], 0)
+    return h[np.lexsort((h, often))[:most]]
+
+
+def most_apart(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Elements in which two sets at the similarity differ at most; sizes: their sizes' sum."""
+    return (1 - similarity) / (1 + similarity) * sizes + 1e-6
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node) sorted by key, those whose key another row has too."""
+    last, told = None, True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy(zero_copy_only=False)
+        same = key[1:] == key[:-1]
+        before = last is not None and last.column(0)[0].as_py() == key[0]
+        if before and not told:
+            yield last
+        keep = np.concatenate([[before], same]) | np.concatenate([same, [False]])
+        yield b.filter(pa.array(keep))
+        last, told = b.slice(b.num_rows - 1), bool(keep[-1])
+
+
+def _across(similarity: float):
+    """Over rows (key, i, j, own, node, component, size, odd) sorted by key, i, j: the pairs (src, dst) of a cell, of different components, that their sketches don't rule out."""
+
+    def pairs(cell, parts):
+        own, node, component, size = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        odd = np.concatenate([p[4] for p in parts])
+        for x in range(len(node) - 1):
+            at = component[x + 1 :] != component[x]
+            if cell[1] != cell[2]:
+                at &= own[x + 1 :] != own[x]
+            at = np.flatnonzero(at) + x + 1
+            if not len(at):
+                continue
+            most = most_apart(size[at] + size[x], similarity)
+            at = at[(np.abs(size[at] - size[x]) <= most) & (np.bitwise_count(odd[at] ^ odd[x]).sum(1, dtype=np.int64) <= most)]
+            if len(at):
+                ends = (np.minimum(node[at], node[x]), np.maximum(node[at], node[x]))
+                yield pa.RecordBatch.from_arrays([pa.array(e) for e in ends], ["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_cell = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            columns = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)]
+            odd = np.frombuffer(b"".join(b.column(7).to_pylist()), "<u8").reshape(b.num_rows, -1)
+            cells = np.stack(columns[:3])
+            starts = [0, *(np.flatnonzero((cells[:, 1:] != cells[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+            for s, e in zip(starts, starts[1:], strict=False):
+                cell = tuple(cells[:, s].tolist())
+                if cell != held_cell:
+                    if held:
+                        yield from pairs(held_cell, held)
+                    held, held_cell = [], cell
+                held.append((*(c[s:e] for c in columns[3:]), odd[s:e]))
+        if held:
+            yield from pairs(held_cell, held)
+
+    return run
 
 
 def similar_texts(docs: DataFrame, similarity: float = 0.8, words_a_shingle: int = 5) -> DataFrame:
     """doc_id, group and component_id of every row of docs (doc_id, text): texts whose sets of word shingles are similar.
 
-    Links are found by the Golay keys of the wide fingerprint and stand if all its bits differ by no more than those
-    of a pair at the given Jaccard similarity do, with one standard deviation of allowance: of pairs at 0.8 about
-    four fifths are linked, at 0.9 nearly all, at 0.7 one in ten, at 0.6 and below none. Null or wordless texts are
-    one group. Null ids, repeated rows and empty tables as in near_duplicates.
+    A link is a pair whose sets have a Jaccard similarity of at least `similarity`, computed for the pair; groups are
+    the components of all links. Candidates come from the Golay keys of the sets' SimHash and, as those miss pairs,
+    from prefixes: sets at the similarity share one of the first elements of both in a common order. Where many share
+    one, links to the run's pivots are tried first, and then every pair that these have left in different groups
+    and that a bound on the sets' difference doesn't rule out. Null or wordless texts are one group. Null ids,
+    repeated rows and empty tables as in near_duplicates.
     """
 
     def run(batches):
         for b in batches:
-            wide = [wide_fingerprint(t, words_a_shingle) for t in b.column(1).to_pylist()]
-            first = np.array([w[0] for w in wide], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first), pa.array([w.tobytes() for w in wide], pa.binary())], ["doc_id", "fp", "wide"])
+            sets = [shingle_set(t, words_a_shingle) for t in b.column(1).to_pylist()]
+            fps = np.array([majority(h) for h in sets], np.uint64).view(np.int64)
+            kinds = [[hashlib.blake2b(h, digest_size=16).digest() for h in sets], [odd_sketch(h) for h in sets], [h.tobytes() for h in sets]]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([len(h) for h in sets], pa.int32()), *(pa.array(x, pa.binary()) for x in kinds)], ["doc_id", "fp", "size", "digest", "odd", "shingles"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, fp long, size int, digest binary, odd binary, shingles binary")
+    rows = persisted(rows.withColumn("row", F.monotonically_increasing_id()))
+    # equal sets are one node, the first of their rows
+    nodes = persisted(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")))
+    small = persisted(rows.select("row", "fp", "size", "odd").join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"))
+    sets = rows.select(F.col("row").alias("node"), "size", "shingles")
+
+    # an order that puts what a bounded sample has often last; any order finds all pairs
+    sample = F.broadcast(small.select(F.col("node").alias("row")).orderBy(F.xxhash64("row")).limit(SAMPLE))
+    taken = [np.frombuffer(r["h"], "<u8") for r in rows.join(sample, "row").select(F.substring("shingles", 1, 8 * 4096).alias("h")).collect()]
+    common, counts = np.unique(np.concatenate([np.zeros(0, "<u8"), *taken]), return_counts=True)
+    common, counts = common[counts > 1], counts[counts > 1]
+
+    def emit(batches):
+        for b in batches:
+            for node, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                keys = prefix(np.frombuffer(h, "<u8"), similarity, common, counts).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), node, np.int64))], ["key", "node"])
 
-    sketch, most = expected_bits(similarity, 64, 3.6), expected_bits(similarity, 64 * WIDE, 1)
+    def likely(batches):
+        for b in batches:
+            sizes = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3)]
+            odd = [np.frombuffer(b"".join(b.column(i).to_pylist()), "<u8").reshape(b.num_rows, -1) for i in (4, 5)]
+            near = np.bitwise_count(odd[0] ^ odd[1]).sum(1, dtype=np.int64) <= most_apart(sizes[0] + sizes[1], similarity)
+            yield b.select(["src", "dst"]).filter(pa.array(near))
 
-    def verify(batches):
+    def exact(batches):
         for b in batches:
-            near = np.bitwise_count(_words(b.column(2)) ^ _words(b.column(3))).sum(1, dtype=np.int64) <= most
-            near = pa.array(near)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], ["src", "dst"])
-
-    rows = persisted(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, fp long, wide binary"))
-    distinct = persisted(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("wide").alias("wide")))
-    found = links(distinct, column="wide", emit=_emit_wide_keys, most=sketch, tree=nearest_forest)
-    found = found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+            near = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                both = len(x) // 8 + len(y) // 8
+                inner = both - len(np.unique(np.frombuffer(x + y, "<u8")))
+                near.append(inner >= similarity * (both - inner) - 1e-9)
+            yield b.select(["src", "dst"]).filter(pa.array(near, pa.bool_()))
+
+    def ends(pairs, of, columns):
+        for end in ("src", "dst"):
+            pairs = pairs.join(of.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
+        return pairs.select("src", "dst", *[f"{c}_{end}" for c in columns for end in ("src", "dst")])
+
+    def verified(pairs):
+        pairs = persisted(ends(pairs.distinct(), small, ("size", "odd")).mapInArrow(lean(likely), "src long, dst long"))
+        wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        held = sets.join(wanted, "node", "left_semi")
+        return persisted(ends(pairs, held, ("shingles",)).mapInArrow(lean(exact), "src long, dst long"))
+
+    def labelled(found):
+        return met.join(connected_components(found), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+
+    # by the method: fingerprints at most MOST_BITS apart
+    first = persisted(small.groupBy("fp").agg(F.min("node").alias("node")))
+    equal = small.join(first.withColumnRenamed("node", "src"), "fp").where("src != node").select("src", F.col("node").alias("dst"))
+    golay = links(first)
     for end in ("src", "dst"):
-        found = found.join(distinct.select(F.col("fp").alias(end), F.col("wide").alias(f"wide_{end}")), end)
-    edges = found.select("src", "dst", "wide_src", "wide_dst").mapInArrow(lean(verify), "src long, dst long")
-    return _grouped(rows.drop("wide"), distinct.drop("wide"), edges).select("doc_id", "component_id", "group")
+        golay = golay.join(first.select(F.col("fp").alias(end), F.col("node").alias(f"n_{end}")), end)
+    found = verified(equal.unionByName(golay.select(F.least("n_src", "n_dst").alias("src"), F.greatest("n_src", "n_dst").alias("dst"))))
+    # by prefixes
+    keys = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "shingles").mapInArrow(lean(emit), "key long, node long")
+    met = persisted(keys.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_shared), "key long, node long"))
+    for turn in range(PIVOTS):
+        of = persisted(labelled(found))
+        pivots = of.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "component")).alias("p"), F.min("component").alias("a"), F.max("component").alias("b"))
+        pivots = pivots.where("a != b").select("key", F.col("p.node").alias("pivot"), F.col("p.component").alias("own"))
+        star = of.join(pivots, "key").where("component != own").select(F.least("node", "pivot").alias("src"), F.greatest("node", "pivot").alias("dst"))
+        found = found.unionByName(verified(star))
+    of = persisted(labelled(found))
+    runs = of.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count("*") / F.lit(MOST_RUN / 2)).cast("int").alias("n"))
+    cells = of.join(runs.where("a != b").select("key", "n"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    cells = cells.join(small.select("node", "size", "odd"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "size", "odd")
+    rest = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(_across(similarity)), "src long, dst long")
+    found = found.unionByName(verified(rest))
+    members = connected_components(found)
+    grouped = nodes.join(members, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    return join_sized(rows.select("doc_id", "digest"), grouped.select("digest", "group").join(least, "group"), "digest", "left", 40).select("doc_id", "component_id", "group")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, words_a_shingle: int = 5) -> DataFrame:

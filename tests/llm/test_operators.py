@@ -244,6 +244,42 @@ def test_similar_texts_by_exact_similarity(spark, odd, empty):
     assert of == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 8, 10: 10}
 
 
+def exact_components(sets):
+    """By all pairs: the smallest number that links at a Jaccard similarity of 0.8 or more reach."""
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = top(i), top(j)
+                root[max(x, y)] = min(x, y)
+    return [top(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("most_run", [4096, 16])
+def test_similar_texts_equal_all_pairs(spark, monkeypatch, most_run):
+    monkeypatch.setattr(simhash_golay, "MOST_RUN", most_run)
+    rng = np.random.default_rng(11)
+    frame = [f"t{x}" for x in rng.integers(0, 5000, 320)]
+    family = [frame + [f"u{x}" for x in rng.integers(0, 1 << 40, 84)] for _ in range(150)]  # pairwise about 0.65
+    texts = family + [edited(rng, w, 6) for w in family[:20]]
+    for changed in (7, 8, 9, 10):  # edits of a text that leave it just above and below 0.8
+        for _ in range(30):
+            base = [f"w{x}" for x in rng.integers(0, 1 << 40, 404)]
+            texts += [base, edited(rng, base, changed)]
+    near = frame + [f"n{x}" for x in range(84)]
+    texts += [near] + [edited(rng, near, int(rng.integers(1, 12))) for _ in range(60)]  # a dense group
+    want = exact_components([{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts])
+    got = simhash_golay.similar_texts(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"))
+    assert [r["component_id"] for r in got.orderBy("doc_id").collect()] == want
+    assert len(set(want[:150])) > 140 and len(set(want)) < len(want) - 100
+
+
 def test_nearest_forest_spans_what_forest_spans():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
