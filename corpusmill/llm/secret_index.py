@@ -47,6 +47,14 @@ ADDED = (
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 RULES = BASE + ADDED
+#: A private key as a whole, for its removal: to its END line if that comes next, else over armour headers and base64 (to the text's end, if it is cut off there).
+KEY = (
+    "-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----(?:"
+    "[^-]*+(?:-(?!----)[^-]*+){0,400}+-----END [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+    "|(?:\\s*+[A-Z][A-Za-z-]{2,19}: [^\\n]{0,200}+\\n){0,20}+(?:(?:\\\\r)?+[\\s\\\\]*+[A-Za-z0-9+/]{16,}+={0,2}+){0,1000}+"
+    "(?:[\\s\\\\]*+[A-Za-z0-9+/]{1,63}+(?:={1,2}+|(?=\\n)|(?![\\s\\S])))?+(?:[\\s\\\\]*+=[A-Za-z0-9+/]{4})?+)"
+)
+REMOVED = tuple(Rule(r.kind, KEY) if r.kind == "pem" else r for r in RULES)
 #: Strings that one part may spell before it counts as any; trigrams kept of one string.
 MOST_STRINGS, MOST_TRIGRAMS = 64, 5
 
@@ -221,8 +229,8 @@ def secret_report(docs: DataFrame, rules=RULES, base: int = len(BASE)) -> DataFr
     return found.select("doc_id", *counts, F.sha2(span_list(own, rules), 256).alias("base_sha256"), span_list(F.col("spans"), rules).alias("spans"))
 
 
-def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every found span of the text replaced by mark (overlapping spans as one); n_chars, where there is one, follows the text. All other columns, whatever their names, stay."""
+def redact(docs: DataFrame, rules=REMOVED, mark: str = "[SECRET]") -> DataFrame:
+    """docs with every found span of the text, private keys as a whole, replaced by mark (overlapping spans as one); n_chars, where there is one, follows the text. All other columns, whatever their names, stay."""
     found = scan(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), rules)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

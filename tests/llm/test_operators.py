@@ -376,6 +376,24 @@ def test_redact(spark, odd):
     assert out.columns == odd.columns and r["text"] == "[SECRET] [SECRET] [SECRET]" and r["n_chars"] == len(r["text"]) and r["spans"] == "clash"
 
 
+def test_redact_takes_whole_keys(spark):
+    lines = ["MIIEpAIBAAKCAQEA" + "xY9+/b" * 8, "Zz09" * 16, "Ab3/" * 5 + "=="]
+    body = "\n".join(lines)
+    key = "-----BEGIN {0}PRIVATE KEY{1}-----\n{2}\n-----END {0}PRIVATE KEY{1}-----"
+    texts = [
+        ("before " + key.format("RSA ", "", body) + " after", "before [SECRET] after"),
+        (key.format("", "", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\n" + body) + "\nand prose", "[SECRET]\nand prose"),
+        ("x " + key.format("PGP ", " BLOCK", "Version: GnuPG v2\n\n" + body + "\n=aB3d") + " y", "x [SECRET] y"),
+        ("a " + key.format("EC ", "", body) + " b " + key.format("", "", body) + " c", "a [SECRET] b [SECRET] c"),
+        (repr(key.format("", "", body)), "'[SECRET]'"),
+        (f"cut -----BEGIN PRIVATE KEY-----\n{body}\nthen other words follow", "cut [SECRET]\nthen other words follow"),
+        (f"cut -----BEGIN PRIVATE KEY-----\n{body[:-5]}", "cut [SECRET]"),
+        ("the line -----BEGIN PRIVATE KEY----- opens a key - as a rule", "the line [SECRET] opens a key - as a rule"),
+    ]
+    out = secret_index.redact(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string"))
+    assert [r["text"] for r in out.orderBy("doc_id").collect()] == [want for _, want in texts]
+
+
 # -- 6 ---------------------------------------------------------------------------
 
 
