@@ -487,6 +487,24 @@ def test_urls(spark):
     assert url_equiv.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LINKS = [
+    ('<link rel="canonical" href="page2.html">', "http://h.org/a/page2.html"), ("<link href='../x' rel='canonical'>", "http://h.org/x"), ("<LINK REL=canonical HREF=?id=3>", "http://h.org/a/b?id=3"),
+    ('<link rel="canonical" href="./c/./d/..">', "http://h.org/a/c/"), ('<link rel="canonical" href="../../../up?q=../z#f">', "http://h.org/up?q=../z"), ('<link rel="canonical" href="/r/../s">', "http://h.org/s"),
+    ('<link rel="canonical" href="//o.org/x">', "http://o.org/x"), ('<link rel="canonical" href="http://o.org/?a=1&amp;b=2&copy=3&#38;c&#x3d;4&unknown;">', "http://o.org/?a=1&b=2&copy=3&c=4&unknown;"),
+    ('<link title="x > y href=no" rel="nofollow canonical" href=" HTTP://O.org/y ">', "HTTP://o.org/y"), ('<link rel="canonical" href="mailto:a@b.org">', None), ('<link rel="canonical" href="#top">', None),
+    ("""<meta http-equiv="refresh" content="0; url='http://o.org/q'">""", "http://o.org/q"), ("<meta http-equiv=refresh content=0;url=next>", "http://h.org/a/next"), ('<meta content="5;URL=&quot;../n&quot;" http-equiv="Refresh"/>', "http://h.org/n"),
+    ("""<meta http-equiv='refresh' content='0; url="x y.html"'>""", "http://h.org/a/x y.html"), ('<base href="/deep/er/"><link rel="canonical" href="p">', "http://h.org/deep/er/p"), ('<meta http-equiv="refresh" content="30">', None),
+]
+
+
+def test_url_links_in_every_form(spark):
+    pages = spark.createDataFrame([(i, f"http://h.org/a/b?page={i}", html) for i, (html, _) in enumerate(LINKS)] + [(99, "nohost", LINKS[0][0])], "page_id long, url string, html string")
+    got = {r["src"]: r["dst"] for r in url_equiv.link_edges(pages).collect()}
+    assert got == {f"http://h.org/a/b?page={i}": dst for i, (_, dst) in enumerate(LINKS) if dst}
+    rows = [(1, "http://alias.org/x/p", '<link rel="canonical" href="../y">'), (2, "http://alias.org/y", "<meta http-equiv=refresh content=\"0;url='http://foo.net/z'\">")]
+    assert {r["verdict"] for r in url_equiv.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"block"}
+
+
 # -- 10 --------------------------------------------------------------------------
 
 
