@@ -372,7 +372,8 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, words_a_shingle: int
     rows = persisted(rows.withColumn("row", F.monotonically_increasing_id()))
     # equal sets are one node, the first of their rows
     nodes = persisted(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")))
-    small = persisted(rows.select("row", "fp", "size", "odd").join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"))
+    own = nodes.select(F.col("node").alias("row"))
+    small = persisted(join_sized(rows.select("row", "fp", "size", "odd"), own, "row", "left_semi", 8).withColumnRenamed("row", "node"))
     sets = rows.select(F.col("row").alias("node"), "size", "shingles")
 
     # an order that puts what a bounded sample has often last; any order finds all pairs
@@ -410,9 +411,11 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, words_a_shingle: int
 
     def verified(pairs):
         pairs = persisted(ends(pairs.distinct(), small, ("size", "odd")).mapInArrow(lean(likely), "src long, dst long"))
-        wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        held = sets.join(wanted, "node", "left_semi")
-        return persisted(ends(pairs, held, ("shingles",)).mapInArrow(lean(exact), "src long, dst long"))
+        # sets are long: none is shuffled but for a pair
+        one = join_sized(sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")), pairs, "src", "inner", 16)
+        held = join_sized(sets, pairs.select(F.col("dst").alias("node")).distinct(), "node", "left_semi", 8)
+        both = one.join(held.select(F.col("node").alias("dst"), F.col("shingles").alias("b")), "dst")
+        return persisted(both.select("src", "dst", "a", "b").mapInArrow(lean(exact), "src long, dst long"))
 
     def labelled(found):
         return met.join(connected_components(found), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -425,7 +428,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, words_a_shingle: int
         golay = golay.join(first.select(F.col("fp").alias(end), F.col("node").alias(f"n_{end}")), end)
     found = verified(equal.unionByName(golay.select(F.least("n_src", "n_dst").alias("src"), F.greatest("n_src", "n_dst").alias("dst"))))
     # by prefixes
-    keys = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "shingles").mapInArrow(lean(emit), "key long, node long")
+    keys = join_sized(rows.select("row", "shingles"), own, "row", "left_semi", 8).mapInArrow(lean(emit), "key long, node long")
     met = persisted(keys.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_shared), "key long, node long"))
     for turn in range(PIVOTS):
         of = persisted(labelled(found))
