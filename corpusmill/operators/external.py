@@ -148,6 +148,7 @@ def search(theorems: DataFrame, column: str, expansions: int = 20, policy=stub_p
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in SEARCHED.split(", ")]
         for pdf in batches:
-            yield pd.DataFrame([r for t in pdf[column] for r in best_first(t, expansions, policy, environment)], columns=names)
+            for i in range(0, len(pdf), 500):  # a tree has many rows
+                yield pd.DataFrame([r for t in pdf[column].iloc[i : i + 500] for r in best_first(t, expansions, policy, environment)], columns=names)
 
     return theorems.select(column).mapInPandas(run, SEARCHED)

@@ -23,3 +23,15 @@ def test_equal_to_sql(spark, con, name):
 def test_runs(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.columns and df.collect() is not None
+
+
+def test_search_and_iteration_take_all_rows(spark, monkeypatch):
+    from corpusmill.plans import pipelines
+    from corpusmill.plans.views import Views
+
+    names = {r["p_name"] for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    assert len(names) > 50 and {r["theorem"] for r in QUERIES["ext06_search"](spark, SF).select("theorem").distinct().collect()} == names
+    given = []
+    monkeypatch.setattr(pipelines, "expert_iteration", lambda problems, whole=pipelines.expert_iteration: given.append(problems) or whole(problems))
+    assert QUERIES["pip01_expert_iteration"](spark, SF).count() == 1
+    assert given[0].count() == Views(spark, SF).problems.count()
