@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stored import stored
+
+#: Sets of one task that are compared pair by pair.
+CELL = 4000
+
 
 def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:
     for o in others:
@@ -100,8 +105,13 @@ def shingles(text: Column, n: int) -> Column:
     return F.when(F.size(words) > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
+SIGNED = "s array<bigint>, h array<bigint>, digest binary"
+
+
 def _signatures(n: int, bands: int, rows: int):
-    """Batches (key, text) to (key, hash of the whole shingle set, a hash for each band)."""
+    """Batches (key, text) to (key, the shingle set, a hash for each band, the set's digest); rows without words are left out."""
+    import hashlib
+
     import numpy as np
     import pyarrow as pa
     import xxhash
@@ -112,7 +122,7 @@ def _signatures(n: int, bands: int, rows: int):
 
     def run(batches):
         for b in batches:
-            keys, shingle_sets, bandings = [], [], []
+            keys, shingle_sets, bandings, digests = [], [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = (text or "").lower().split()
                 if not words:
@@ -125,34 +135,71 @@ def _signatures(n: int, bands: int, rows: int):
                     least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(1))
                 keys.append(key)
                 shingle_sets.append(h.view(np.int64))
+                digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 bandings.append((least.reshape(bands, rows) * fold).sum(1, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(shingle_sets, pa.list_(pa.int64())), pa.array(bandings, pa.list_(pa.int64()))], ["key", "s", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(shingle_sets, pa.list_(pa.int64())), pa.array(bandings, pa.list_(pa.int64())), pa.array(digests, pa.binary())], ["key", "s", "h", "digest"])
 
     return run
 
 
-def minhash_pairs(df: DataFrame, key: str, text: str, n: int = 5, permutations: int = 250, threshold: float = 0.7, small: int = 16) -> DataFrame:
+def minhash_pairs(df: DataFrame, key: str, text: str, n: int = 5, permutations: int = 250, threshold: float = 0.7, spanning: bool = False, cell: int = CELL) -> DataFrame:
     """Near-duplicate links (src, dst, jaccard) by MinHash bands, verified by exact Jaccard of the shingle sets.
 
-    Equal shingle sets meet first and are linked to their least key. In a band, every pair of a bucket of up to
-    `small` representatives is a candidate; in a larger one each is paired with the next `small` by key, and with
-    the least, so that links grow with rows and not with their square."""
+    Equal sets meet by their digest and are linked to their least key. Representatives that share a band become
+    candidates by a link to the bucket's least key, so candidate links grow with the rows; the candidates that are
+    so connected meet in a group, the sets sent there once, and every pair of a group is compared. A group of more
+    than `cell` sets is dealt to cells of two blocks, which hold every pair once. With spanning only such links of
+    a cell come back as its groups of similar sets need, not every pair. Null and wordless texts have no links.
+    """
     bands, rows = _bands(permutations, threshold)
     kind = df.schema[key].dataType.simpleString()
-    sets = df.select(key, text).mapInArrow(_signatures(n, bands, rows), f"key {kind}, s array<bigint>, h array<bigint>").withColumnRenamed("key", key)
-    equal = sets.groupBy("s").agg(F.min(key).alias("rep"), F.first("h").alias("h"), F.count("*").alias("n"))
+    sets = stored(df.select(key, text).mapInArrow(_signatures(n, bands, rows), f"key {kind}, {SIGNED}"))
+    equal = stored(sets.groupBy("digest").agg(F.min("key").alias("rep"), F.first("h").alias("h"), F.count("*").alias("n")))
     keyed = equal.select("rep", F.posexplode("h").alias("band", "h"))
-    w = W.partitionBy("band", "h").orderBy("rep")
-    near = keyed.withColumn("other", F.collect_list("rep").over(w.rowsBetween(-small, -1))).withColumn("head", F.first("rep").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    pairs = near.select("rep", F.explode(F.array_union("other", F.array("head"))).alias("other")).where("rep != other").distinct()
-    a, b = equal.select(F.col("rep").alias("src"), F.col("s").alias("a")), equal.select(F.col("rep").alias("dst"), F.col("s").alias("b"))
-    both = pairs.select(F.col("rep").alias("src"), F.col("other").alias("dst")).join(a, "src").join(b, "dst")
-    j = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
-    found = both.withColumn("jaccard", j).where(F.col("jaccard") >= threshold).select("src", "dst", "jaccard")
-    copies_ = sets.join(equal.where("n > 1").select("s", "rep"), "s").where(F.col(key) != F.col("rep")).select(F.col(key).alias("src"), F.col("rep").alias("dst"), F.lit(1.0).alias("jaccard"))
+    heads = keyed.groupBy("band", "h").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
+    met = components(keyed.join(heads, ["band", "h"]).where("rep != head").select(F.col("rep").alias("src"), F.col("head").alias("dst")).distinct())
+    first = sets.groupBy("digest").agg(F.first("s").alias("s")).join(equal.select("digest", "rep"), "digest")
+    members = first.join(met.withColumnRenamed("node", "rep"), "rep").select("root", "rep", "s")
+    blocks = members.groupBy("root").agg(F.ceil(F.count("*") / F.lit(cell / 2)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = members.join(blocks, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "s")
+    found = cells.groupBy("root", "i", "j").applyInPandas(_compare(threshold, spanning), f"src {kind}, dst {kind}, jaccard double").distinct()
+    copies_ = sets.join(equal.where("n > 1").select("digest", "rep"), "digest").where("key != rep").select(F.col("key").alias("src"), F.col("rep").alias("dst"), F.lit(1.0).alias("jaccard"))
     return found.unionByName(copies_)
 
 
+def _compare(threshold: float, spanning: bool):
+    """All pairs of a cell's sets at the threshold, or enough of them to connect the similar sets."""
+    import numpy as np
+    import pandas as pd
+
+    def run(key, pdf):
+        pdf = pdf.sort_values("rep", kind="stable").reset_index(drop=True)
+        i, j = int(key[1]), int(key[2])
+        reps, own = pdf["rep"].to_numpy(), pdf["own"].to_numpy()
+        size = pdf["s"].map(len).to_numpy(np.int64)
+        _, codes = np.unique(np.concatenate(pdf["s"].tolist()), return_inverse=True)
+        starts = np.cumsum(size) - size
+        mark, root, out = np.zeros(int(codes.max()) + 1, bool), np.arange(len(pdf)), []
+        for x in range(len(pdf) - 1):
+            mark[codes[starts[x] : starts[x] + size[x]]] = True
+            inner = np.add.reduceat(mark[codes[starts[x + 1] :]], starts[x + 1 :] - starts[x + 1], dtype=np.int64)
+            mark[codes[starts[x] : starts[x] + size[x]]] = False
+            jaccard = inner / (size[x] + size[x + 1 :] - inner)
+            near = (jaccard >= threshold) & ((own[x + 1 :] != own[x]) | (i == j))
+            if spanning:
+                near &= root[x + 1 :] != root[x]
+            for y in (np.flatnonzero(near) + x + 1).tolist():
+                if spanning and root[y] == root[x]:
+                    continue
+                out.append((reps[y], reps[x], float(jaccard[y - x - 1])))
+                root[root == root[y]] = root[x]
+        return pd.DataFrame(out, columns=["src", "dst", "jaccard"])
+
+    return run
+
+
 def _bands(permutations: int, threshold: float) -> tuple[int, int]:
     """The split into bands and rows whose step is nearest below the threshold."""
     best = min(((permutations // r, r) for r in range(1, permutations + 1)), key=lambda br: abs((1 / br[0]) ** (1 / br[1]) - (threshold - 0.15)))
@@ -160,22 +207,15 @@ def _bands(permutations: int, threshold: float) -> tuple[int, int]:
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 50) -> DataFrame:
-    """(node, root) by minimum labels with pointer jumping; each round's labels are checkpointed so that lineage stays short."""
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    """(node, root) by minimum labels with pointer jumping; each round's labels are written so that lineage stays short."""
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    e = stored(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = e.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), "root")
     for _ in range(rounds):
         around = e.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
         new = labels.join(around, F.col("node") == F.col("a")).select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
         jump = new.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = new.join(jump, "root", "left").select("node", F.coalesce(F.least("far", "root"), "root").alias("root"), "old").checkpoint()
+        new = stored(new.join(jump, "root", "left").select("node", F.coalesce(F.least("far", "root"), "root").alias("root"), "old"))
         moved = new.where("root != old").limit(1).count()
         labels = new.select("node", "root")
         if not moved:
@@ -185,7 +225,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int
 
 def near_dedup(df: DataFrame, key: str, text: str, n: int = 5, permutations: int = 250, threshold: float = 0.7) -> DataFrame:
     """One row of each near-duplicate cluster, that with the least key."""
-    roots = components(minhash_pairs(df, key, text, n, permutations, threshold).select("src", "dst"))
+    roots = components(minhash_pairs(df, key, text, n, permutations, threshold, spanning=True).select("src", "dst"))
     gone = roots.where("node != root").select(F.col("node").alias(key))
     return df.join(gone, key, "left_anti")
 
@@ -195,8 +235,8 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, n: int = 5, threshold: flo
     threshold. Exact: in a global order of the shingles, two such sets share one of the first
     size - ceil(threshold * size) + 1 of either, so only these prefixes are joined; every pair is verified."""
     kind = df.schema[key].dataType.simpleString()
-    sets = df.select(key, text).mapInArrow(_signatures(n, 1, 1), f"key {kind}, s array<bigint>, h array<bigint>")
-    reps = sets.groupBy("s").agg(F.min("key").alias("rep"))
+    sets = df.select(key, text).mapInArrow(_signatures(n, 1, 1), f"key {kind}, {SIGNED}")
+    reps = stored(sets.groupBy("digest").agg(F.min("key").alias("rep"), F.first("s").alias("s")))
     length = F.size("s") - F.ceil(F.lit(threshold) * F.size("s") - F.lit(1e-9)).cast("int") + 1
     prefix = reps.select("rep", F.explode(F.slice("s", F.lit(1), length)).alias("t"))
     pairs = prefix.alias("a").join(prefix.alias("b"), F.expr("a.t = b.t and a.rep < b.rep")).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst")).distinct()

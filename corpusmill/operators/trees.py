@@ -1,4 +1,4 @@
-"""Trees and graphs: traversal by recursive SQL, status propagation, rebuilding and flattening."""
+"""Trees and graphs: traversal by doubled steps or recursive SQL, status propagation, rebuilding and flattening."""
 
 from __future__ import annotations
 
@@ -7,18 +7,35 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stored import stored
+
+
+def closure(start: DataFrame, steps: DataFrame) -> DataFrame:
+    """All places that steps lead to. start: origin, at; steps: a, b, ord. Gives origin, at, depth and path, the ords on the way.
+
+    Steps are doubled in every round (the paths of 2^k steps join themselves), so a chain of n steps takes log n
+    rounds, each a stored table. There is no bound on the depth; a cycle below a start is an error, found when a
+    path has more steps than there are places.
+    """
+    jump = stored(steps.where("a is not null and b is not null").select("a", "b", F.array(F.col("ord").cast("bigint")).alias("more")))
+    out = stored(start.select("origin", "at", F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("path")))
+    most, size = jump.select("a").union(jump.select("b")).distinct().count(), 1
+    while True:
+        far = stored(out.join(jump, out["at"] == jump["a"]).select("origin", F.col("b").alias("at"), (F.col("depth") + size).alias("depth"), F.concat("path", "more").alias("path")))
+        if far.isEmpty():
+            return out
+        if size > most:
+            raise ValueError("the edges have a cycle")
+        out = out.unionByName(far)
+        on = jump.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("more").alias("then"))
+        jump, size = stored(jump.join(on, "b").select("a", F.col("c").alias("b"), F.concat("more", "then").alias("more"))), 2 * size
 
-def walk(edges: DataFrame, roots: DataFrame, depth: int = 50) -> DataFrame:
-    """(root, node, depth, path) of all nodes below each root (column node); path is the sequence of sibling orders,
-    so ordering by it is pre-order. Level by level joins; the depth bound ends cycles. edges: parent, child, ord."""
-    level = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("path"))
-    out = level
-    for d in range(1, depth + 1):
-        level = level.join(edges, level["node"] == edges["parent"]).select("root", F.col("child").alias("node"), F.lit(d).alias("depth"), F.concat("path", F.array("ord")).alias("path"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+
+def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node, depth, path) of all nodes below each root (column node), however deep; path is the sequence of
+    sibling orders, so ordering by it is pre-order. edges: parent, child, ord. A cycle is an error."""
+    reached = closure(roots.select(F.col("node").alias("origin"), F.col("node").alias("at")), edges.select(F.col("parent").alias("a"), F.col("child").alias("b"), "ord"))
+    return reached.select(F.col("origin").alias("root"), F.col("at").alias("node"), "depth", "path")
 
 
 def walk_sql(spark, edges: DataFrame, root: str) -> DataFrame:
@@ -36,36 +53,32 @@ def leaves(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("child").alias("node")).join(edges.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
 
 
-def up_to_root(edges: DataFrame, start: DataFrame, depth: int = 50) -> DataFrame:
-    """(node, at, steps): the chain of ancestors of each start node, itself first."""
-    level = start.select("node", F.col("node").alias("at"), F.lit(0).alias("steps"))
-    out = level
-    for d in range(1, depth + 1):
-        level = level.join(edges, level["at"] == edges["child"]).select("node", F.col("parent").alias("at"), F.lit(d).alias("steps"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def up_to_root(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, at, steps): the chain of ancestors of each start node, itself first, however long. A cycle is an error."""
+    reached = closure(start.select(F.col("node").alias("origin"), F.col("node").alias("at")), edges.select(F.col("child").alias("a"), F.col("parent").alias("b"), F.lit(0).alias("ord")))
+    return reached.select(F.col("origin").alias("node"), "at", F.col("depth").alias("steps"))
 
 
-def distance_to_proof(edges: DataFrame, proved: DataFrame, depth: int = 50) -> DataFrame:
-    """(node, distance): for every node with a proved descendant or itself proved, the least number of steps."""
-    return up_to_root(edges, proved, depth).groupBy(F.col("at").alias("node")).agg(F.min("steps").alias("distance"))
+def distance_to_proof(edges: DataFrame, proved: DataFrame) -> DataFrame:
+    """(node, distance): for every node with a proved descendant or itself proved, the least number of steps. Least
+    distances by doubled steps, one row a node in every round; cycles do no harm."""
+    jump = stored(edges.where("parent is not null and child is not null").select("child", "parent").distinct())
+    least = stored(proved.select("node", F.lit(0).alias("distance")).distinct())
+    most, size = jump.select("child").union(jump.select("parent")).distinct().count(), 1
+    while size <= most and not jump.isEmpty():
+        far = least.join(jump, least["node"] == jump["child"]).select(F.col("parent").alias("node"), (F.col("distance") + size).alias("distance"))
+        least = stored(least.unionByName(far).groupBy("node").agg(F.min("distance").alias("distance")))
+        on = jump.select(F.col("child").alias("parent"), F.col("parent").alias("far"))
+        jump, size = stored(jump.join(on, "parent").select("child", F.col("far").alias("parent")).distinct()), 2 * size
+    return least
 
 
-def shortest_path(edges: DataFrame, distances: DataFrame, root: str, depth: int = 50) -> DataFrame:
+def shortest_path(edges: DataFrame, distances: DataFrame, root: str) -> DataFrame:
     """(step, node): from the root always to the child with the least distance, the first by order among equals."""
-    spark = edges.sparkSession
     best = edges.join(distances.withColumnRenamed("node", "child"), "child").groupBy("parent").agg(F.min_by("child", F.struct("distance", "ord")).alias("child"), F.min("distance").alias("distance"))
     goes = best.join(distances.withColumnRenamed("node", "parent").withColumnRenamed("distance", "own"), "parent").where("distance < own")
-    level = spark.createDataFrame([(0, root)], "step int, node string")
-    out = level
-    for d in range(1, depth + 1):
-        level = level.join(goes, level["node"] == goes["parent"]).select(F.lit(d).alias("step"), F.col("child").alias("node"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    start = edges.sparkSession.createDataFrame([(root, root)], "origin string, at string")
+    return closure(start, goes.select(F.col("parent").alias("a"), F.col("child").alias("b"), F.lit(0).alias("ord"))).select(F.col("depth").alias("step"), F.col("at").alias("node"))
 
 
 def serialise(nodes: DataFrame, edges: DataFrame, tree: str = "tree_id") -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import joins as J
 from ..operators import relational as R
 from ..operators import sets as S
 from ..operators import trees as TR
+from ..operators.stored import scratch
 from ..sources import tables as SRC
 from .registry import query
 from .views import WITH
@@ -524,7 +525,7 @@ def str28_any_step(v):
 
 # -- trees --------------------------------------------------------------------------------------------
 
-BELOW = """w AS (SELECT 'r1' AS node, 0 AS depth, []::BIGINT[] AS path UNION ALL SELECT e.child, w.depth + 1, list_append(w.path, e.ord) FROM w JOIN tree_edges e ON e.parent = w.node)"""
+BELOW = """w AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth, []::BIGINT[] AS path FROM region UNION ALL SELECT w.root, e.child, w.depth + 1, list_append(w.path, e.ord) FROM w JOIN tree_edges e ON e.parent = w.node)"""
 
 
 @query(WITH + "SELECT child AS node FROM tree_edges WHERE child NOT IN (SELECT parent FROM tree_edges)")
@@ -538,16 +539,18 @@ def tre04_snapshots(v):
     return g.select("conv_id", F.size("steps").cast("long").alias("n"), F.array_join(F.transform("steps", lambda s: s["role"]), ">").alias("roles"))
 
 
-@query(WITH + f", {BELOW} SELECT node, depth FROM w")
+def _roots(v):
+    return v.region.select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
+
+
+@query(WITH + f", {BELOW} SELECT root, node, depth FROM w")
 def tre06_levels(v):
-    roots = v.region.where("r_regionkey = 1").select(F.lit("r1").alias("node"))
-    return TR.walk(v.tree_edges, roots).select("node", "depth")
+    return TR.walk(v.tree_edges, _roots(v)).select("root", "node", "depth")
 
 
-@query(WITH + f", {BELOW} SELECT node, array_to_string(path, '/') AS path FROM w")
+@query(WITH + f", {BELOW} SELECT root, node, array_to_string(path, '/') AS path FROM w")
 def tre07_preorder(v):
-    roots = v.region.where("r_regionkey = 1").select(F.lit("r1").alias("node"))
-    return TR.walk(v.tree_edges, roots).select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
+    return TR.walk(v.tree_edges, _roots(v)).select("root", "node", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
 
 
 PROVED = "SELECT 'o' || o_orderkey AS node FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT 'c' || c_custkey FROM customer WHERE c_custkey % 97 = 0"
@@ -584,11 +587,11 @@ def tre10_round_trip(v):
 
 @query(
     WITH
-    + """, p AS (SELECT 'o' || o_orderkey AS node, 'o' || o_orderkey AS anc, 0 AS steps FROM orders WHERE o_orderkey < 200 UNION ALL SELECT p.node, e.parent, p.steps + 1 FROM p JOIN tree_edges e ON e.child = p.anc)
+    + """, p AS (SELECT 'o' || o_orderkey AS node, 'o' || o_orderkey AS anc, 0 AS steps FROM orders UNION ALL SELECT p.node, e.parent, p.steps + 1 FROM p JOIN tree_edges e ON e.child = p.anc)
 SELECT node, string_agg(anc, '/' ORDER BY steps DESC) AS path FROM p GROUP BY 1"""
 )
 def tre11_path_to_root(v):
-    start = v.orders.where("o_orderkey < 200").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    start = v.orders.select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
     up = TR.up_to_root(v.tree_edges, start).groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("s"), "at"))).alias("p"))
     return up.select("node", F.array_join(F.transform("p", lambda x: x["at"]), "/").alias("path"))
 
@@ -609,11 +612,7 @@ def src01_scan(v):
 
 def _scratch(v, name: str) -> str:
     """A folder of its own, shared by the executors, for the write-and-read queries."""
-    import tempfile
-    import uuid
-
-    where = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{where.rstrip('/')}/corpusmill-{name}-{uuid.uuid4().hex}"
+    return scratch(v.spark, name)
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")

@@ -1,5 +1,6 @@
 """Hand-written cases of the operators, with nulls, ties and empty groups."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import feedback, lean
@@ -124,6 +125,46 @@ def test_walk_sql_equals_joins(spark):
     assert {(r["node"], r["depth"]) for r in TR.walk(e, roots).collect()} == {(r["node"], r["depth"]) for r in TR.walk_sql(spark, e, "a").collect()}
 
 
+def test_deep_trees(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1) for i in range(200)] + [("n7", "leaf", 2)], "parent string, child string, ord long")
+    down = {r["node"]: (r["depth"], len(r["path"])) for r in TR.walk(e, spark.createDataFrame([("n0",)], "node string")).collect()}
+    assert len(down) == 202 and down["n200"] == (200, 200) and down["leaf"] == (8, 8)
+    up = {r["at"]: r["steps"] for r in TR.up_to_root(e, spark.createDataFrame([("n200",)], "node string")).collect()}
+    assert up == {f"n{i}": 200 - i for i in range(201)}
+    distances = TR.distance_to_proof(e, spark.createDataFrame([("n200",), ("leaf",)], "node string"))
+    assert {r["node"]: r["distance"] for r in distances.collect()} == {f"n{i}": 8 - i if i < 8 else 200 - i for i in range(201)} | {"leaf": 0}
+    assert [r["node"] for r in TR.shortest_path(e, distances, "n0").orderBy("step").collect()] == [f"n{i}" for i in range(8)] + ["leaf"]
+
+
+def test_cycles(spark):
+    e = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("x", "y", 1), (None, "z", 1)], "parent string, child string, ord long")
+    node = "node string"
+    assert TR.walk(e, spark.createDataFrame([("x",)], node)).count() == 2
+    assert {r["node"]: r["distance"] for r in TR.distance_to_proof(e, spark.createDataFrame([("c",)], node)).collect()} == {"c": 0, "b": 1, "a": 2}
+    with pytest.raises(ValueError, match="cycle"):
+        TR.walk(e, spark.createDataFrame([("a",)], node))
+
+
+def test_minhash_pairs_of_a_large_cluster(spark):
+    import random
+
+    random.seed(4)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(3):
+            words[random.randrange(200)] = f"x{i}_{random.random()}"
+        rows.append((i, " ".join(words)))
+    rows += [(200, rows[0][1]), (201, "alone in the world of words here"), (202, ""), (203, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    exact = {frozenset((r["src"], r["dst"])) for r in S.jaccard_pairs(df, "id", "text").collect()}
+    got = {frozenset((r["src"], r["dst"])): r["jaccard"] for r in S.minhash_pairs(df, "id", "text", cell=50).collect()}
+    assert len(exact) > 7000 and len(set(got) & exact) >= 0.99 * len(exact) and set(got) - exact == {frozenset((0, 200))}
+    kept = {r["id"] for r in S.near_dedup(df, "id", "text").collect()}
+    assert kept == {0, 201, 202, 203}
+
+
 def test_external_never_loses_rows(spark):
     df = spark.createDataFrame([(1, "p"), (2, None)], "id int, t string")
 
