@@ -1,14 +1,21 @@
 """Text-statistics rules whose cutoffs are chosen under a certified limit on false rejection.
 
-For each stratum (language) and rule, every cutoff of a fixed grid is tested on the labelled documents: the exact
-(Clopper-Pearson) upper confidence bound on the share of good documents that it rejects must be at most RISK. The
-confidence level is corrected for all tests at once (Bonferroni over strata, rules and cutoffs). Of the certified
-cutoffs the one with the fewest good documents rejected is taken, and of those the strictest. A rule without a
-certified cutoff in a stratum rejects nothing there.
+Good labelled documents are parted by a hash of their id into a design half and a holdout. The design half sets, for
+each stratum and rule, the largest value of a good document; the policies are nested: in each of LEVELS all rules
+of a stratum reject above that value times the level's factor (or above the rule's floor, if that is more). The
+holdout certifies: the exact (Clopper-Pearson) upper bound on the share of good documents that a policy's rules
+reject together must be at most RISK. Policies are tested from the laxest on until one fails (fixed sequence, which
+needs no correction within a stratum); the confidence is corrected for the strata (Bonferroni). The strictest
+certified policy is taken; without one only the base rules reject.
+
+A stratum is a language, or a pool of languages: with T strata a holdout of ln(error / T) / ln(1 - RISK) good documents
+is needed to certify anything. T is the largest number for which the T - 1 largest languages have as many each and
+the others have as many together. That looks at the numbers of good documents alone, never at what is rejected.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -20,14 +27,12 @@ from .common import lean, persisted
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 SYMBOLS = "#*$%&|<>"
-RISK, CONFIDENCE = 0.01, 0.95
-#: Rule: (metric, cutoffs; a document is rejected above). The grids are fixed ahead of the labels.
-GRID = {
-    "symbols_a_word": [0.05 * k for k in range(1, 41)],
-    "dup_lines_a_line": [0.05 * k for k in range(1, 20)],
-    "repeats_a_word": [0.025 * k for k in range(1, 20)],
-    "chars_a_word": [5 + 0.25 * k for k in range(1, 41)],
-}
+RISK, CONFIDENCE = 0.02, 0.95
+#: Rule (a document is rejected above its cutoff): the least cutoff. Factors of the design half's largest value, the laxest policy first.
+FLOORS = {"symbols_a_word": 0.05, "dup_lines_a_line": 0.05, "repeats_a_word": 0.025, "chars_a_word": 5.0}
+LEVELS = (2.0, 1.75, 1.5, 1.25, 1.1, 1.0)
+#: Languages among the labelled good documents; more are refused.
+MOST_LANGUAGES = 10_000
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, lang string"
 
 
@@ -71,8 +76,6 @@ def base_failed() -> Column:
 
 def binomial_upper(k: int, n: int, error: float) -> float:
     """Exact upper confidence bound: the p at which k or fewer of n has probability `error`."""
-    import math
-
     if n == 0 or k >= n:
         return 1.0
 
@@ -89,34 +92,70 @@ def binomial_upper(k: int, n: int, error: float) -> float:
     return high
 
 
-def certified_cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE, grid=None) -> list[tuple[str | None, str, float]]:
-    """(stratum, rule, cutoff). What comes to the driver is one row of counts for each stratum; strata are languages, and more than 10,000 of them are refused."""
-    grid = grid or GRID
-    good = stats.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").where(~base_failed())
-    counts = [F.count_if(metric(m) > F.lit(c)).alias(f"{m}:{i}") for m, cs in grid.items() for i, c in enumerate(cs)]
-    rows = good.groupBy("lang").agg(F.count("*").alias("n"), *counts).limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 strata")
-    error = (1 - confidence) / max(1, len(rows) * sum(map(len, grid.values())))
-    chosen = []
-    for r in rows:
-        for m, cs in grid.items():
-            k = [r[f"{m}:{i}"] for i in range(len(cs))]
-            passing = [(k[i], c) for i, c in enumerate(cs) if k[i] <= risk * r["n"] and binomial_upper(k[i], r["n"], error) <= risk]
-            if passing:
-                chosen.append((r["lang"], m, min(passing)[1]))
-    return chosen
+def least_holdout(risk: float, error: float) -> int:
+    """Good documents that a holdout needs, if none of them is rejected, for a bound of at most risk."""
+    return math.ceil(math.log(error) / math.log1p(-risk))
+
+
+def strata(holdout: dict[str | None, int], risk: float = RISK, error: float = 1 - CONFIDENCE) -> list[list[str | None]]:
+    """Languages, each with its number of good documents in the holdout, to strata; none if all together are too few."""
+    order = sorted(holdout, key=lambda x: (-holdout[x], x is None, x or ""))
+    for n in range(len(order), 0, -1):
+        least = least_holdout(risk, error / n)
+        if all(holdout[x] >= least for x in order[: n - 1]) and sum(holdout[x] for x in order[n - 1 :]) >= least:
+            return [*([x] for x in order[: n - 1]), order[n - 1 :]]
+    return []
+
+
+def good_documents(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """STATS of documents that all their labels call good and that pass the base rules, once for each id, with `held`: whether they are in the holdout."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+    own = stats.join(known, "doc_id", "left_semi").where(~base_failed())
+    once = own.groupBy("doc_id").agg(F.min(F.struct(*own.columns[1:])).alias("r")).select("doc_id", "r.*")
+    return once.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1)
+
+
+def certified_cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE, levels: tuple[float, ...] = LEVELS) -> dict[str | None, dict[str, float]]:
+    """Language: cutoff of each rule. To the driver come one row of maxima a language (more than MOST_LANGUAGES are refused) and one row of counts a stratum."""
+    spark = stats.sparkSession
+    good = persisted(good_documents(stats, labels))
+    rows = good.groupBy("lang").agg(F.count_if("held").alias("n"), *[F.max(F.when(~F.col("held"), metric(m))).alias(m) for m in FLOORS]).limit(MOST_LANGUAGES + 1).collect()
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    parts = strata({r["lang"]: r["n"] for r in rows}, risk, 1 - confidence)
+    largest = {r["lang"]: r for r in rows}
+    cutoffs = [[{m: max(floor, f * max((largest[x][m] for x in part if largest[x][m] is not None), default=math.inf)) for m, floor in FLOORS.items()} for f in levels] for part in parts]
+    table = [(x, k, [[c[m] for m in FLOORS] for c in cutoffs[k]]) for k, part in enumerate(parts) for x in part]
+    if not table:
+        return {}
+    of = F.broadcast(spark.createDataFrame(table, "own string, stratum int, cutoffs array<array<double>>"))
+    held = good.where("held").join(of, F.col("lang").eqNullSafe(F.col("own")))
+    rejected = [F.count_if(F.array_max(F.array(*[metric(m) > F.col("cutoffs")[k][j] for j, m in enumerate(FLOORS)]))).alias(f"k{k}") for k in range(len(levels))]
+    counts = {r["stratum"]: r for r in held.groupBy("stratum").agg(F.count("*").alias("n"), *rejected).collect()}
+    error, out = (1 - confidence) / len(parts), {}
+    for k, part in enumerate(parts):
+        chosen = None
+        for j in range(len(levels)):
+            if binomial_upper(counts[k][f"k{j}"], counts[k]["n"], error) > risk:
+                break
+            chosen = cutoffs[k][j]
+        if chosen:
+            out |= dict.fromkeys(part, chosen)
+    return out
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
     """doc_id, the statistics, base_failed, kept and the failing rules of every row of docs (doc_id, text, lang).
 
-    Null text: no words, so base_failed. Null doc_id: never labelled, judged like any other. Repeated rows give a
-    row each (and count once each among the labelled). Empty tables: empty result; without labels nothing is
-    certified and only the base rules reject. The statistics of whole texts are written once and read twice.
+    Null text: no words, so base_failed. Null doc_id: never labelled, judged like any other. A null lang, or no such
+    column, is a language like any other. Repeated rows give a row each (and count once among the labelled). Empty
+    tables: empty result; without labels, or in a language without certified cutoffs, only the base rules reject.
+    The statistics of whole texts are written once and read twice.
     """
     stats = persisted(statistics(docs))
-    cutoffs = certified_cutoffs(stats, labels, risk, confidence)
-    fails = F.filter(F.array(*[F.when(F.col("lang").eqNullSafe(F.lit(s)) & (metric(m) > F.lit(c)), F.lit(m)) for s, m, c in cutoffs], F.lit(None).cast("string")), lambda x: x.isNotNull())
-    judged = stats.withColumn("base_failed", base_failed()).withColumn("failed_rules", fails)
+    chosen = certified_cutoffs(stats, labels, risk, confidence)
+    table = docs.sparkSession.createDataFrame([(x, *(c[m] for m in FLOORS)) for x, c in chosen.items()], "own string, " + ", ".join(f"cut_{m} double" for m in FLOORS))
+    joined = stats.join(F.broadcast(table), F.col("lang").eqNullSafe(F.col("own")), "left")  # at most MOST_LANGUAGES rows
+    fails = F.array_compact(F.array(*[F.when(metric(m) > F.col(f"cut_{m}"), F.lit(m)) for m in FLOORS]))
+    judged = joined.withColumn("base_failed", base_failed()).withColumn("failed_rules", fails)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")
