@@ -173,23 +173,49 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
 SPAN = "struct<s:int,e:int,kind:int>"
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def blocks_of(values: Column) -> Column:
+    """The values in blocks of about the root of their number, so that what is built value by value is built of short arrays."""
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(values)))).cast("int")
+    return F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(1), F.size(values), size), lambda k: F.slice(values, k, size))).otherwise(F.array(F.slice(values, 1, 0)))
+
+
+def running(values: Column, step) -> Column:
+    """For each value what step has made of 0 and the values before it; step must be associative."""
+
+    def scan(block: Column, of) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(block, start, lambda acc, x: F.struct(step(acc["at"], of(x)).cast("int").alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))
+
+    def joined(inner: Column) -> Column:
+        before = scan(inner, lambda x: x["at"])["all"]
+        return F.flatten(F.zip_with(inner, before, lambda x, at: F.transform(x["all"], lambda v: step(at, v).cast("int"))))
+
+    return bound(F.transform(bound(values, blocks_of), lambda block: scan(block, lambda x: x)), joined)
+
+
 def spans_of(text: Column, rule: Rule, kind: int) -> Column:
     """Spans of a rule in a text, leftmost and not overlapping, in code points, end exclusive. Gaps and matches alternate from the text's start (\\G), so their lengths add up to positions."""
     whole = f"\\G((?s:.*?))({rule.pattern})"
     group, least = rule.length
     gaps, found = F.regexp_extract_all(text, F.lit(whole), F.lit(1)), F.regexp_extract_all(text, F.lit(whole), F.lit(2))
     sizes = found if group == 0 else F.regexp_extract_all(text, F.lit(whole), F.lit(2 + group))
-    empty = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
-    def step(acc, x):
-        s = acc["at"] + F.length(x["0"])
-        e = s + F.length(x["1"])
-        one = F.array(F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("kind")))
-        return F.struct(e.alias("at"), F.when(F.length(x["2"]) >= least, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+    def lengths(x: Column) -> Column:
+        return F.transform(x, F.length)
+
+    named = F.arrays_zip(lengths(gaps).alias("g"), lengths(found).alias("m"), lengths(sizes).alias("v"))
+
+    def placed(parts: Column) -> Column:
+        before = running(F.transform(parts, lambda x: x["g"] + x["m"]), lambda a, x: a + x)
+        spans = F.zip_with(parts, before, lambda x, at: F.struct((at + x["g"]).alias("s"), (at + x["g"] + x["m"]).alias("e"), F.lit(kind).alias("kind"), x["v"].alias("v")))
+        return F.transform(F.filter(spans, lambda x: x["v"] >= least), lambda x: F.struct(x["s"], x["e"], x["kind"]))
 
-    named = F.arrays_zip(gaps.alias("0"), found.alias("1"), sizes.alias("2"))
-    return F.aggregate(named, start, step, lambda acc: acc["spans"])
+    return bound(named, placed).cast(f"array<{SPAN}>")
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -232,13 +258,17 @@ def secret_report(docs: DataFrame, rules=RULES, base: int = len(BASE)) -> DataFr
 def redact(docs: DataFrame, rules=REMOVED, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span of the text, private keys as a whole, replaced by mark (overlapping spans as one); n_chars, where there is one, follows the text. All other columns, whatever their names, stay."""
     found = scan(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), rules)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    ends = running(F.transform("spans", lambda x: x["e"]), lambda a, x: F.greatest(a, x))
+    cuts = F.filter(F.zip_with("spans", ends, lambda x, at: F.struct(at.alias("from"), x["s"].alias("s"))), lambda x: x["s"] >= x["from"])
 
-    def step(acc, x):
-        kept = F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), kept.alias("out"))
+    def block(cut: Column) -> Column:
+        """The kept text before each of a block's marks, cut from the block's own part of the text."""
+        first = cut[0]["from"]
+        part = F.substring(F.col("text"), first + 1, F.element_at(cut, -1)["s"] - first)
+        return bound(part, lambda t: F.array_join(F.transform(cut, lambda x: F.concat(F.substring(t, x["from"] - first + 1, x["s"] - x["from"]), F.lit(mark))), ""))
 
-    text = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))).otherwise(F.col("text"))
+    rest = F.substring(F.col("text"), F.array_max(F.transform("spans", lambda x: x["e"])) + 1, F.length("text"))
+    text = F.when(F.size("spans") > 0, F.concat(F.array_join(F.transform(bound(cuts, blocks_of), block), ""), rest)).otherwise(F.col("text"))
     found = found.withColumn("_text", text)
     changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return found.select(*[(changed[c] if c in changed else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
