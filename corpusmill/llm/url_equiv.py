@@ -19,6 +19,8 @@ from .common import connected_components, join_sized
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What holds no tags of the page: comments, scripts and the like.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript|textarea|title|xmp)\b[^>]*+>.*?(?:</\1\s*+>|\z)"
 #: The attributes of a tag; > may stand in quotes.
 TAG = r"(?is)<{}\b((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
 #: The value of an attribute, quoted or not; what stands in other quotes is passed over.
@@ -119,8 +121,9 @@ def resolve(base: Column, link: Column) -> Column:
 
 
 def link_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
-    """(src, dst) nodes of canonical links and refresh redirects of pages (url, html), and of redirects (src_url, dst_url) if given. Relative links are resolved against the page's url, or its base element's."""
+    """(src, dst) nodes of canonical links and refresh redirects of pages (url, html), outside comments and scripts, and of redirects (src_url, dst_url) if given. Relative links are resolved against the page's url, or its base element's."""
     found = pages.where(F.lower("html").contains("canonical") | F.lower("html").contains("refresh"))
+    found = found.withColumn("html", F.regexp_replace("html", UNREAD, ""))
     link, meta, bases = (F.regexp_extract_all("html", F.lit(TAG.format(name)), F.lit(1)) for name in ("link", "meta", "base"))
 
     def first(tags, take):
