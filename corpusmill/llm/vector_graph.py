@@ -1,16 +1,22 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
 1. Distinct unit vectors get a node each; copies are counted on it.
-2. Centres are a bounded sample of the nodes. Every node belongs to the shard of its nearest centre (home) and is a
-   guest in the next nearest ones, so shards overlap. A shard with many members is dealt to cells: its home nodes to
-   blocks, its guests to slices, every slice with every block, so a cell has a bounded size and no pair is lost.
+2. Centres are a sample of the nodes, one for SHARD of them. Every node belongs to the shard of its nearest centre
+   (home) and is a guest in the next nearest ones, so shards overlap. Where there are more than MOST_CENTRES centres,
+   they are found in two steps: coarse centres first, then centres that are sampled and compared inside each coarse
+   shard, so that neither a shard nor what one task holds of the centres grows with the table. A shard with many
+   members is dealt to cells: its home nodes to blocks, its guests to slices, every slice with every block, so a
+   cell has a bounded size and no pair of a shard is lost.
 3. Build: in each cell the members' adjacency lists are robust-pruned (a candidate is left out if a neighbour
    already chosen is closer to it, by the factor ALPHA, than the node itself is). The lists of a node from all its
    cells are united.
 4. Search: every member of a cell searches greedily from the cell's medoid over the united lists, then expands the
-   range: from each node found within the threshold it goes on to that node's neighbours, until none is new.
-5. Audit: in each cell the searches of nodes with an id divisible by AUDIT are compared with all nodes of the cell.
-   Where the graph has missed a link of theirs, the whole cell is compared exhaustively, block by block.
+   range: from each node found within the threshold it goes on to that node's neighbours, until none is new. In each
+   cell the searches of nodes with an id divisible by AUDIT are compared with all nodes of the cell; where the graph
+   has missed a link of theirs, the whole cell is compared exhaustively, block by block.
+5. Audit: the nodes with an id divisible by AUDIT are compared with all nodes of the table, in slices of them that are
+   sent to all tasks. The links that the components lack are added; their share gives the recall. Below RECALL the
+   graph is built anew over shards with more overlap.
 6. Verify: the links found join nodes to components, distributed. Inside a component, block against slice, every
    product is taken anew in double precision; that counts the links of nodes whose shards differ too. Blocks whose
    members are all so close to a common member that every pair must link are counted without products.
@@ -19,6 +25,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -29,10 +36,14 @@ from pyspark.sql import functions as F
 from .common import connected_components, join_sized, lean, persisted
 
 THRESHOLD = 0.9
-#: Nodes aimed at in a shard; most centres (sampled by hash).
-SHARD, MOST_CENTRES = 400, 4096
-#: A node belongs to its OVERLAP nearest shards, and up to MOST_OVERLAP whose centres are nearly as close as the nearest.
-OVERLAP, MOST_OVERLAP, MARGIN = 3, 8, 0.05
+#: Nodes aimed at in a shard; most centres that are compared at once (sampled by hash); members of a coarse shard in a part.
+SHARD, MOST_CENTRES, PART = 400, 2048, 50_000
+#: Coarse shards of a node at most.
+COARSE = 4
+#: A node belongs to its nearest shards, and to more whose centres are nearly as close as the nearest: (least, most), with more overlap where recall is below RECALL.
+OVERLAPS, MARGIN, RECALL = ((4, 8), (12, 24), (48, 96)), 0.05, 0.95
+#: Bytes of audited vectors that are sent to all tasks at once.
+AUDIT_BYTES = 32 << 20
 #: Home nodes and guests in a cell at most, about.
 BLOCK, SLICE = 800, 1600
 DEGREE, FAR, ALPHA, CANDIDATES, BEAM, AUDIT = 10, 3, 1.2, 32, 12, 20
@@ -61,22 +72,82 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.float64) for x in column])
 
 
-def _assign(centres: np.ndarray):
+def _nearest(x: np.ndarray, centres: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, centre, product, whether it is the nearest) of each row's shards."""
+    near = x @ centres.T
+    first = np.argsort(-near, axis=1, kind="stable")[:, : min(most, len(centres))]
+    close = np.take_along_axis(near, first, 1)
+    member = close >= close[:, :1] - MARGIN
+    member[:, :least] = True
+    row, rank = np.nonzero(member)
+    return row, first[row, rank], close[row, rank], rank == 0
+
+
+def _assign(centres: np.ndarray, least: int, most: int):
     def run(batches):
         for b in batches:
-            x = _matrix(b.column(1).to_pylist())
-            near = x @ centres.T
-            k = min(MOST_OVERLAP, len(centres))
-            first = np.argsort(-near, axis=1, kind="stable")[:, :k]
-            close = np.take_along_axis(near, first, 1)
-            member = close >= close[:, :1] - MARGIN
-            member[:, :OVERLAP] = True
-            row, rank = np.nonzero(member)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(first[row, rank].astype(np.int32)), pa.array(rank == 0)], ["node", "shard", "home"])
+            if b.num_rows:
+                row, centre, _, home = _nearest(_matrix(b.column(1).to_pylist()), centres, least, most)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(centre.astype(np.int64)), pa.array(home)], ["node", "shard", "home"])
 
     return run
 
 
+def _assign_fine(least: int, most: int):
+    """Over rows (coarse, part, kind, node, unit) sorted by the first three, a coarse shard's centres (kind 0) before its members: the members' shards among those centres."""
+
+    def run(batches):
+        at, centres, ready = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            coarse, part, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cuts = np.flatnonzero((coarse[1:] != coarse[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                units = b.column(4).slice(s, e - s).to_pylist()
+                if at != (coarse[s], part[s]):
+                    at, centres, ready = (coarse[s], part[s]), [], None
+                if kind[s] == 0:
+                    centres += units
+                    continue
+                ready = _matrix(centres) if ready is None else ready
+                for k in range(0, len(units), 1024):
+                    row, centre, near, _ = _nearest(_matrix(units[k : k + 1024]), ready, least, most)
+                    nodes = b.column(3).slice(s + k, min(1024, e - s - k)).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([nodes, pa.array(int(coarse[s]) << 32 | centre.astype(np.int64)), pa.array(near)], ["node", "shard", "near"])
+
+    return run
+
+
+def _sample(nodes: DataFrame, n: int) -> np.ndarray:
+    """The vectors of n nodes, the first in hash order."""
+    return _matrix([r["unit"] for r in nodes.orderBy(F.xxhash64("unit"), "node").limit(n).collect()])
+
+
+def _members(nodes: DataFrame, n: int, least: int, most: int) -> DataFrame:
+    """(node, shard, home) of n nodes (node, unit)."""
+    k, kind = max(1, round(n / SHARD)), "node long, shard long, home boolean"
+    if k <= MOST_CENTRES:
+        return persisted(nodes.select("node", "unit").mapInArrow(lean(_assign(_sample(nodes, k), least, most)), kind))
+    coarse = min(MOST_CENTRES, math.ceil(math.sqrt(k)))
+    of = persisted(nodes.select("node", "unit").mapInArrow(lean(_assign(_sample(nodes, coarse), 2, COARSE)), kind).select("node", F.col("shard").alias("coarse")))
+    sizes = of.groupBy("coarse").agg(F.count("*").alias("size"))
+    members = join_sized(of.join(nodes.select("node", "unit"), "node"), sizes, "coarse", "inner", 16)
+    # a member in SHARD is a centre, or fewer where that gives many more than MOST_CENTRES; the one with the least hash always
+    hashed = members.withColumn("h", F.xxhash64("unit", F.lit(1)) / F.lit(float(1 << 64)) + 0.5)
+    sure = hashed.groupBy("coarse").agg(F.min("h").alias("low"))
+    share = F.least(F.lit(1 / SHARD), F.lit(MOST_CENTRES) / F.col("size"))
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    centres = persisted(join_sized(hashed, sure, "coarse", "inner", 16).where((F.col("h") < share) | (F.col("h") == F.col("low"))).select("coarse", "node", "unit", parts.alias("parts")))
+    first = centres.select("coarse", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "node", "unit")
+    rest = members.select("coarse", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.lit(1).alias("kind"), "node", "unit")
+    met = first.unionByName(rest).repartition("coarse", "part").sortWithinPartitions("coarse", "part", "kind", F.xxhash64("unit"), "node")
+    near = met.mapInArrow(lean(_assign_fine(least, most)), "node long, shard long, near double")
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("near")).alias("far"), "shard"))), 1, most)  # of at most COARSE * most
+    every = near.groupBy("node").agg(best.alias("s")).select("node", F.posexplode("s").alias("rank", "s"))
+    return persisted(every.select("node", F.col("s.shard").alias("shard"), (F.col("rank") == 0).alias("home")))
+
+
 def robust_prune(x: np.ndarray, degree: int = DEGREE, far: int = FAR, alpha: float = ALPHA, candidates: int = CANDIDATES) -> np.ndarray:
     """[n, degree + far] places of neighbours (-1: none) among the rows of x, all rows at once: in each step every row takes its closest candidate left and drops those that this one occludes. The last `far` come, pruned likewise, from rows at random, so that tight groups stay reachable."""
     n = len(x)
@@ -230,43 +301,107 @@ def _cells(nodes: DataFrame, members: DataFrame, sizes: DataFrame) -> DataFrame:
     return m.join(nodes, "node")
 
 
-def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(result, audit). result: vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding array). audit: links of audited nodes, those found by the graph, cells that were compared exhaustively.
+def _components_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    members = connected_components(edges)
+    return persisted(nodes.join(members, "node", "left").select("node", "unit", "copies", "vec_id", "audited", F.coalesce("component", "node").alias("group")))
+
+
+def _against_all(queries: list, threshold: float):
+    """For (node, unit, group, copies): of each query its links in this task (copies counted) and, as rows of their own, the nodes that it links with in other components."""
+
+    def run(batches):
+        q = _matrix([r["unit"] for r in queries])
+        node, group = np.array([r["node"] for r in queries]), np.array([r["group"] for r in queries])
+        total, lost = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own, of, copies = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2, 3))
+            x = _matrix(b.column(1).to_pylist())
+            for k in range(0, len(q), 512):
+                hit = q[k : k + 512] @ x.T >= threshold
+                hit &= node[k : k + 512, None] != own
+                total[k : k + 512] += hit @ copies
+                apart = hit & (group[k : k + 512, None] != of)
+                if apart.any():
+                    lost[k : k + 512] += apart @ copies
+                    i, j = np.nonzero(apart)
+                    _, first = np.unique(np.stack([i, of[j]]), axis=1, return_index=True)  # one link to a component will do
+                    i, j = i[first], j[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[k + i]), pa.array(own[j]), pa.array(np.zeros(len(i), np.int64)), pa.array(np.zeros(len(i), np.int64))], ["src", "dst", "links", "lost"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array([None] * len(some), pa.int64()), pa.array(total[some]), pa.array(lost[some])], ["src", "dst", "links", "lost"])
+
+    return run
+
+
+def _audit(of: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst, links, lost): see _against_all; the audited nodes of each width against all nodes of it, slice by slice."""
+    out = []
+    for r in of.where("audited").groupBy(F.length("unit").alias("width")).agg(F.count("*").alias("n")).collect():
+        slices = max(1, -(-r["n"] * r["width"] // AUDIT_BYTES))
+        own = of.where(F.length("unit") == r["width"]).select("node", "unit", "group", "copies")
+        for k in range(slices):
+            queries = of.where("audited").where((F.length("unit") == r["width"]) & (F.pmod(F.xxhash64("node"), F.lit(slices)) == k)).select("node", "unit", "group").collect()
+            if queries:
+                out.append(persisted(own.mapInArrow(lean(_against_all(queries, threshold)), "src long, dst long, links long, lost long")))
+    every = of.sparkSession.createDataFrame([], "src long, dst long, links long, lost long")
+    for x in out:
+        every = every.unionByName(x)
+    return every
+
+
+def _graph(nodes: DataFrame, sizes: dict[int, int], threshold: float, least: int, most: int) -> DataFrame:
+    """CELL rows: what the searches over the graphs of all widths find."""
+    every = nodes.sparkSession.createDataFrame([], CELL)
+    for width, n in sizes.items():
+        own = nodes.where(F.length("unit") == width)
+        members = _members(own, n, least, most)
+        cut = members.groupBy("shard").agg(F.count_if("home").alias("h"), F.count("*").alias("m"))
+        cut = persisted(cut.select("shard", F.greatest(F.lit(1), F.ceil(F.col("h") / BLOCK)).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("m") / SLICE)).cast("int").alias("slices")))
+        cells = _cells(own.select("node", "unit", "copies", "vec_id"), members, cut)
+        built = cells.groupBy("shard", "block", "slice").applyInPandas(_build, "node long, near array<long>")
+        lists = persisted(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
+        every = every.unionByName(persisted(cells.join(lists, "node").groupBy("shard", "block", "slice").applyInPandas(_search(threshold), CELL)))
+    return every
+
+
+def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """(result, audit). result: vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding array). audit, one row for each graph that was built: least (shards of a node), links of the audited nodes with all others, lost (those that the graph's components lacked; they were added), recall.
 
     Null and empty vectors, zero vectors and those with null or non-finite components link with nothing and are
     their own component; vectors of different lengths never link. Equal vectors meet by an aggregation before any
     are compared. Rows that repeat a vec_id are vectors of their own that share an id. A null vec_id counts as a
-    vector; a component's id is its smallest non-null one. Empty table: empty result.
+    vector; a component's id is its smallest non-null one. Other columns are ignored. Empty table: empty result.
     """
     spark = vectors.sparkSession
     rows = persisted(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(lean(_units), "vec_id long, unit binary"))
-    grouped = rows.where("unit is not null").groupBy("unit").agg(F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"))
+    grouped = rows.where("unit is not null").groupBy("unit").agg(F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"), F.coalesce(F.bool_or(F.col("vec_id") % AUDIT == 0), F.lit(False)).alias("audited"))
     nodes = persisted(grouped.withColumn("node", F.monotonically_increasing_id()))
-    widths = [r["w"] for r in nodes.select(F.length("unit").alias("w")).distinct().limit(1001).collect()]
-    if len(widths) > 1000:
+    sizes = {r["w"]: r["n"] for r in nodes.groupBy(F.length("unit").alias("w")).agg(F.count("*").alias("n")).orderBy("w").limit(1001).collect()}
+    if len(sizes) > 1000:
         raise ValueError("more than 1,000 vector lengths")
-    every = spark.createDataFrame([], CELL)
-    for width in sorted(widths):
-        own = nodes.where(F.length("unit") == width)
-        k = max(1, min(MOST_CENTRES, round(own.count() / SHARD)))
-        centres = _matrix([r["unit"] for r in own.orderBy(F.xxhash64("unit"), "node").limit(k).collect()])
-        members = persisted(own.select("node", "unit").mapInArrow(lean(_assign(centres)), "node long, shard int, home boolean"))
-        sizes = members.groupBy("shard").agg(F.count_if("home").alias("h"), F.count("*").alias("m"))
-        sizes = persisted(sizes.select("shard", F.greatest(F.lit(1), F.ceil(F.col("h") / BLOCK)).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("m") / SLICE)).cast("int").alias("slices")))
-        cells = _cells(own.select("node", "unit", "copies", "vec_id"), members, sizes)
-        built = cells.groupBy("shard", "block", "slice").applyInPandas(_build, "node long, near array<long>")
-        lists = persisted(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-        every = every.unionByName(persisted(cells.join(lists, "node").groupBy("shard", "block", "slice").applyInPandas(_search(threshold), CELL)))
-    members = connected_components(every.where("node != root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
-    of = persisted(nodes.join(members, "node", "left").select("node", "unit", "copies", "vec_id", F.coalesce("component", "node").alias("group")))
+    edges, log = spark.createDataFrame([], "src long, dst long"), []
+    for least, most in OVERLAPS:
+        found = _graph(nodes, sizes, threshold, least, most)
+        edges = edges.unionByName(found.where("node != root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
+        of = _components_of(nodes, edges)
+        audited = _audit(of, threshold)
+        total = audited.agg(F.coalesce(F.sum("links"), F.lit(0)).alias("links"), F.coalesce(F.sum("lost"), F.lit(0)).alias("lost")).first()
+        log.append((least, total["links"], total["lost"], 1 - total["lost"] / max(1, total["links"])))
+        if total["lost"]:
+            edges = edges.unionByName(audited.where("dst is not null").select("src", "dst"))
+            of = _components_of(nodes, edges)
+        if log[-1][-1] >= recall:
+            break
     groups = persisted(of.groupBy("group").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("size")))
     linked = groups.where("size > 1").select(F.col("group").alias("shard"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("size") / SLICE).cast("int").alias("slices"))
-    grouped = members.select("node", F.col("component").alias("shard"), F.lit(True).alias("home"))
+    grouped = join_sized(of, linked.select(F.col("shard").alias("group")), "group", "left_semi", 8).select("node", F.col("group").alias("shard"), F.lit(True).alias("home"))
     counted = _cells(of.select("node", "unit", "copies"), grouped, linked).groupBy("shard", "block", "slice").applyInPandas(_count(threshold), "node long, links long")
     links = counted.groupBy("node").agg(F.sum("links").alias("links"))
     of = of.join(links, "node", "left").join(groups, "group").select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     result = rows.join(of, "unit", "left")
     known = F.col("n_links").isNotNull()
     result = result.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(known, F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
-    audit = every.agg(F.sum("audited").alias("audited"), F.sum("found").alias("found"), F.sum("exhaustive").alias("exhaustive"))
+    audit = spark.createDataFrame(log, "least int, links long, lost long, recall double")
     return result.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), audit
