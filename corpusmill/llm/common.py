@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,8 +18,12 @@ BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset and executors are threads of this machine (tests)."""
+    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = _own_dir()
+    return path.rstrip("/")
 
 
 @lru_cache(maxsize=1)
@@ -33,7 +38,18 @@ def persisted(df: DataFrame, partitions: int | None = None, **options: str) -> D
     if partitions:
         df = df.repartition(partitions)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that persisted has written. Only for those that nothing unwritten is read from any more."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def release_memory() -> None:
@@ -107,9 +123,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = persisted(large)
+        old = e
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = persisted(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(old, large)
         after = mark(e)
         if after == before:
             break

@@ -9,13 +9,16 @@ of segments, with the pair's number, are the blocking keys; fingerprints that me
 
 Four bits of 64 are a similarity of about 0.96. For lower ones (similar_texts, 0.8 of five-word shingles as a rule)
 the links so found are followed by those of a prefix filter, which misses none, and the exact Jaccard similarity
-decides each.
+decides each. Links leave their task as a spanning forest, so their number is linear in the rows; a common
+element's rows and a large group of candidates are dealt before one task has them all.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, combinations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, join_sized, lean, persisted
+from .common import BROADCAST_BYTES, connected_components, discard, join_sized, lean, persisted
 
 #: Fixed: generator polynomial of the binary Golay code (23, 12, 7).
 GENERATOR = 0b110001110101
@@ -34,8 +37,12 @@ MOST_BITS = 4
 WORDS_A_SHINGLE, SEED = 4, 42
 #: Fingerprints of one key that are compared in one go; a key with more is dealt to cells of blocks.
 MOST_RUN = 4096
-#: Similar texts: bits of a set's sketch, sets in the sample that orders shingles, turns of pivots before all pairs.
-ODD_BITS, SAMPLE, PIVOTS = 512, 2000, 2
+#: Similar texts: bits of a set's sketch; sets in the sample that orders shingles, and least hashes of each.
+ODD_BITS, SAMPLE, SAMPLE_HASHES = 512, 2000, 1024
+#: Sets that share an element and are compared in one go (more become candidates of each other as they are), and those compared place by place.
+MOST_SAME, SHORT_RUN = 2048, 8
+#: Shingles of a group of candidates that one task compares; members that all of a larger group meet first; parts of a very common element's rows.
+MOST_SHINGLES, PIVOTS, SALTS = 4_000_000, 3, 64
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
 
@@ -148,21 +155,6 @@ def forest(fps: np.ndarray, most: int = MOST_BITS) -> Iterator[tuple[int, np.nda
             rest = rest[~near]
 
 
-def nearest_forest(fps: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
-    """As forest, but with the links of a minimum spanning forest, so that those likeliest to stand a closer look are the ones that are kept. Quadratic in len(fps), which MOST_RUN bounds."""
-    x, rest = fps[0], fps[1:].copy()
-    best, near = np.full(len(rest), 65, np.uint8), np.zeros(len(rest), fps.dtype)
-    for last in range(len(rest) - 1, -1, -1):
-        d = np.bitwise_count(rest[: last + 1] ^ x)
-        closer = d < best[: last + 1]
-        best[: last + 1][closer], near[: last + 1][closer] = d[closer], x
-        k = best[: last + 1].argmin()
-        if best[k] <= most:
-            yield near[k], rest[k : k + 1].copy()
-        x = rest[k]
-        rest[k], best[k], near[k] = rest[last], best[last], near[last]
-
-
 def _link(columns: int, most_run: int | None, most: int, tree):
     """Over batches sorted by their first `columns` columns (the last column is the fingerprint): rows (kind, a, b), kind 0 a link, kind 1 a row of a key with over most_run rows, to be dealt again."""
 
@@ -270,6 +262,15 @@ def shingle_set(text: str | None, words_a_shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words_a_shingle))
 
 
+def digest_of(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
+def node_of(digest: bytes) -> int:
+    """A set's name where candidates are gathered. Sets that share one are only compared once more."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def odd_sketch(h: np.ndarray) -> bytes:
     """ODD_BITS bits, each the parity of the hashes that fall on it. Two sets' sketches differ in no more bits than the sets differ in elements."""
     odd = np.bincount((h >> np.uint64(64 - ODD_BITS.bit_length() + 1)).astype(np.int64), minlength=ODD_BITS) & 1
@@ -293,163 +294,394 @@ def most_apart(sizes: np.ndarray, similarity: float) -> np.ndarray:
     return (1 - similarity) / (1 + similarity) * sizes + 1e-6
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, node) sorted by key, those whose key another row has too."""
-    last, told = None, True
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key = b.column(0).to_numpy(zero_copy_only=False)
-        same = key[1:] == key[:-1]
-        before = last is not None and last.column(0)[0].as_py() == key[0]
-        if before and not told:
-            yield last
-        keep = np.concatenate([[before], same]) | np.concatenate([same, [False]])
-        yield b.filter(pa.array(keep))
-        last, told = b.slice(b.num_rows - 1), bool(keep[-1])
-
-
-def _across(similarity: float):
-    """Over rows (key, i, j, own, node, component, size, odd) sorted by key, i, j: the pairs (src, dst) of a cell, of different components, that their sketches don't rule out."""
-
-    def pairs(cell, parts):
-        own, node, component, size = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        odd = np.concatenate([p[4] for p in parts])
-        for x in range(len(node) - 1):
-            at = component[x + 1 :] != component[x]
-            if cell[1] != cell[2]:
-                at &= own[x + 1 :] != own[x]
-            at = np.flatnonzero(at) + x + 1
-            if not len(at):
-                continue
-            most = most_apart(size[at] + size[x], similarity)
-            at = at[(np.abs(size[at] - size[x]) <= most) & (np.bitwise_count(odd[at] ^ odd[x]).sum(1, dtype=np.int64) <= most)]
-            if len(at):
-                ends = (np.minimum(node[at], node[x]), np.maximum(node[at], node[x]))
-                yield pa.RecordBatch.from_arrays([pa.array(e) for e in ends], ["src", "dst"])
+def may_overlap(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets can be at the similarity if this is the first element that they share. a and b: size << 32 | place of the element in the set's order."""
+    n, m = a >> 32, b >> 32
+    return np.minimum(n - (a & 0xFFFFFFFF), m - (b & 0xFFFFFFFF)) >= similarity / (1 + similarity) * (n + m) - 1e-6
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_cell = [], None
+
+def _sign(words_a_shingle: int, share: float):
+    """Of (text, th, doc_id): a set's digest, size, fingerprint and sketch; of a share of the rows also its least hashes, for the sample."""
+
+    def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            columns = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)]
-            odd = np.frombuffer(b"".join(b.column(7).to_pylist()), "<u8").reshape(b.num_rows, -1)
-            cells = np.stack(columns[:3])
-            starts = [0, *(np.flatnonzero((cells[:, 1:] != cells[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
-            for s, e in zip(starts, starts[1:], strict=False):
-                cell = tuple(cells[:, s].tolist())
-                if cell != held_cell:
-                    if held:
-                        yield from pairs(held_cell, held)
-                    held, held_cell = [], cell
-                held.append((*(c[s:e] for c in columns[3:]), odd[s:e]))
-        if held:
-            yield from pairs(held_cell, held)
+            rows = []
+            for text, doc_id in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                h = shingle_set(text, words_a_shingle)
+                digest = digest_of(h)
+                taken = zlib.crc32(digest + str(doc_id).encode()) < share * 2**32
+                rows.append((digest, node_of(digest), len(h), np.uint64(majority(h)).astype(np.int64), odd_sketch(h), h[:SAMPLE_HASHES].tobytes() if taken else None))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["th", "doc_id", *(x.split()[0] for x in SIGNED.split(", ")[2:])])
 
     return run
 
 
-def similar_texts(docs: DataFrame, similarity: float = 0.8, words_a_shingle: int = 5) -> DataFrame:
-    """doc_id, group and component_id of every row of docs (doc_id, text): texts whose sets of word shingles are similar.
+SIGNED = "th long, doc_id long, digest binary, node long, size long, fp long, odd binary, sample binary"
 
-    A link is a pair whose sets have a Jaccard similarity of at least `similarity`, computed for the pair; groups are
-    the components of all links. Candidates come from the Golay keys of the sets' SimHash and, as those miss pairs,
-    from prefixes: sets at the similarity share one of the first elements of both in a common order. Where many share
-    one, links to the run's pivots are tried first, and then every pair that these have left in different groups
-    and that a bound on the sets' difference doesn't rule out. Null or wordless texts are one group. Null ids,
-    repeated rows and empty tables as in near_duplicates.
-    """
+
+def _prefixes(similarity: float, words_a_shingle: int, common: np.ndarray, counts: np.ndarray, salts: int):
+    """(key, salt, node, at) for the prefix of every set that the task hasn't met before. Keys that a hundredth of the sample or more has are salted."""
 
     def run(batches):
+        seen: set[bytes] = set()
+        hot = common[counts >= max(2, SAMPLE // 100)]
         for b in batches:
-            sets = [shingle_set(t, words_a_shingle) for t in b.column(1).to_pylist()]
-            fps = np.array([majority(h) for h in sets], np.uint64).view(np.int64)
-            kinds = [[hashlib.blake2b(h, digest_size=16).digest() for h in sets], [odd_sketch(h) for h in sets], [h.tobytes() for h in sets]]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([len(h) for h in sets], pa.int32()), *(pa.array(x, pa.binary()) for x in kinds)], ["doc_id", "fp", "size", "digest", "odd", "shingles"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, fp long, size int, digest binary, odd binary, shingles binary")
-    rows = persisted(rows.withColumn("row", F.monotonically_increasing_id()))
-    # equal sets are one node, the first of their rows
-    nodes = persisted(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")))
-    own = nodes.select(F.col("node").alias("row"))
-    small = persisted(join_sized(rows.select("row", "fp", "size", "odd"), own, "row", "left_semi", 8).withColumnRenamed("row", "node"))
-    sets = rows.select(F.col("row").alias("node"), "size", "shingles")
-
-    # an order that puts what a bounded sample has often last; any order finds all pairs
-    sample = F.broadcast(small.select(F.col("node").alias("row")).orderBy(F.xxhash64("row")).limit(SAMPLE))
-    taken = [np.frombuffer(r["h"], "<u8") for r in rows.join(sample, "row").select(F.substring("shingles", 1, 8 * 4096).alias("h")).collect()]
-    common, counts = np.unique(np.concatenate([np.zeros(0, "<u8"), *taken]), return_counts=True)
-    common, counts = common[counts > 1], counts[counts > 1]
+            held = []
+            for text in b.column(0).to_pylist():
+                h = shingle_set(text, words_a_shingle)
+                digest = digest_of(h)
+                if digest in seen:
+                    continue
+                seen.add(digest)
+                key, node = prefix(h, similarity, common, counts), node_of(digest)
+                salt = np.where(np.isin(key, hot), 1 + node % salts, 0) if len(hot) else np.zeros(len(key), np.int64)
+                held.append((key.view(np.int64), salt, np.full(len(key), node, np.int64), len(h) << 32 | np.arange(len(key))))
+            if held:
+                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2]), pa.array(cols[3].astype(np.int64))], ["key", "salt", "node", "at"])
+
+    return run
+
+
+def close_places(starts: np.ndarray, n: int, test) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places (a, b) that pass test(a, b) in the runs of at most SHORT_RUN rows among n rows; starts: the runs' first places."""
+    size = np.diff(np.append(starts, n))
+    size_of, run_of = np.repeat(size, size), np.repeat(np.arange(len(size)), size)
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for shift in range(1, min(SHORT_RUN, n)):
+        at = np.flatnonzero((size_of[:-shift] <= SHORT_RUN) & (run_of[:-shift] == run_of[shift:]))
+        if not len(at):
+            break
+        at = at[test(at, at + shift)]
+        first.append(at)
+        second.append(at + shift)
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _meet(similarity: float, most_run: int):
+    """Over rows (key, salt, node, at) sorted by key, salt, node: (kind, key, node, at). Kind 1: rows that may be similar to another of their key, by sizes and places. Kind 0: rows of salted keys and of keys with over most_run rows, which all become candidates of each other."""
+
+    def run(batches):
+        held, passing = None, None
+        for b in itertools.chain(batches, [None]):
+            if b is None:
+                rows, held = held, None
+            else:
+                rows = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+                rows = rows if held is None else np.concatenate([held, rows], 1)
+            if rows is None or not rows.shape[1]:
+                continue
+            rows = rows[:, np.concatenate([[True], (rows[:3, 1:] != rows[:3, :-1]).any(0)])]  # a set that several tasks have met
+            starts = np.concatenate([[0], np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(0)) + 1])
+            ends = np.append(starts[1:], rows.shape[1])
+            hot = (rows[1, starts] > 0) | (ends - starts > most_run)
+            if passing == tuple(rows[:2, 0]):
+                hot[0] = True
+            passing = None
+            if b is not None:  # the last run may go on
+                if hot[-1]:
+                    passing, held = tuple(rows[:2, -1]), rows[:, -1:]  # its last row stays, to find repeated ones
+                else:
+                    held, rows, starts, ends, hot = rows[:, starts[-1] :], rows[:, : starts[-1]], starts[:-1], ends[:-1], hot[:-1]
+            star = np.repeat(hot, ends - starts)
+            useful = np.zeros(rows.shape[1], bool)
+            at = rows[3]
+            for places in close_places(starts, rows.shape[1], lambda x, y: may_overlap(at[x], at[y], similarity)):  # noqa: B023
+                useful[places] = True
+            for s, e in zip(starts[(ends - starts > SHORT_RUN) & ~hot], ends[(ends - starts > SHORT_RUN) & ~hot], strict=True):
+                for x in range(s, e - 1):
+                    near = may_overlap(at[x + 1 : e], at[x], similarity)
+                    useful[x + 1 : e] |= near
+                    useful[x] |= near.any()
+            useful &= ~star
+            for kind, some in ((0, star), (1, useful)):
+                if some.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), kind, np.int32)), pa.array(rows[0, some]), pa.array(rows[2, some]), pa.array(rows[3, some])], ["kind", "key", "node", "at"])
+
+    return run
+
+
+def _sketched(similarity: float):
+    """Over rows (key, node, at, odd) sorted by key: links (src, dst) of nodes that neither places nor sketches rule out; of a key with many rows a spanning forest."""
+
+    def run(batches):
+        held = None
+        for b in itertools.chain(batches, [None]):
+            if b is None:
+                now, held = held, None
+            else:
+                now = (np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]), np.frombuffer(b"".join(b.column(3).to_pylist()), "<u8").reshape(b.num_rows, -1))
+                now = now if held is None else (np.concatenate([held[0], now[0]], 1), np.concatenate([held[1], now[1]]))
+            if now is None or not len(now[1]):
+                continue
+            rows, odd = now
+            starts = np.concatenate([[0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1])
+            if b is not None:
+                cut = starts[-1]
+                held = rows[:, cut:], odd[cut:]
+                rows, odd, starts = rows[:, :cut], odd[:cut], starts[:-1]
+            if not len(odd):
+                continue
+
+            def near(x, y, rows=rows, odd=odd):
+                ok = may_overlap(rows[2, x], rows[2, y], similarity)
+                return ok & (np.bitwise_count(odd[x] ^ odd[y]).sum(1, dtype=np.int64) <= most_apart((rows[2, x] >> 32) + (rows[2, y] >> 32), similarity))
+
+            first, second = close_places(starts, len(odd), near)
+            links = [(first, second)]
+            ends = np.append(starts[1:], len(odd))
+            for s, e in zip(starts[ends - starts > SHORT_RUN], ends[ends - starts > SHORT_RUN], strict=True):
+                rest, queue = np.arange(s, e), []
+                while len(rest):
+                    if not queue:
+                        queue, rest = [rest[0]], rest[1:]
+                        continue
+                    x = queue.pop()
+                    ok = near(rest, np.full(len(rest), x))
+                    if ok.any():
+                        links.append((np.full(int(ok.sum()), x), rest[ok]))
+                        queue.extend(rest[ok])
+                        rest = rest[~ok]
+            src, dst = (rows[1, np.concatenate(x)] for x in zip(*links, strict=True))
+            if len(src):
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+    return run
 
-    def emit(batches):
-        for b in batches:
-            for node, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                keys = prefix(np.frombuffer(h, "<u8"), similarity, common, counts).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), node, np.int64))], ["key", "node"])
 
-    def likely(batches):
+class Family:
+    """Sets of one task that are compared exactly: roots (which are linked already) and the links found."""
+
+    def __init__(self, sets: list[np.ndarray], roots: list, similarity: float):
+        flat = np.concatenate(sets) if sets else np.zeros(0, "<u8")
+        self.sizes = np.array([len(h) for h in sets], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        names, self.codes = np.unique(flat, return_inverse=True)
+        self.mark = np.zeros(len(names) + 1, bool)
+        self.root = np.array(roots, np.int64)
+        self.similarity = similarity
+
+    def near(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Those of the places `others` whose Jaccard similarity with place x is at least that asked for."""
+        n = self.sizes[x]
+        others = others[(self.sizes[others] >= self.similarity * n - 1e-6) & (n >= self.similarity * self.sizes[others] - 1e-6)]
+        own = self.codes[self.starts[x] : self.starts[x] + n]
+        self.mark[own] = True
+        inner = np.empty(len(others), np.int64)
+        for i in range(0, len(others), 512):
+            some = others[i : i + 512]
+            size = self.sizes[some]
+            ends = np.cumsum(size)
+            at = np.repeat(self.starts[some] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+            inner[i : i + 512] = np.add.reduceat(self.mark[self.codes[at]].astype(np.int64), ends - size) if len(at) else 0
+        self.mark[own] = False
+        return others[inner >= self.similarity * (n + self.sizes[others] - inner) - 1e-9]
+
+    def links(self, searchers: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links that join places of different roots, enough to span all links of the searchers."""
+        left = len(np.unique(self.root))
+        for x in searchers.tolist():
+            if left < 2:
+                return
+            for y in self.near(x, np.flatnonzero(self.root != self.root[x])).tolist():
+                if self.root[y] != self.root[x]:
+                    yield x, y
+                    self.root[self.root == self.root[y]] = self.root[x]
+                    left -= 1
+
+
+CANDIDATE = "group long, i int, b int, id long, root long, searcher boolean, digest binary, z binary"
+
+
+def _verify(similarity: float, words_a_shingle: int):
+    """Over CANDIDATE rows sorted by cell (group, i, b) and id: exact links (src, dst)."""
+
+    def links(rows):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        sets, ids, roots, searchers = [], [], [], []
+        for id_, root, searcher, digest, z in rows:
+            if ids and ids[-1] == id_ and searchers[-1] >= searcher:
+                continue  # copies of one text
+            h = shingle_set(unpack(z).decode("utf-8", "surrogatepass"), words_a_shingle)
+            if digest_of(h) == digest:
+                sets.append(h)
+                ids.append(id_)
+                roots.append(root)
+                searchers.append(searcher)
+        family = Family(sets, roots, similarity)
+        found = list(family.links(np.flatnonzero(np.array(searchers, bool))))
+        if found:
+            src, dst = np.array(ids, np.int64)[np.array(found).T]
+            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+    def run(batches):
+        held, cell = [], None
         for b in batches:
-            sizes = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3)]
-            odd = [np.frombuffer(b"".join(b.column(i).to_pylist()), "<u8").reshape(b.num_rows, -1) for i in (4, 5)]
-            near = np.bitwise_count(odd[0] ^ odd[1]).sum(1, dtype=np.int64) <= most_apart(sizes[0] + sizes[1], similarity)
-            yield b.select(["src", "dst"]).filter(pa.array(near))
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:3] != cell:
+                    if len(held) > 1:
+                        yield from links(held)
+                    held, cell = [], row[:3]
+                held.append(row[3:])
+        if len(held) > 1:
+            yield from links(held)
+
+    return run
+
+
+def _against_pivots(similarity: float, words_a_shingle: int):
+    """Of rows (id, digest, z, pivots): (id, pivot) for each pivot that a row is similar to, pivot null if there is none."""
+
+    def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        held: dict[bytes, np.ndarray] = {}
+
+        def of(z):
+            return shingle_set(unpack(z).decode("utf-8", "surrogatepass"), words_a_shingle)
 
-    def exact(batches):
         for b in batches:
-            near = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                both = len(x) // 8 + len(y) // 8
-                inner = both - len(np.unique(np.frombuffer(x + y, "<u8")))
-                near.append(inner >= similarity * (both - inner) - 1e-9)
-            yield b.select(["src", "dst"]).filter(pa.array(near, pa.bool_()))
-
-    def ends(pairs, of, columns):
-        for end in ("src", "dst"):
-            pairs = pairs.join(of.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
-        return pairs.select("src", "dst", *[f"{c}_{end}" for c in columns for end in ("src", "dst")])
-
-    def verified(pairs):
-        pairs = persisted(ends(pairs.distinct(), small, ("size", "odd")).mapInArrow(lean(likely), "src long, dst long"))
-        # sets are long: none is shuffled but for a pair
-        one = join_sized(sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")), pairs, "src", "inner", 16)
-        held = join_sized(sets, pairs.select(F.col("dst").alias("node")).distinct(), "node", "left_semi", 8)
-        both = one.join(held.select(F.col("node").alias("dst"), F.col("shingles").alias("b")), "dst")
-        return persisted(both.select("src", "dst", "a", "b").mapInArrow(lean(exact), "src long, dst long"))
-
-    def labelled(found):
-        return met.join(connected_components(found), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-
-    # by the method: fingerprints at most MOST_BITS apart
-    first = persisted(small.groupBy("fp").agg(F.min("node").alias("node")))
-    equal = small.join(first.withColumnRenamed("node", "src"), "fp").where("src != node").select("src", F.col("node").alias("dst"))
-    golay = links(first)
+            out = []
+            for id_, digest, z, pivots in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h = of(z)
+                if digest_of(h) != digest:
+                    continue
+                if len(held) > 64:
+                    held.clear()
+                sets = [held[p["z"]] if p["z"] in held else held.setdefault(p["z"], of(p["z"])) for p in pivots]
+                inner = [len(h) + len(s) - len(np.union1d(h, s)) for s in sets]
+                near = [p["id"] for p, s, n in zip(pivots, sets, inner, strict=True) if n >= similarity * (len(h) + len(s) - n) - 1e-9]
+                out += [(id_, p) for p in near] or [(id_, None)]
+            cols = list(zip(*out, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], ["id", "pivot"])
+
+    return run
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, id, digest, z) of (text, th, group, id, digest), once for each id that the task meets."""
+    import zstandard
+
+    pack, seen = zstandard.ZstdCompressor(level=3).compress, set()
+    for b in batches:
+        new = []
+        for i, x in enumerate(b.column("id").to_pylist()):
+            if (key := (x, b.column("th")[i].as_py())) not in seen:
+                seen.add(key)
+                new.append(i)
+        b = b.take(pa.array(new, pa.int64()))
+        z = pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("group"), b.column("id"), b.column("digest"), z], ["group", "id", "digest", "z"])
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, similarity: float, words_a_shingle: int, most_shingles: int, pivots: int) -> DataFrame:
+    """Exact links (src, dst) that span all links between nodes of a group of candidates.
+
+    A candidate's text goes to its group once. A group of over most_shingles is compared with `pivots` of its members
+    first; what isn't similar to one of them meets all others in cells, block by block.
+    """
+    of = persisted(join_sized(nodes.select("id", "node", "th", "digest", "size"), groups, "node", "inner", 16).select("id", "th", "digest", "size", F.col("component").alias("group")))
+    weights = persisted(of.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1"))
+    of = join_sized(of, weights, "group", "inner", 32).select("th", "group", "id", "digest")
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    texts = persisted(join_sized(rows, of, "th", "inner", 48).select("text", "th", "group", "id", "digest").mapInArrow(lean(_texts), "group long, id long, digest binary, z binary"))
+    large = weights.where(F.col("weight") > most_shingles)
+    flat = join_sized(texts, large.select("group"), "group", "left_anti", 8)
+    flat = flat.select("group", F.lit(0).alias("i"), F.lit(0).alias("b"), "id", F.col("id").alias("root"), F.lit(True).alias("searcher"), "digest", "z")
+    check = lean(_verify(similarity, words_a_shingle))
+    found = flat.repartition("group").sortWithinPartitions("group", "i", "b", "id").mapInArrow(check, "src long, dst long")
+    if large.isEmpty():
+        return found
+    hot = join_sized(texts, large, "group", "inner", 32)
+    picked = hot.groupBy("group").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"] for k in range(pivots)])).alias("p")).select("group", F.explode("p").alias("id"))
+    picked = persisted(hot.join(picked, ["group", "id"], "left_semi").groupBy("group", "id").agg(F.min("z").alias("z")).groupBy("group").agg(F.collect_list(F.struct("id", "z")).alias("pivots")))
+    bytes_ = picked.agg(F.sum(F.expr("aggregate(pivots, 0L, (a, x) -> a + length(x.z) + 16)"))).first()[0] or 0
+    star = hot.select("group", "id", "digest", "z").join(F.broadcast(picked) if bytes_ <= BROADCAST_BYTES else picked, "group")
+    star = persisted(star.select("id", "digest", "z", "pivots").mapInArrow(lean(_against_pivots(similarity, words_a_shingle)), "id long, pivot long").distinct())
+    found = persisted(found.unionByName(star.where("pivot is not null and pivot != id").select(F.col("id").alias("src"), F.col("pivot").alias("dst"))))
+    rest = star.where("pivot is null").select("id")
+    if rest.isEmpty():
+        return found
+    roots = star.groupBy("id").agg(F.min("pivot").alias("root"))
+    every = persisted(hot.join(roots, "id").select("group", "id", "digest", "z", F.coalesce("root", "id").alias("root"), F.ceil(F.col("weight") / most_shingles).cast("int").alias("blocks"), F.col("root").isNull().alias("rest"), (F.col("weight") / F.col("n") / most_shingles).alias("share")))
+    counts = every.where("rest").groupBy("group").agg(F.ceil(F.sum("share")).cast("int").alias("slices"))
+    every = every.join(counts, "group")
+    block, part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("slices")).cast("int")
+    targets = every.withColumn("b", block).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    searchers = every.where("rest").withColumn("i", part).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = targets.withColumn("searcher", F.lit(False)).unionByName(searchers.withColumn("searcher", F.lit(True)))
+    cells = cells.select("group", "i", "b", "id", "root", "searcher", "digest", "z").repartition("group", "i", "b").sortWithinPartitions("group", "i", "b", "id", F.desc("searcher"))
+    return found.unionByName(cells.mapInArrow(check, "src long, dst long"))
+
+
+def _similar(docs: DataFrame, similarity: float, words_a_shingle: int, most_run: int = MOST_SAME, most_shingles: int = MOST_SHINGLES, pivots: int = PIVOTS, salts: int = SALTS) -> DataFrame:
+    """(th, doc_id, group) of every row of docs; th: the hash of its text. See similar_texts."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("th"), F.col("doc_id").cast("long").alias("doc_id"))
+    signed = persisted(rows.mapInArrow(lean(_sign(words_a_shingle, share)), SIGNED))
+    nodes = signed.groupBy("digest").agg(F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("node", "size", "fp", "odd")])
+    nodes = persisted(nodes.withColumn("id", F.monotonically_increasing_id()))
+
+    # an order that puts what the sample has often last; any order finds all pairs
+    taken = [np.frombuffer(r[0], "<u8") for r in signed.where("sample is not null").select("sample").limit(2 * SAMPLE).collect()]
+    common, counts = np.unique(np.concatenate([np.zeros(0, "<u8"), *taken]), return_counts=True)
+    common, counts = common[counts > 1], counts[counts > 1]
+
+    # candidates by the method: fingerprints at most MOST_BITS apart
+    first = persisted(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")))
+    equal = nodes.select("fp", F.col("node").alias("src")).join(first.where("n > 1"), "fp").where("src != node").select("src", F.col("node").alias("dst"))
+    golay = links(first.select("fp"))
     for end in ("src", "dst"):
         golay = golay.join(first.select(F.col("fp").alias(end), F.col("node").alias(f"n_{end}")), end)
-    found = verified(equal.unionByName(golay.select(F.least("n_src", "n_dst").alias("src"), F.greatest("n_src", "n_dst").alias("dst"))))
-    # by prefixes
-    keys = join_sized(rows.select("row", "shingles"), own, "row", "left_semi", 8).mapInArrow(lean(emit), "key long, node long")
-    met = persisted(keys.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_shared), "key long, node long"))
-    for turn in range(PIVOTS):
-        of = persisted(labelled(found))
-        pivots = of.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "component")).alias("p"), F.min("component").alias("a"), F.max("component").alias("b"))
-        pivots = pivots.where("a != b").select("key", F.col("p.node").alias("pivot"), F.col("p.component").alias("own"))
-        star = of.join(pivots, "key").where("component != own").select(F.least("node", "pivot").alias("src"), F.greatest("node", "pivot").alias("dst"))
-        found = found.unionByName(verified(star))
-    of = persisted(labelled(found))
-    runs = of.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count("*") / F.lit(MOST_RUN / 2)).cast("int").alias("n"))
-    cells = of.join(runs.where("a != b").select("key", "n"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    cells = cells.join(small.select("node", "size", "odd"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "size", "odd")
-    rest = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(_across(similarity)), "src long, dst long")
-    found = found.unionByName(verified(rest))
+    golay = golay.select(F.col("n_src").alias("src"), F.col("n_dst").alias("dst"))
+
+    # candidates by prefixes
+    keys = rows.select("text").mapInArrow(lean(_prefixes(similarity, words_a_shingle, common, counts, salts)), "key long, salt int, node long, at long")
+    met = persisted(keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(lean(_meet(similarity, most_run)), "kind int, key long, node long, at long"))
+    same = met.where("kind = 0").select(F.col("node").alias("src"), F.col("key").alias("dst"))
+    runs = met.where("kind = 1").select("key", "node", "at").join(nodes.select("node", "odd"), "node").select("key", "node", "at", "odd")
+    alike = runs.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_sketched(similarity)), "src long, dst long")
+    groups = connected_components(equal.unionByName(golay).unionByName(same).unionByName(alike))
+    discard(met, first)
+
+    found = _verified(docs, nodes, groups, similarity, words_a_shingle, most_shingles, pivots)
     members = connected_components(found)
-    grouped = nodes.join(members, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("group"))
-    least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
-    return join_sized(rows.select("doc_id", "digest"), grouped.select("digest", "group").join(least, "group"), "digest", "left", 40).select("doc_id", "component_id", "group")
+    grouped = join_sized(nodes.select("digest", "id"), members.select(F.col("node").alias("id"), "component"), "id", "left", 16).select("digest", F.coalesce("component", "id").alias("group"))
+    return signed.select("th", "doc_id", "digest").join(grouped, "digest").select("th", "doc_id", "group")
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, words_a_shingle: int = 5, **bounds: int) -> DataFrame:
+    """doc_id, group and component_id of every row of docs (doc_id, text): texts whose sets of word shingles are similar.
+
+    A link is a pair whose sets have a Jaccard similarity of at least `similarity`, computed for the pair; groups are
+    the components of all links. Candidates are the links of the Golay keys of the sets' SimHash and, since Golay keys
+    are certain for a few bits only, pairs that share an element of their prefixes and that neither sizes and places
+    nor a bound on the sets' difference rule out; no pair at the similarity is missed. Candidates form groups, and the
+    sets of a group are compared exactly. Null or wordless texts are one group. Null ids, repeated rows and empty
+    tables as in near_duplicates. bounds: what one task takes at most, see _similar; they don't change the result.
+    """
+    rows = persisted(_similar(docs, similarity, words_a_shingle, **bounds))
+    least = rows.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return join_sized(rows, least, "group", "left", 16).select("doc_id", "component_id", "group")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, words_a_shingle: int = 5) -> DataFrame:
-    """docs with one document of each group of similar texts: that of the smallest doc_id (and of rows repeated in full, one)."""
-    kept = similar_texts(docs, similarity, words_a_shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """docs with one row of each group of similar texts: that of the smallest doc_id, nulls last; of rows with the same id the one whose text has the smallest hash, and of rows repeated in id and text any one. All columns, whatever their names, stay. Null texts count as empty; an empty table gives an empty result."""
+    rows = _similar(docs, similarity, words_a_shingle)
+    pairs = persisted(rows.groupBy("group", "doc_id", "th").agg(F.count("*").alias("n")))
+    best = pairs.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "n")).alias("k"))
+    judged = persisted(pairs.join(best, "group").select("doc_id", "th", "n", (F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("th") == F.col("k.th"))).alias("stays")))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own_th"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_th") == F.col("th"))
+    gone, twice = judged.where("not stays"), persisted(judged.where("stays and n > 1").select("doc_id", "th"))
+    kept = join_sized(own, gone.select("doc_id", "th"), same, "left_anti", 16)
+    if not twice.isEmpty():
+        once = join_sized(kept, twice, same, "left_semi", 16).dropDuplicates(["own_id", "own_th"])
+        kept = join_sized(kept, twice, same, "left_anti", 16).unionByName(once)
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
