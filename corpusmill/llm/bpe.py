@@ -1,13 +1,16 @@
 """Byte-pair encoding by forced-boundary splitting.
 
 A pair of adjacent bytes that occurs inside no vocabulary token can never be merged, so the text may be cut
-there and the pieces encoded on their own. Two kinds of forced pairs are also neutral to the pre-tokenizer's
-pattern, and only those are cut:
+there and the pieces encoded on their own. The forced pairs are read from the vocabulary, all of them are used, and
+two steps make the pieces:
 
-* a byte that isn't ASCII white space, followed by ASCII white space (a pre-token never runs into white
-  space that follows it, and the pattern's only look-ahead is about what follows white space); bytes that some
-  token does have before white space are read from the vocabulary and not cut after;
-* two ASCII letters (the run of letters goes on in the second piece as a run of its own).
+* text is cut where a byte that isn't ASCII white space comes before ASCII white space (a pre-token of the
+  tokenizer's pattern never runs into white space that follows it, and the pattern's only look-ahead is about what
+  follows white space); bytes that some token does have before white space are not cut after;
+* each distinct piece is cut at every other forced pair that lies between two characters, unless the pattern might
+  see the parts otherwise than the whole: behind white space (the look-ahead), and beside an apostrophe
+  (contractions). Elsewhere a cut is either a border of pre-tokens already or parts a run of one class of
+  characters, whose second part is a run of its own.
 
 Pieces repeat, so each distinct piece is encoded once and kept in a bounded memo; ids of a text are the
 concatenation of its pieces' ids.
@@ -35,8 +38,10 @@ from .common import lean
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept in memory by one Python worker; when full, the memo starts anew (a bound on memory alone).
 MEMO_PIECES = 600_000
-#: Longer pieces aren't kept; pieces above SHORT are cut inside runs of letters as well.
-MEMO_BYTES, SHORT = 64, 24
+#: Longer pieces aren't kept.
+MEMO_BYTES = 64
+#: Fixed: the letters of the pattern's contractions of more than one letter.
+CONTRACTIONS = (b"re", b"ve", b"ll")
 
 
 def default_path() -> str:
@@ -78,24 +83,18 @@ class Encoder:
         tail = b"(?:(?<=[%s])[ \t\n\r]+[^ \t\n\r]*)*" % re.escape(joined_to_space) if joined_to_space else b""
         #: Cuts UTF-8 text before white space.
         self.pieces = re.compile(b"[ \t\n\r]*[^ \t\n\r]+%s|[ \t\n\r]+" % tail, re.DOTALL).findall
-        letters = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-        #: Forced pairs of ASCII letters.
-        self.cut_letters = {chr(a) + chr(b) for a in letters for b in letters if bytes((a, b)) not in inside}
+        #: Whether a byte pair is forced: in no token, so that no merge joins it.
+        self.forced = np.ones((256, 256), bool)
+        for pair in [*inside, *CONTRACTIONS]:
+            self.forced[pair[0], pair[1]] = False
         self.special = re.compile("|".join(sorted(map(re.escape, self.added), key=len, reverse=True))) if self.added else None
         self.memo: dict[bytes, tuple[bytes, bytes]] = {}
 
     def _new(self, key: bytes) -> tuple[bytes, bytes]:
         """Ids (little-endian unsigned 32-bit) and decoded bytes of a piece not yet in the memo."""
-        piece = key.decode()
-        if len(piece) <= SHORT:
-            ids = self.bpe.encode_ordinary(piece)
-        else:  # long unbroken strings are cut at forced pairs of letters too
-            ids, start = [], 0
-            for i in range(1, len(piece)):
-                if piece[i - 1 : i + 1] in self.cut_letters:
-                    ids += self.bpe.encode_ordinary(piece[start:i])
-                    start = i
-            ids += self.bpe.encode_ordinary(piece[start:])
+        ids: list[int] = []
+        for fragment in self.fragments(key):
+            ids += self.bpe.encode_ordinary(fragment)
         packed = array("I", ids)
         if sys.byteorder != "little":
             packed.byteswap()
@@ -106,6 +105,19 @@ class Encoder:
             self.memo[key] = out
         return out
 
+    def fragments(self, piece: bytes) -> list[str]:
+        """A piece cut at its forced pairs."""
+        b = np.frombuffer(piece, np.uint8)
+        left, right = b[:-1], b[1:]
+        cut = np.flatnonzero(self.forced[left, right] & (right & 0xC0 != 0x80) & (left != 39) & (right != 39)) + 1
+        out, held = [], ""
+        for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(piece)], strict=True):
+            held += piece[i:j].decode()
+            if not held[-1:].isspace():
+                out.append(held)
+                held = ""
+        return [*out, held] if held else out
+
     def _spans(self, text: str) -> Iterator[tuple[str, bool]]:
         at = 0
         if self.special:
