@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import lean, lean_group, persisted
 
@@ -38,9 +39,9 @@ CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 3 << 20
 #: Strings of a chunk that are hashed in one go.
 BLOCK = 1 << 17
-#: Runs whose anchor is in more chunks than this meet string by string instead of by anchor, so that a very common
-#: anchor with ever different surroundings is spread over all buckets.
-HOT_CHUNKS = 1000
+#: Runs whose anchor has more texts than this (distinct ones of a chunk) meet string by string instead of by anchor, so
+#: that a very common anchor with ever different surroundings is spread over all buckets.
+HOT_TEXTS = 1000
 #: Rank of a null doc_id: after every other.
 LAST = np.iinfo(np.int64).max
 
@@ -141,7 +142,7 @@ def _chunks(chunk_bytes: int = CHUNK_BYTES):
 
         pack = zstandard.ZstdCompressor(level=1).compress
         held: list[tuple[int | None, bytes]] = []
-        size, extra = 0, []
+        size, rows = 0, []  # rows: Arrow slices of the rows' other columns
 
         def flush():
             text = np.frombuffer(b"".join(t for _, t in held), np.uint8)
@@ -151,24 +152,36 @@ def _chunks(chunk_bytes: int = CHUNK_BYTES):
             runs = np.stack([np.diff(first, prepend=0), last - first, place - first]).astype("<i4")
             ranks = np.array([LAST if i is None else i for i, _ in held], "<i8")
             null = np.array([i is None for i, _ in held])
-            row = [null.tobytes(), ranks.tobytes(), offsets.tobytes(), pack(runs.tobytes()), pack(text.tobytes()), pack("\n".join(extra).encode())]
+            row = [null.tobytes(), ranks.tobytes(), offsets.tobytes(), pack(runs.tobytes()), pack(text.tobytes()), pack(_ipc(rows))]
             return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], [x.split()[0] for x in CHUNK.split(", ")])
 
         for b in batches:
-            for i, t, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            first = 0
+            for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 t = (t or "").encode("utf-8", "surrogatepass")
                 if held and size + len(t) > chunk_bytes:
+                    rows.append(b.slice(first, k - first).select(["row"]))
                     yield flush()
-                    held, size, extra = [], 0, []
+                    held, size, rows, first = [], 0, [], k
                 held.append((i, t))
-                extra.append(x or "")
                 size += len(t)
+            rows.append(b.slice(first).select(["row"]))
         if held:
             yield flush()
 
     return run
 
 
+def _ipc(batches: list[pa.RecordBatch]) -> bytes:
+    """Batches of one schema as an Arrow stream, in which every value keeps its type."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as out:
+        for b in batches:
+            if b.num_rows:
+                out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in b.columns], schema=b.schema))
+    return sink.getvalue().to_pybytes()
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     """One row at a time: a chunk is large, and a batch has many."""
     for i in range(batch.num_rows):
@@ -192,10 +205,11 @@ class Chunk:
 
         self.row = row
 
-    def extra(self) -> list[str]:
+    def extra(self) -> pa.Array:
+        """The rows' other columns, as structs."""
         import zstandard
 
-        return zstandard.ZstdDecompressor().decompress(self.row["extra"]).decode().split("\n")
+        return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(self.row["extra"])).read_all().column("row").combine_chunks()
 
     def anchors(self) -> np.ndarray:
         return hash_at(self.sums, self.place, self.place + K) if len(self.place) else np.zeros(0, np.uint64)
@@ -216,11 +230,14 @@ def _emit_anchors(buckets: int):
                 c = Chunk(row)
                 h = c.anchors()
                 key = _bucket(h, buckets).astype(np.uint64) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
-                order = np.lexsort((c.ranks[c.doc] if len(h) else h, key))
-                key, rank = key[order], (c.ranks[c.doc])[order]
-                new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-                ends = np.concatenate([new[1:], [len(key)]]) - 1 if len(new) else new
-                several = (rank[new] != rank[ends]) if len(new) else np.zeros(0, bool)
+                text = hash_at(c.sums, c.first, c.last + WINDOW) ^ (c.last - c.first).astype(np.uint64) if len(h) else h
+                order = np.lexsort((text, key))
+                key, text, rank = key[order], text[order], c.ranks[c.doc][order] if len(h) else h
+                head = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+                new = np.flatnonzero(head)
+                several = np.minimum.reduceat(rank, new) != np.maximum.reduceat(rank, new) if len(new) else np.zeros(0, bool)
+                texts = np.add.reduceat(head | np.concatenate([[True], text[1:] != text[:-1]])[: len(key)], new, dtype=np.int64) if len(new) else new
+                texts = np.minimum(texts, 65535).astype("<u2")
                 key = key[new]
                 of = (key >> np.uint64(32)).astype(np.int64)
                 cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
@@ -232,27 +249,31 @@ def _emit_anchors(buckets: int):
                         pa.array(np.full(len(cuts), row["chunk"], np.int64)),
                         pa.array([low[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary()),
                         pa.array([np.packbits(several[x:y]).tobytes() for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary()),
+                        pa.array([texts[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary()),
                     ],
-                    ["bucket", "chunk", "low", "several"],
+                    ["bucket", "chunk", "low", "several", "texts"],
                 )
 
     return run
 
 
-def _in_two(hot_chunks: int = HOT_CHUNKS):
+def _in_two(hot_texts: int = HOT_TEXTS):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of a bucket, each chunk's fingerprints that are in two documents, and whether more than hot_chunks chunks have them."""
+        """Of a bucket, each chunk's fingerprints that are in two documents, and whether they have more than hot_texts texts."""
         lows = [np.frombuffer(x, "<u4") for x in pdf["low"]]
         flags = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(n)].astype(bool) for x, n in zip(pdf["several"], lows, strict=True)]
         every, flag = np.concatenate(lows), np.concatenate(flags)
         order = np.argsort(every, kind="stable")
         s = every[order]
         heads = np.concatenate([[True], s[1:] != s[:-1]])
-        times = np.empty(len(s), np.int64)
-        times[order] = np.bincount(np.cumsum(heads) - 1)[np.cumsum(heads) - 1]
+        group = np.cumsum(heads) - 1
+        number = np.concatenate([np.frombuffer(x, "<u2") for x in pdf["texts"]]).astype(np.float64)
+        times, texts = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
+        times[order] = np.bincount(group)[group]
+        texts[order] = np.bincount(group, number[order])[group]
         found = (times > 1) | flag
         cuts = np.cumsum([len(x) for x in lows])[:-1]
-        out = [(c, low[f], t[f] > hot_chunks) for c, low, f, t in zip(pdf["chunk"], lows, np.split(found, cuts), np.split(times, cuts), strict=True) if f.any()]
+        out = [(c, low[f], t[f] > hot_texts) for c, low, f, t in zip(pdf["chunk"], lows, np.split(found, cuts), np.split(texts, cuts), strict=True) if f.any()]
         return pd.DataFrame({"chunk": [x[0] for x in out], "bucket": [key[0]] * len(out), "low": [x[1].tobytes() for x in out], "hot": [x[2].tobytes() for x in out]})
 
     return run
@@ -529,8 +550,8 @@ def covered(c: Chunk, buckets: int, row: dict) -> np.ndarray:
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-#: With texts: the remaining text, and the row's other columns as JSON.
-TEXT = DIGEST + ", text string, extra string"
+#: With texts: the remaining text. The row's other columns follow.
+TEXT = DIGEST + ", text string"
 
 
 def _finish(buckets: int, with_text: bool):
@@ -539,23 +560,24 @@ def _finish(buckets: int, with_text: bool):
             for row in _rows(b):
                 c = Chunk(row)
                 gone = covered(c, buckets, row)
-                rows, extra = [], c.extra()
+                rows = []
                 for k, (s, e) in enumerate(zip(c.offsets[:-1].tolist(), c.offsets[1:].tolist(), strict=True)):
                     g = gone[s:e]
                     removed = int(g.sum())
                     kept = c.text[s:e][~g].tobytes() if removed else c.text[s:e].tobytes()
                     spans = int((np.diff(g.astype(np.int8), prepend=0) == 1).sum()) if removed else 0
-                    rows.append((None if c.null[k] else int(c.ranks[k]), e - s, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None, extra[k]))
+                    rows.append((None if c.null[k] else int(c.ranks[k]), e - s, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
                 cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 names = [x.split()[0] for x in (TEXT if with_text else DIGEST).split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t, _ in zip(cols, kinds, names, strict=False)], names)
+                out = [pa.array(x, t) for x, t, _ in zip(cols, kinds, names, strict=False)]
+                yield pa.RecordBatch.from_arrays([*out, c.extra()], [*names, "row"]) if with_text else pa.RecordBatch.from_arrays(out, names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining text) of every row of docs (doc_id, text).
+def remove_repeats(docs: DataFrame, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, hot_texts: int = HOT_TEXTS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining text, and the other columns as the struct row) of every row of docs (doc_id, text).
 
     Null text: as empty. Texts below WINDOW bytes keep everything. A null doc_id ranks after every other, so its
     rows lose what others have and take nothing from them. Rows that repeat a doc_id are judged one by one against
@@ -564,27 +586,24 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, chunk_bytes: int =
     hold is one row a chunk. With with_text, bytes of a character that is cut in two are left out of the text.
     """
     others = [x for x in docs.columns if x not in ("doc_id", "text")] if with_text else []
-    extra = F.to_json(F.struct(*[F.col(f"`{x}`") for x in others])) if others else F.lit(None).cast("string")
-    chunks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), extra.alias("extra")).mapInArrow(lean(_chunks(chunk_bytes)), CHUNK)
+    row = F.struct(*[F.col(f"`{x}`") for x in others]) if others else F.lit(0)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row.alias("row"))
+    chunks = rows.mapInArrow(lean(_chunks(chunk_bytes)), CHUNK)
     chunks = persisted(chunks.select("*", F.monotonically_increasing_id().alias("chunk")))
     buckets = max(64, chunks.count() * chunk_bytes // BUCKET_BYTES)
-    anchors = chunks.mapInArrow(lean(_emit_anchors(buckets)), "bucket long, chunk long, low binary, several binary")
-    shared = persisted(anchors.groupBy("bucket").applyInPandas(lean_group(_in_two(hot_chunks)), "chunk long, bucket long, low binary, hot binary"))
+    anchors = chunks.mapInArrow(lean(_emit_anchors(buckets)), "bucket long, chunk long, low binary, several binary, texts binary")
+    shared = persisted(anchors.groupBy("bucket").applyInPandas(lean_group(_in_two(hot_texts)), "chunk long, bucket long, low binary, hot binary"))
     wanted = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "low", "hot")).alias("w")).select("chunk", F.col("w.bucket").alias("buckets"), F.col("w.low").alias("lows"), F.col("w.hot").alias("hots"))
     marked = chunks.join(wanted, "chunk", "left")
     texts = marked.mapInArrow(lean(_emit_texts(buckets)), TEXTS)
     least = persisted(texts.groupBy("bucket").applyInPandas(lean_group(_least), LEAST))
     back = least.groupBy("chunk").agg(F.collect_list(F.struct("run", "at", "rank")).alias("b")).select("chunk", F.col("b.run").alias("run"), F.col("b.at").alias("at"), F.col("b.rank").alias("rank"))
-    return marked.join(back, "chunk", "left").mapInArrow(lean(_finish(buckets, with_text)), TEXT if with_text else DIGEST)
+    return marked.join(back, "chunk", "left").mapInArrow(lean(_finish(buckets, with_text)), StructType.fromDDL(TEXT).add("row", rows.schema["row"].dataType) if with_text else DIGEST)
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
-    """docs, columns as they were, with the text that remove_repeats leaves (a null text becomes empty); n_chars, where there is one, follows. The other columns travel with their row, so nothing is joined by doc_id."""
-    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    """docs, columns as they were, with the text that remove_repeats leaves (a null text becomes empty); n_chars, where there is one, follows. The other columns, whatever their names and types, travel with their row as Arrow values, so nothing is joined by doc_id. Null ids, repeated rows and empty tables as in remove_repeats."""
     out = remove_repeats(docs, with_text=True)
-    if others:
-        parsed = F.from_json("extra", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others))
-        out = out.withColumn("extra", parsed)
     columns = []
     for f in docs.schema.fields:
         if f.name == "n_chars":
@@ -592,5 +611,5 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
         elif f.name in ("doc_id", "text"):
             columns.append(F.col(f.name).cast(f.dataType))
         else:
-            columns.append(F.col(f"extra.`{f.name}`").alias(f.name))
+            columns.append(F.col(f"row.`{f.name}`").alias(f.name))
     return out.select(*columns)
