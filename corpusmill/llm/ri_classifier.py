@@ -159,12 +159,17 @@ def fold(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Model:
-    """Fit on at most fit_rows labelled rows (in order of a hash of the id) of folds 0, 1 and 3, of at most fit_chars characters each. Fold 1 sets the temperature."""
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    """Fit on at most fit_rows labelled documents (in order of a hash of the id) of folds 0, 1 and 3, of at most fit_chars characters each. Fold 1 sets the temperature.
+
+    Documents whose labels disagree aren't used. Of rows that repeat an id the one with the least text is taken, by an
+    aggregation, so that no more than fit_rows rows come to the driver.
+    """
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
+    known = known.where("quality = most").drop("most")
     own = docs.select("doc_id", "text").where((fold(F.col("doc_id")) != 2) & (F.length("text") <= fit_chars))
-    chosen = own.select("doc_id").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = own.join(F.broadcast(chosen), "doc_id").select("text", "quality", (fold(F.col("doc_id")) == 1).alias("v"), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "text"], kind="stable").head(fit_rows)
+    chosen = own.select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    rows = rows.select("text", "quality", (fold(F.col("doc_id")) == 1).alias("v"), "doc_id").toPandas().sort_values("doc_id", kind="stable")
     return fit(rows["text"].tolist(), rows["quality"].to_numpy(np.int64), rows["v"].to_numpy(bool))
 
 
