@@ -9,8 +9,6 @@ those pieces by a new deal and run best-fit decreasing again, for a few rounds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -144,10 +142,3 @@ def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: sequences used, tokens, and the volume lower bound."""
     return packed.agg(F.countDistinct("sequence_id").alias("n_sequences"), F.sum("length").alias("n_tokens"), F.ceil(F.sum("length") / F.lit(capacity)).alias("lower_bound"))
-
-
-def exact_bins(sizes: list[int], capacity: int = CAPACITY) -> Iterator[list[int]]:
-    """Contents of each bin of best-fit decreasing, for inspection and tests."""
-    bins, _ = best_fit_decreasing(np.array(sizes, np.int64), capacity)
-    for b in range(int(bins.max()) + 1 if len(bins) else 0):
-        yield [s for s, x in zip(sizes, bins, strict=True) if x == b]
