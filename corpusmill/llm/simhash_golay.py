@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, connected_components, discard, join_sized, lean, persisted
+from .common import connected_components, discard, join_sized, lean, persisted
 
 #: Fixed: generator polynomial of the binary Golay code (23, 12, 7).
 GENERATOR = 0b110001110101
@@ -37,12 +37,12 @@ MOST_BITS = 4
 WORDS_A_SHINGLE, SEED = 4, 42
 #: Fingerprints of one key that are compared in one go; a key with more is dealt to cells of blocks.
 MOST_RUN = 4096
-#: Similar texts: bits of a set's sketch; sets in the sample that orders shingles, and least hashes of each.
-ODD_BITS, SAMPLE, SAMPLE_HASHES = 512, 2000, 1024
+#: Similar texts: least and most bits of a set's sketch; sets in the sample that orders shingles, and least hashes of each.
+LEAST_SKETCH, MOST_SKETCH, SAMPLE, SAMPLE_HASHES = 512, 8192, 2000, 1024
 #: Sets that share an element and are compared in one go (more become candidates of each other as they are), and those compared place by place.
 MOST_SAME, SHORT_RUN = 2048, 8
 #: Shingles of a group of candidates that one task compares; members that all of a larger group meet first; parts of a very common element's rows.
-MOST_SHINGLES, PIVOTS, SALTS = 4_000_000, 3, 64
+MOST_SHINGLES, PIVOTS, SALTS = 1_000_000, 3, 64
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
 
@@ -272,11 +272,44 @@ def node_of(digest: bytes) -> int:
 
 
 def odd_sketch(h: np.ndarray) -> bytes:
-    """ODD_BITS bits, each the parity of the hashes that fall on it. Two sets' sketches differ in no more bits than the sets differ in elements."""
-    odd = np.bincount((h >> np.uint64(64 - ODD_BITS.bit_length() + 1)).astype(np.int64), minlength=ODD_BITS) & 1
+    """A bit for each of 512, 1024, ... MOST_SKETCH places, as many as the set has elements or more: the parity of the hashes that fall on it. Two sets' sketches differ in no more bits than the sets differ in elements. Halves laid over each other (exclusive or) are the sketch of half as many bits."""
+    bits = LEAST_SKETCH
+    while bits < min(len(h), MOST_SKETCH):
+        bits *= 2
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+class Sketches:
+    """Sketches of any lengths; two are compared at the length of the shorter one."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.level = np.array([(len(x) * 8 // LEAST_SKETCH).bit_length() - 1 for x in sketches], np.int64)
+        self.folded: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of each length: place in the matrix or -1, the places in it, the matrix
+        longer = np.zeros((0, 0), np.uint64)
+        for level in range(int(self.level.max(initial=0)), -1, -1):
+            words = LEAST_SKETCH // 64 << level
+            own = np.flatnonzero(self.level == level)
+            half = longer[:, :words] ^ longer[:, words:] if len(longer) else np.zeros((0, words), np.uint64)
+            mine = np.frombuffer(b"".join(sketches[i] for i in own), "<u8").reshape(len(own), words)
+            longer = np.concatenate([half, mine])
+            places = own if not self.folded else np.concatenate([self.folded[0][1], own])
+            at = np.full(len(sketches), -1)
+            at[places] = np.arange(len(places))
+            self.folded.insert(0, (at, places, longer))
+
+    def apart(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether the sketches at places x and y differ in more than `most` bits, at the least length first."""
+        out = np.zeros(len(x), bool)
+        top = np.minimum(self.level[x], self.level[y])
+        for level, (at, _, matrix) in enumerate(self.folded):
+            left = np.flatnonzero((top >= level) & ~out) if level == 0 else np.flatnonzero((top == level) & ~out)
+            if len(left):
+                differ = np.bitwise_count(matrix[at[x[left]]] ^ matrix[at[y[left]]]).sum(1, dtype=np.int64)
+                out[left] = differ > most[left]
+        return out
+
+
 def prefix(h: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """So many of the first hashes, in one order for all sets (rare in the sample first, then by value), that sets at the similarity or more have one of them in common."""
     if not len(h):
@@ -412,9 +445,9 @@ def _sketched(similarity: float):
             if b is None:
                 now, held = held, None
             else:
-                now = (np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]), np.frombuffer(b"".join(b.column(3).to_pylist()), "<u8").reshape(b.num_rows, -1))
-                now = now if held is None else (np.concatenate([held[0], now[0]], 1), np.concatenate([held[1], now[1]]))
-            if now is None or not len(now[1]):
+                now = (np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]), b.column(3).to_pylist())
+                now = now if held is None else (np.concatenate([held[0], now[0]], 1), held[1] + now[1])
+            if now is None or not now[1]:
                 continue
             rows, odd = now
             starts = np.concatenate([[0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1])
@@ -422,12 +455,15 @@ def _sketched(similarity: float):
                 cut = starts[-1]
                 held = rows[:, cut:], odd[cut:]
                 rows, odd, starts = rows[:, :cut], odd[:cut], starts[:-1]
-            if not len(odd):
+            if not odd:
                 continue
 
-            def near(x, y, rows=rows, odd=odd):
+            def near(x, y, rows=rows, sketches=Sketches(odd)):
                 ok = may_overlap(rows[2, x], rows[2, y], similarity)
-                return ok & (np.bitwise_count(odd[x] ^ odd[y]).sum(1, dtype=np.int64) <= most_apart((rows[2, x] >> 32) + (rows[2, y] >> 32), similarity))
+                at = np.flatnonzero(ok)
+                x, y = x[at], y[at]
+                ok[at] = ~sketches.apart(x, y, most_apart((rows[2, x] >> 32) + (rows[2, y] >> 32), similarity))
+                return ok
 
             first, second = close_places(starts, len(odd), near)
             links = [(first, second)]
@@ -534,28 +570,26 @@ def _verify(similarity: float, words_a_shingle: int):
 
 
 def _against_pivots(similarity: float, words_a_shingle: int):
-    """Of rows (id, digest, z, pivots): (id, pivot) for each pivot that a row is similar to, pivot null if there is none."""
+    """Over rows (group, part, kind, id, digest, z) sorted by the first three, a group's pivots (kind 0) before its members: (id, pivot) for each pivot that a member is similar to, pivot null if there is none."""
 
     def run(batches):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        held: dict[bytes, np.ndarray] = {}
-
-        def of(z):
-            return shingle_set(unpack(z).decode("utf-8", "surrogatepass"), words_a_shingle)
-
+        cell, pivots = None, []
         for b in batches:
             out = []
-            for id_, digest, z, pivots in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = of(z)
+            for group, part, kind, id_, digest, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h = shingle_set(unpack(z).decode("utf-8", "surrogatepass"), words_a_shingle)
                 if digest_of(h) != digest:
                     continue
-                if len(held) > 64:
-                    held.clear()
-                sets = [held[p["z"]] if p["z"] in held else held.setdefault(p["z"], of(p["z"])) for p in pivots]
-                inner = [len(h) + len(s) - len(np.union1d(h, s)) for s in sets]
-                near = [p["id"] for p, s, n in zip(pivots, sets, inner, strict=True) if n >= similarity * (len(h) + len(s) - n) - 1e-9]
+                if cell != (group, part):
+                    cell, pivots = (group, part), []
+                if kind == 0:
+                    pivots.append((id_, h))
+                    continue
+                inner = [len(h) + len(s) - len(np.union1d(h, s)) for _, s in pivots]
+                near = [p for (p, s), n in zip(pivots, inner, strict=True) if n >= similarity * (len(h) + len(s) - n) - 1e-9]
                 out += [(id_, p) for p in near] or [(id_, None)]
             cols = list(zip(*out, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], ["id", "pivot"])
@@ -599,10 +633,12 @@ def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, similarity:
         return found
     hot = join_sized(texts, large, "group", "inner", 32)
     picked = hot.groupBy("group").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"] for k in range(pivots)])).alias("p")).select("group", F.explode("p").alias("id"))
-    picked = persisted(hot.join(picked, ["group", "id"], "left_semi").groupBy("group", "id").agg(F.min("z").alias("z")).groupBy("group").agg(F.collect_list(F.struct("id", "z")).alias("pivots")))
-    bytes_ = picked.agg(F.sum(F.expr("aggregate(pivots, 0L, (a, x) -> a + length(x.z) + 16)"))).first()[0] or 0
-    star = hot.select("group", "id", "digest", "z").join(F.broadcast(picked) if bytes_ <= BROADCAST_BYTES else picked, "group")
-    star = persisted(star.select("id", "digest", "z", "pivots").mapInArrow(lean(_against_pivots(similarity, words_a_shingle)), "id long, pivot long").distinct())
+    picked = persisted(join_sized(hot, picked, ["group", "id"], "left_semi", 16).groupBy("group", "id").agg(*[F.min(c).alias(c) for c in ("digest", "z", "weight")]))
+    parts = F.ceil(F.col("weight") / most_shingles).cast("int")
+    pivot_rows = picked.select("group", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"), "id", "digest", "z")
+    members = hot.select("group", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(1).alias("kind"), "id", "digest", "z")
+    met = pivot_rows.unionByName(members).repartition("group", "part").sortWithinPartitions("group", "part", "kind", "id")
+    star = persisted(met.mapInArrow(lean(_against_pivots(similarity, words_a_shingle)), "id long, pivot long").distinct())
     found = persisted(found.unionByName(star.where("pivot is not null and pivot != id").select(F.col("id").alias("src"), F.col("pivot").alias("dst"))))
     rest = star.where("pivot is null").select("id")
     if rest.isEmpty():

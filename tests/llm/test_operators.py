@@ -80,6 +80,64 @@ def test_html_repeats_settle_pages_without_article(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_nesting_is_linear():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<div>" * 100_000 + "x" + "</div>" * 100_000, "<table><tr><td>" * 30_000 + "x", "<article>" + "<p>a" * 50_000, "<ul>" + "<li>b" * 50_000, "<a '" * 50_000):
+        html_extract.Blocks(page)
+    assert time.perf_counter() - began < 20
+    assert html_extract.Blocks("<div><p>a<div>b<table><tr><td>c<p>d</table>e</div>f").found == [(t, False, False, z) for t, z in (("a", True), ("b", False), ("c", True), ("d", True), ("e", False), ("f", False))]
+
+
+def covered_text(pages):
+    """By brute force: the text of pages [[tokens of a block, ...], ...] without what LEAST_PAGES distinct pages of the host share."""
+    run = html_extract.RUN
+
+    def substrings(blocks):
+        for k, b in enumerate(blocks):
+            yield ("start", *b[: run - 1], *["end"] * (len(b) < run - 1)), k, 0, min(len(b), run - 1)
+            for j in range(len(b) - run + 1):
+                yield ("inner", *b[j : j + run]), k, j, run
+
+    holders = {}
+    for page in pages:
+        for key, *_ in substrings(page):
+            holders.setdefault(key, set()).add(repr(page))
+    out = []
+    for page in pages:
+        gone = [[False] * len(b) for b in page]
+        for key, k, j, n in substrings(page):
+            if len(holders[key]) >= html_extract.LEAST_PAGES:
+                gone[k][j : j + n] = [True] * n
+        texts = [" ".join(w for w, g in zip(b, flags, strict=True) if not g) for b, flags in zip(page, gone, strict=True)]
+        out.append("\n\n".join(t for t in texts if t))
+    return out
+
+
+@pytest.mark.parametrize("cell_bytes", [4 << 20, 600])
+def test_html_covered_runs_against_brute_force(spark, monkeypatch, cell_bytes):
+    monkeypatch.setattr(html_extract, "CELL_BYTES", cell_bytes)
+    rng = np.random.default_rng(12)
+    phrases = [[f"p{k}w{i}" for i in range(n)] for k, n in enumerate((1, 2, 5, 10, 11, 12, 14, 30))]
+    pages = []
+    for i in range(40):
+        page = []
+        for _ in range(int(rng.integers(1, 6))):
+            block = [f"u{i}_{x}" for x in rng.integers(0, 10**6, int(rng.integers(0, 9)))]
+            for _ in range(int(rng.integers(0, 3))):
+                block += phrases[int(rng.integers(0, 8))] + [f"v{int(rng.integers(0, 10**6))}"] * int(rng.integers(0, 2))
+            if block:
+                page.append(block)
+        pages.append(page)
+    pages += [pages[3]] * 5  # copies of a page are no evidence
+    rows = [(i, f"http://h.org/{i}", "".join(f"<div>{' '.join(b)}</div>" for b in page), "x") for i, page in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
+    want = covered_text(pages)
+    assert [got[i] for i in range(len(pages))] == want
+    assert sum(map(len, want)) < 0.8 * sum(len(" ".join(sum(p, []))) for p in pages)
+
+
 def test_suffix_order():
     t = np.random.default_rng(1).integers(0, 3, 200)
     order, _ = html_extract.suffix_order(t, 6)
@@ -180,7 +238,7 @@ def test_repeats_against_brute_force(spark, odd, docs, empty, hot):
     passage = " ".join(rng.choice(words, 40))
     rows = [(int(i), " ".join(rng.choice(words, int(rng.integers(1, 60)))) + (passage[int(rng.integers(0, 60)) :] if i % 3 else "") + " ".join(rng.choice(words, 9))) for i in rng.permutation(60)]
     rows += [(r["doc_id"], r["text"]) for r in odd.collect()] + [(200, "=" * 300), (201, "=" * 120), (3, passage)]
-    got = sorted(map(tuple, bwt_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk_bytes=2500, hot_chunks=hot).collect()), key=str)
+    got = sorted(map(tuple, bwt_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk_bytes=2500, hot_texts=hot).collect()), key=str)
     assert got == brute_repeats(rows)
     assert bwt_dedup.remove_repeats(empty).count() == 0
     stripped = bwt_dedup.strip_repeats(odd)
@@ -200,6 +258,25 @@ def test_merged_transforms_order_suffixes():
     assert len(set(by.values())) == len(by)
 
 
+# -- 3, the pipeline's stage -------------------------------------------------------
+
+
+def test_strip_repeats_carries_other_columns(spark):
+    import datetime
+    from decimal import Decimal
+
+    at = datetime.datetime(2024, 1, 2, 3, 4, 5, 678901)
+    passage = " ".join(f"w{i}" for i in range(30))
+    kind = "n_bytes decimal(20,5), `a b` timestamp, text string, row struct<x:array<int>,`y z`:map<string,double>>, doc_id int, kept_sha256 binary, n_chars int"
+    rows = [(Decimal("1.00001"), at, "a " + passage, ([1, None], {"k": 0.1}), 1, b"\xff", 5), (None, None, "b " + passage + " c", (None, {}), 2, None, None), (Decimal("2"), at, None, None, None, b"", 0)]
+    df = spark.createDataFrame(rows, kind)
+    got = bwt_dedup.strip_repeats(df)
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in df.schema]
+    out = {r["doc_id"]: r for r in got.collect()}
+    assert tuple(out[1]) == rows[0][:6] + (len("a " + passage),) and out[2]["text"] == "b c" and out[2]["n_chars"] == 3
+    assert out[None]["text"] == "" and out[None]["a b"] == at and out[None]["row"] is None and bwt_dedup.strip_repeats(df.limit(0)).count() == 0
+
+
 # -- 4 ---------------------------------------------------------------------------
 
 
@@ -424,6 +501,35 @@ def test_classifier_on_held_out_rows(spark, odd, empty):
     assert ri_classifier.keep_good(odd, lab).columns == odd.columns
 
 
+def test_classifier_sample_is_bounded(spark):
+    good, bad = "a calm and ordinary text about the sea and its weather", "### $$$ %%% &&& ### $$$ %%% &&&"
+    rows = [(i, good if i % 2 else bad) for i in range(300)] + [(1, good)] * 40 + [(None, bad), (2, None)]
+    labels = [(i, i % 2) for i in range(300)] + [(1, 1), (3, 0), (None, 1), (5, None)]
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    seen = []
+    real = ri_classifier.fit
+    ri_classifier.fit = lambda texts, y, v: seen.append((len(texts), int(y.sum()))) or real(texts, y, v)
+    try:
+        ri_classifier.train(d, lab, fit_rows=100)
+        ri_classifier.train(d, lab)
+        assert ri_classifier.train(d, lab.limit(0)) is not None
+    finally:
+        ri_classifier.fit = real
+    usable = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2 and i != 3]
+    assert seen[0][0] == 100 and seen[1][0] == len(usable) and seen[2] == (0, 0)
+
+
+def test_classifier_ranks_and_is_calibrated(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = ri_classifier.score(d, lab).join(lab, "doc_id").where("held_out").select("score", "quality").toPandas()
+    y, p = got["quality"].to_numpy(), got["score"].to_numpy()
+    ranks = got["score"].rank().to_numpy()
+    auc = (ranks[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+    bins = np.minimum((p * 10).astype(int), 9)
+    error = sum(abs(p[bins == b].mean() - y[bins == b].mean()) * (bins == b).mean() for b in range(10) if (bins == b).any())
+    assert auc > 0.98 and ((p >= 0.7) == y).mean() > 0.97 and error < 0.03
+
+
 # -- 7 ---------------------------------------------------------------------------
 
 
@@ -459,7 +565,50 @@ def test_lower_bounds_are_proven():
     assert packing.lower_bound(np.array([600, 600, 600])) == 3 and packing.lower_bound(np.array([], np.int64)) == 0
     assert packing.lower_bound(np.array([400] * 6)) == 3
     for sizes in ([1024], [512, 512], [513, 512, 511], [1] * 2000):
-        assert packing.lower_bound(np.array(sizes)) <= len(list(packing.exact_bins(sizes)))
+        assert packing.lower_bound(np.array(sizes)) <= packing.best_fit_decreasing(np.array(sizes))[0].max() + 1
+
+
+def fewest_bins(sizes, capacity):
+    """By trying every place of every piece."""
+    best = len(sizes)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best and i < len(sizes):
+            return
+        if i == len(sizes):
+            best = min(best, len(rooms))
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= sizes[i]}.values():
+            place(i + 1, [r - sizes[i] * (j == k) for j, r in enumerate(rooms)])
+        place(i + 1, [*rooms, capacity - sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_against_brute_force():
+    rng = np.random.default_rng(14)
+    certified = 0
+    for _ in range(150):
+        sizes = rng.integers(1, 101, int(rng.integers(1, 9)))
+        fewest = fewest_bins(sorted(sizes.tolist(), reverse=True), 100)
+        low, packed = packing.lower_bound(sizes, 100), int(packing.best_fit_decreasing(sizes, 100)[0].max()) + 1
+        assert low <= fewest <= packed
+        certified += low == packed
+    assert certified > 100
+    sizes = rng.integers(1, 1025, 500)
+    bins, offsets = packing.best_fit_decreasing(sizes)
+    rooms = []  # best fit decreasing, room by room
+    for s in sorted(sizes.tolist(), reverse=True):
+        fitting = [r for r in rooms if r >= s]
+        if fitting:
+            rooms.remove(min(fitting))
+        rooms.append((min(fitting) if fitting else 1024) - s)
+    assert bins.max() + 1 == len(rooms) and sorted(1024 - np.bincount(bins, sizes)) == sorted(rooms)
+    for b in range(bins.max() + 1):
+        order = np.argsort(offsets[bins == b])
+        assert offsets[bins == b][order].tolist() == [0, *np.cumsum(sizes[bins == b][order])[:-1]]
 
 
 # -- 8 ---------------------------------------------------------------------------
@@ -486,6 +635,23 @@ def test_bpe_equals_the_library(spark, odd, docs, empty):
 # -- 9 ---------------------------------------------------------------------------
 
 
+def test_bpe_forced_pairs_and_unbroken_scripts():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(bpe.default_path()), bpe.Encoder(bpe.default_path())
+    vocabulary = [e.bytes_of[i] for i in e.bytes_of if i not in e.added.values()]
+    joined = {x[k : k + 2] for x in vocabulary for k in range(len(x) - 1)} | set(bpe.CONTRACTIONS)
+    assert int(e.forced.sum()) == 65536 - len(joined) and not any(e.forced[p[0], p[1]] for p in joined)
+    assert e.fragments("日本語テキスト".encode()) != ["日本語テキスト"] and "".join(e.fragments("日本語's\u3000\u3000x".encode())) == "日本語's\u3000\u3000x"
+    rng = np.random.default_rng(2)
+    pools = ["日本語漢字かなテキスト交じり文、。", "กขคงจฉชซๆ่้", "абвгдежзийклмн", "ابتثجحخدذ١٢٣", "qxzjkvw", "!?#$%&'()*+", "\u3000\u2003\xa0\x85 \t", "0123456789٣", "😀🚀✨"]
+    for _ in range(3000):
+        pool = "".join(rng.choice(pools, 2)) + "'"
+        text = "".join(rng.choice(list(pool), int(rng.integers(1, 120))))
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert e.encode(text) == ids and e.decode(ids) == t.decode(ids, skip_special_tokens=False), repr(text)
+
+
 def test_many_secrets_in_one_text(spark):
     import random
 
