@@ -83,7 +83,8 @@ def critic_verdict(c: Column, field: str = "is_correct") -> Column:
 
 
 def indent(c: Column, pad: str) -> Column:
-    return F.regexp_replace(c, "(?m)^", pad)
+    """Every line, as newlines part them, behind pad."""
+    return F.concat(F.lit(pad), F.replace(c, F.lit("\n"), F.lit("\n" + pad)))
 
 
 def indentation(c: Column) -> Column:
@@ -111,6 +112,7 @@ def version_of(c: Column) -> Column:
 
 def user_prompt(natural: Column, names: Column, source: Column, has_header: bool = True, include_source: bool = False) -> Column:
     """Instruction for a formaliser; theorem names and source only if there are any."""
+    # fixed values: the words of the prompt that models were trained on
     head = F.lit("Mathematical Problem in Natural Language:\n") if has_header else F.lit("")
     parts = [head, natural, F.when(F.size(names) > 0, F.concat(F.lit("\nUse the following theorem names: "), F.array_join(names, ", "), F.lit("."))).otherwise(F.lit(""))]
     if include_source:

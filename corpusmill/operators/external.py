@@ -1,12 +1,14 @@
-"""Boundaries to services: generators, verifiers, judges, embedders. Each is a plain callable over a batch, called
-inside mapInPandas after its input has been written, so that a retry never repeats a paid call that is already stored.
-The stubs are deterministic."""
+"""Boundaries to services: generators, verifiers, judges, embedders, local models. Each is a plain callable over a
+batch, called inside mapInPandas. Input and replies are written to the shared folder, so that neither a second action
+nor a stage that is lost later pays for the same calls again; a task that is lost before it has written repeats its
+own. Failed calls are tried again with growing pauses, and then item by item. The stubs are deterministic."""
 
 from __future__ import annotations
 
 import hashlib
 import heapq
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,8 +17,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions.feedback import reply_flags
+from .stored import stored
 
 Batch = Callable[[list[str]], list[str]]
+#: Attempts of a call, seconds before the second (doubled for each further one), and single items that fail in a row before the service counts as down.
+TRIES, PAUSE, DOWN = 3, 0.25, 3
+
+
+def persistent(call: Callable[[list], list], items: list, tries: int = TRIES, pause: float = PAUSE) -> list[tuple[object, str | None]]:
+    """(reply, error) of every item: the whole batch is tried, then each item on its own, so that one bad item costs no other its reply. A reply of the wrong length is a failure."""
+
+    def attempt(some: list):
+        for k in range(tries):
+            try:
+                got = list(call(some))
+                if len(got) == len(some):
+                    return got, None
+                error = f"{len(got)} replies to {len(some)} items"
+            except Exception as e:  # the service's failure is data
+                error = str(e) or type(e).__name__
+            if k + 1 < tries:
+                time.sleep(pause * 2**k)
+        return None, error
+
+    if not items:
+        return []
+    got, error = attempt(items)
+    if got is not None:
+        return [(x, None) for x in got]
+    if len(items) == 1:
+        return [(None, error)]
+    out: list[tuple[object, str | None]] = []
+    for i, item in enumerate(items):
+        if i == DOWN and all(x[1] for x in out):
+            return out + [(None, error)] * (len(items) - DOWN)
+        one, failed = attempt([item])
+        out.append((None, failed) if one is None else (one[0], None))
+    return out
 
 
 def digest(*parts: object) -> int:
@@ -46,18 +83,15 @@ def stub_embedder(texts: list[str], width: int = 8) -> list[list[float]]:
 
 
 def generate(df: DataFrame, prompt: str, samples: int, model: Callable[[list[str], int], list[list[str]]] = stub_generator) -> DataFrame:
-    """df with completions (array) and error; a failed batch gives error rows, one for each input, never fewer."""
+    """df with completions (array) and error; an item that fails for good gives an error row, never none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            try:
-                got, error = model(pdf[prompt].fillna("").tolist(), samples), None
-            except Exception as e:  # the service's failure is data
-                got, error = [None] * len(pdf), str(e)
-            yield pdf.assign(completions=got, error=error)
+            got = persistent(lambda items: model(items, samples), pdf[prompt].fillna("").tolist())
+            yield pdf.assign(completions=pd.Series([x for x, _ in got], index=pdf.index, dtype=object), error=pd.Series([e for _, e in got], index=pdf.index, dtype=object))
 
     out = StructType([*df.schema.fields]).add("completions", ArrayType(StringType())).add("error", StringType())
-    return df.mapInPandas(run, out)
+    return stored(stored(df).mapInPandas(run, out))
 
 
 def explode_completions(df: DataFrame, key: str, proof: str = "formal_proof") -> DataFrame:
@@ -71,17 +105,12 @@ def verify(df: DataFrame, proof: str, verifier: Batch = stub_verifier, lost: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             known = pdf[proof].notna()
-            replies = pd.Series(lost, index=pdf.index)
-            try:
-                got = verifier(pdf.loc[known, proof].tolist())
-                if len(got) == int(known.sum()):
-                    replies[known] = got
-            except Exception as e:
-                replies[:] = json.dumps({"error": str(e), "response": None})
+            replies = pd.Series(lost, index=pdf.index, dtype=object)
+            replies[known] = [json.dumps({"error": e, "response": None}) if e else x for x, e in persistent(verifier, pdf.loc[known, proof].tolist())]
             yield pdf.assign(lean_feedback=replies)
 
     fields = [f for f in df.schema.fields if f.name != "lean_feedback"]
-    out = df.select(*[f.name for f in fields]).mapInPandas(run, StructType(fields).add("lean_feedback", StringType()))
+    out = stored(stored(df.select(*[f.name for f in fields])).mapInPandas(run, StructType(fields).add("lean_feedback", StringType())))
     return out.withColumn("_f", reply_flags(F.col("lean_feedback"))).select(*out.columns, "_f.*")
 
 
@@ -91,12 +120,36 @@ def votes(df: DataFrame, text: str, n: int, judge: Callable[[list[str], int], li
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            replies = pd.Series("", index=pdf.index)
+            replies = pd.Series("", index=pdf.index, dtype=object)
             for v, part in pdf.groupby("vote"):
-                replies[part.index] = judge(part[text].fillna("").tolist(), int(v))
+                replies[part.index] = [x or "" for x, _ in persistent(lambda items, v=v: judge(items, int(v)), part[text].fillna("").tolist())]
             yield pdf.assign(reply=replies)
 
-    return fanned.mapInPandas(run, StructType([*fanned.schema.fields]).add("reply", StringType()))
+    return stored(stored(fanned).mapInPandas(run, StructType([*fanned.schema.fields]).add("reply", StringType())))
+
+
+def stub_model() -> Callable[[list[str]], list[str]]:
+    """What load of infer gives: a function of a batch."""
+    return lambda texts: [f"theorem t{digest('model', t) % 10_000} : True" for t in texts]
+
+
+def infer(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[str]]] = stub_model, batch: int = 8, prompt: str = "{}") -> DataFrame:
+    """df with output and error: a local model over batches of equal size. load runs once in a Python worker's task, not once a batch. Null texts have null outputs and reach no model; a batch that fails is tried item by item."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
+        for pdf in batches:
+            known = pdf[text].notna()
+            prompts = [prompt.format(t) for t in pdf.loc[known, text]]
+            got: list[tuple[object, str | None]] = []
+            for i in range(0, len(prompts), batch):
+                model = model or load()
+                got += persistent(model, prompts[i : i + batch])
+            out = pd.DataFrame({"output": None, "error": None}, index=pdf.index, dtype=object)
+            out.loc[known, "output"], out.loc[known, "error"] = [x for x, _ in got], [e for _, e in got]
+            yield pdf.assign(output=out["output"], error=out["error"])
+
+    return stored(stored(df).mapInPandas(run, StructType([*df.schema.fields]).add("output", StringType()).add("error", StringType())))
 
 
 def cached(df: DataFrame, store: str, key: str, call: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 
 def left_with_suffix(left: DataFrame, right: DataFrame, on: str, suffix: str = "_verified") -> DataFrame:
     """Left join; columns of the right side whose names collide get a suffix."""
@@ -76,16 +78,29 @@ def within_record(df: DataFrame, records: DataFrame, key: str, opposite: Column,
     return joined.where((F.coalesce("own", F.lit(0)) <= most) & (F.coalesce("other", F.lit(0)) == 0)).drop("own", "other")
 
 
-def contains_join(texts: DataFrame, passages: DataFrame, text: str, passage: str, gram: int = 20) -> DataFrame:
+#: Bytes of passages that are sent to all tasks at once.
+PASSAGE_BYTES = 8 << 20
+
+
+def contains_join(texts: DataFrame, passages: DataFrame, text: str, passage: str, gram: int = 20, most_bytes: int = PASSAGE_BYTES) -> DataFrame:
     """Pairs where a text contains a passage. A passage is looked up by its first `gram` characters at the places
-    where words start; passages are given in full and verified. Passages shorter than that, or that don't start
-    like a word, fall back to a nested loop over their rows."""
-    p = passages.withColumn("_g", F.substring(passage, 1, gram))
+    where words start: their hashes meet with a hash of the whole text alone, and only the texts and passages of
+    pairs that meet are fetched and verified. Passages shorter than that, or that don't start like a word, are compared with every
+    text, in slices of measured size that are sent to all tasks. Null texts and passages match nothing."""
+    p = passages.where(F.col(passage).isNotNull()).withColumn("_p", F.xxhash64(passage))
     short = (F.length(passage) < gram) | ~F.col(passage).rlike(r"^\w")
-    t = texts.withColumn("_gs", F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=(?<!\w)(\w.{{{gram - 1}}}))\w"), F.lit(1)), lambda x: x)))
-    fast = t.withColumn("_g", F.explode("_gs")).drop("_gs").join(p.where(~short), "_g").where(F.col(text).contains(F.col(passage))).drop("_g")
-    slow = texts.join(F.broadcast(passages.where(short)), F.col(text).contains(F.col(passage)))
-    return fast.unionByName(slow)
+    t = texts.where(F.col(text).isNotNull()).withColumn("_t", F.xxhash64(text))
+    starts = F.transform(F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=(?<!\w)(\w.{{{gram - 1}}}))\w"), F.lit(1)), lambda x: F.xxhash64(x))
+    grams = t.select("_t", F.explode(F.array_distinct(starts)).alias("_g"))
+    asked = p.where(~short).select("_p", F.xxhash64(F.substring(passage, 1, gram)).alias("_g"))
+    met = stored(grams.join(asked, "_g").select("_t", "_p").distinct())
+    out = t.join(met, "_t").join(p, "_p").where(F.col(text).contains(F.col(passage))).drop("_t", "_p")
+    size = p.where(short).agg(F.sum(F.length(passage) + 64)).first()[0] or 0
+    slices = -(-size // most_bytes)
+    for k in range(slices):
+        some = p.where(short & (F.pmod(F.xxhash64("_p"), F.lit(slices)) == k)).drop("_p")
+        out = out.unionByName(t.drop("_t").join(F.broadcast(some), F.col(text).contains(F.col(passage))))
+    return out
 
 
 def first_match(pairs: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Trees and graphs: traversal by doubled steps or recursive SQL, status propagation, rebuilding and flattening."""
+"""Trees and graphs: traversal by doubled steps, status propagation, rebuilding and flattening."""
 
 from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,17 +39,6 @@ def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return reached.select(F.col("origin").alias("root"), F.col("at").alias("node"), "depth", "path")
 
 
-def walk_sql(spark, edges: DataFrame, root: str) -> DataFrame:
-    """The same below one root as a recursive common table expression."""
-    edges.createOrReplaceTempView("_walk_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE t(node, depth, path) AS (
-        SELECT '{root}', 0, cast(array() AS array<bigint>)
-        UNION ALL SELECT e.child, t.depth + 1, concat(t.path, array(e.ord)) FROM t JOIN _walk_edges e ON e.parent = t.node)
-        SELECT node, depth, path FROM t"""
-    )
-
-
 def leaves(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("child").alias("node")).join(edges.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
 
@@ -141,8 +131,6 @@ def flatten_infotree(doc: str | None) -> list[tuple]:
 
 def infotree_nodes(trees: DataFrame, tree: str = "tree_id", doc: str = "infotree") -> DataFrame:
     """flatten_infotree over a table, a row for each node; a tree is one task's unit."""
-    import pandas as pd
-
     def run(batches):
         names = [x.split()[0] for x in NODE.split(", ")]
         for pdf in batches:
@@ -183,3 +171,12 @@ def parse_outline(text: str) -> list[tuple[str, str | None, str, str]]:
         up = o[0].rpartition(".")[0]
         o[1] = up if up in ids else (out[0][0] if k else None)
     return [tuple(o) for o in out]
+
+
+def outline_nodes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """parse_outline over a table, a row for each node; null texts have none."""
+    @F.pandas_udf("array<struct<id:string,parent:string,type:string,content:string>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [dict(zip(("id", "parent", "type", "content"), n, strict=True)) for n in parse_outline(x or "")])
+
+    return df.select(key, F.explode(run(text)).alias("n")).select(key, "n.*")

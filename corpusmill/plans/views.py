@@ -45,6 +45,13 @@ class Views:
         )
         return self.events.select("event_id", body.alias("feedback"))
 
+    @property
+    def theorems(self) -> DataFrame:
+        """A formal theorem for each part: a header, binders of both kinds, a conclusion and a proof of two lines."""
+        k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+        code = F.concat(F.lit("import M\n\ntheorem t"), k, F.lit(" (x : ℕ) {h : x > "), size, F.lit("} : x + "), k, F.lit(" = "), size, F.lit(" := by\n  simp\n  exact "), "p_name")
+        return self.part.select(F.col("p_partkey").alias("id"), code.alias("code"))
+
     @property
     def tree_edges(self) -> DataFrame:
         """region -> nation -> customer -> order, with string ids and an order among siblings."""
@@ -65,6 +72,8 @@ lean_feedback AS (SELECT event_id, CASE WHEN event_type = 'error' THEN '{"error"
  WHEN event_id % 5 = 3 THEN '{"error":null,"response":{"env":0}}' ELSE '{not json' END AS feedback FROM events),
 tree_edges AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child, n_nationkey::BIGINT AS ord FROM nation
  UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, o_orderkey FROM orders),
+theorems AS (SELECT *, lib || 'theorem ' || name || ' ' || binders || ' : ' || conclusion || ' := by' || chr(10) || proof AS code FROM (SELECT p_partkey AS id, 'import M' || chr(10) || chr(10) AS lib, 't' || p_partkey AS name,
+ '(x : ℕ) {h : x > ' || p_size || '}' AS binders, 'x + ' || p_partkey || ' = ' || p_size AS conclusion, '  simp' || chr(10) || '  exact ' || p_name AS proof, p_name FROM part)),
 agg_statements AS (SELECT statement_id, count(DISTINCT formal_proof) + max(CASE WHEN formal_proof IS NULL THEN 1 ELSE 0 END) AS n_proofs,
  count(*) FILTER (WHERE is_valid) AS n_correct_proofs,
  coalesce(first(formal_proof ORDER BY sample_id, formal_proof) FILTER (WHERE is_valid), '') AS one_formal_proof,

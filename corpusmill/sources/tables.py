@@ -37,15 +37,15 @@ def read_json_files(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def read_folders(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
-    """A directory of directories as one row a folder, one column of text for each named file."""
+    """A directory of directories as one row for each folder with one of the named files, a column of text for each of them."""
     raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
     file = F.col("_metadata.file_path")
     named = raw.select(F.regexp_extract(file, r"([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract(file, r"([^/]+)$", 1).alias("name"), "value")
-    return named.groupBy("folder").pivot("name", list(names)).agg(F.first("value"))
+    return named.where(F.col("name").isin(*names)).groupBy("folder").pivot("name", list(names)).agg(F.first("value"))
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.lean") -> DataFrame:
-    """Paths and sizes of the files below path whose name fits the pattern."""
+    """Paths and sizes of the files below path whose name fits the pattern. Spark leaves empty files out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return raw.select("path", "length")
 

@@ -119,10 +119,12 @@ def test_trees():
     assert TR.parse_outline("Lemma 1: a\n  more\n└── Claim 1.1: b")[1][:2] == ("1.1", "1")
 
 
-def test_walk_sql_equals_joins(spark):
+def test_walk_equals_recursive_sql(spark):
     e = spark.createDataFrame([("a", "b", 1), ("a", "c", 2), ("c", "d", 1)], "parent string, child string, ord long")
+    e.createOrReplaceTempView("walk_edges")
+    want = spark.sql("WITH RECURSIVE t(node, depth) AS (SELECT 'a', 0 UNION ALL SELECT e.child, t.depth + 1 FROM t JOIN walk_edges e ON e.parent = t.node) SELECT * FROM t")
     roots = spark.createDataFrame([("a",)], "node string")
-    assert {(r["node"], r["depth"]) for r in TR.walk(e, roots).collect()} == {(r["node"], r["depth"]) for r in TR.walk_sql(spark, e, "a").collect()}
+    assert {(r["node"], r["depth"]) for r in TR.walk(e, roots).collect()} == {tuple(r) for r in want.collect()}
 
 
 def test_deep_trees(spark):
@@ -178,6 +180,65 @@ def test_external_never_loses_rows(spark):
     assert rows == X.best_first("thm", 30) and rows[0][1] == "0"
 
 
+def test_failed_calls_are_tried_again():
+    calls = []
+
+    def flaky(items):
+        calls.append(list(items))
+        if len(calls) < 3:
+            raise TimeoutError("busy")
+        return [x.upper() for x in items]
+
+    assert X.persistent(flaky, ["a", "b"], pause=0) == [("A", None), ("B", None)] and len(calls) == 3
+
+    def picky(items):
+        if "bad" in items:
+            raise ValueError("no")
+        return items[:-1] if "short" in items and len(items) > 1 else items
+
+    assert X.persistent(picky, ["a", "bad", "b"], pause=0) == [("a", None), (None, "no"), ("b", None)]
+    assert X.persistent(picky, ["short", "a"], pause=0) == [("short", None), ("a", None)]
+    tried = []
+
+    def down(items):
+        tried.append(len(items))
+        raise OSError
+
+    assert X.persistent(down, ["x"] * 50, pause=0) == [(None, "OSError")] * 50 and tried == [50] * 3 + [1] * 9
+    assert X.persistent(down, []) == []
+
+
+def test_local_model(spark):
+    df = spark.createDataFrame([(i, None if i == 3 else f"t{i}") for i in range(20)], "id int, t string")
+
+    def load():
+        def model(prompts):
+            if "> t7" in prompts:
+                raise ValueError("t7")
+            return [p + "!" for p in prompts]
+
+        return model
+
+    got = {r["id"]: (r["output"], r["error"]) for r in X.infer(df, "t", load, 4, "> {}").collect()}
+    assert got[3] == (None, None) and got[7] == (None, "t7") and all(got[i] == (f"> t{i}!", None) for i in range(20) if i not in (3, 7))
+
+
+def test_calls_are_paid_once(spark, tmp_path):
+    def model(prompts, n):
+        for p in prompts:
+            with open(tmp_path / "calls", "a") as f:
+                f.write(p + "\n")
+        return [[p] * n for p in prompts]
+
+    out = X.generate(spark.createDataFrame([(str(i),) for i in range(30)], "t string"), "t", 2, model)
+    assert out.count() == out.where("size(completions) = 2").count() == 30
+    assert sorted((tmp_path / "calls").read_text().split()) == sorted(map(str, range(30)))
+
+
+def test_indent(spark):
+    assert one(spark, T.indent(F.col("c"), "  "), c="a\n\nb\r\nc\u2028d\n") == "  a\n  \n  b\r\n  c\u2028d\n  "
+
+
 def test_negated_union(spark):
     s = spark.createDataFrame([("a", "theorem a : 1 = 1 := by rfl", False), ("b", "def x := 1", False)], "statement_id string, formal_statement string, is_negation boolean")
     assert P.negated(s).count() == 3 and P.negated(s, keep=True).count() == 4
@@ -202,3 +263,115 @@ def test_filters_and_shards(spark):
     shards = S.row_shards(spark.range(10), [F.col("id")], 4).groupBy("shard_id").count().collect()
     assert sorted(map(tuple, shards)) == [("00000", 4), ("00001", 4), ("00002", 2)]
     assert S.key_shards(spark.range(0), "id", 3).count() == 0
+
+
+#: Short statements in the shapes that the scanners must take: places of the splits (the last such marks), name, binders, conclusion.
+SHAPES = [
+    ("import Mathlib\n\ntheorem a (x : ℕ) (h : x > 0) : x ≠ 0 := by\n  omega", ":= by", "a", "(x : ℕ) (h : x > 0)", "x ≠ 0"),
+    ("theorem b {x y : ℝ} (h : x < y) : ¬ y ≤ x := by\n  linarith", ":= by", "b", "{x y : ℝ} (h : x < y)", "¬ y ≤ x"),
+    ("theorem c : 1 + 1 = 2 := by norm_num", ":= by", "c", "", "1 + 1 = 2"),
+    ("theorem d (x : ℕ) : let y := x; y = x := by\n  rfl", ":= by", "d", "(x : ℕ)", "let y := x; y = x"),
+    ("lemma e (p q : Prop) : (p ↔ q) → (q ↔ p) := fun h => h.symm", ":=", "e", "(p q : Prop)", "(p ↔ q) → (q ↔ p)"),
+    ("theorem f : ∀ x : ℕ, ∃ y : ℕ, y > x := by\n  intro x\n  exact ⟨x + 1, by omega⟩", ":= by", "f", "", "∀ x : ℕ, ∃ y : ℕ, y > x"),
+    ("theorem i (f : ℕ → ℕ) (hf : ∀ x, f x = (x : ℕ) * 2) :\n    f 2 = 4 := by\n  simp [hf]", ":= by", "i", "(f : ℕ → ℕ) (hf : ∀ x, f x = (x : ℕ) * 2)", "f 2 = 4"),
+]
+
+
+def test_scanners_take_every_shape():
+    for code, mark, name, binders, conclusion in SHAPES:
+        assert lean.split_indexes(code) == [code.rindex(mark) + len(mark)] and lean.splitable(code), code
+        c = lean.components(code)
+        assert (c["name"], c["binders"], c["conclusion"]) == (name, binders, conclusion) and c["lib"] + code[len(c["lib"]) :] == code
+        assert code[lean.top_level_colon(code, code.index(name + " ")) + 1 :].strip().startswith(conclusion[:3])
+        head, tail = lean.split_proof(code)
+        assert (head + tail).replace("\n", "") == code.replace("\n", "") and head.rstrip().endswith((":= by", ":="))
+        assert f"{name}_negated {binders}".strip() in lean.negate_partial(code) and lean.negate_partial(code).endswith(f": ¬ ({conclusion}) := by sorry")
+        assert lean.contradict(code).endswith(": False := by sorry") and f"{name}_contradicted" in lean.contradict(code)
+        assert (f"∀ {binders.replace('{', '(').replace('}', ')')}, " in lean.negate(code)) == bool(binders)
+    two = "theorem g : 1 = 1 := by rfl\ntheorem h : 2 = 2 := by rfl"
+    assert lean.split_indexes(two) == [23, 51] and not lean.splitable(two) and lean.components(two)["name"] == "g"
+    assert lean.split_indexes("example : 1 = 1 := by rfl") == [21] and lean.components("example : 1 = 1 := by rfl") is None
+    assert lean.split_indexes("def k := 3") == [] == lean.split_indexes(None) and lean.split_proof("def k := 3") is None and lean.contradict("def k := 3") is None
+
+
+def test_scanners_of_lines_and_steps():
+    text = "import A\nimport B\n\nopen Nat\n\n-- about\n/- more -/\ntheorem t (x : ℕ) :\n    x = x := by\n  rfl"
+    assert lean.split_proof_by_line(text) == (text[: text.index("\n  rfl")], "  rfl") and lean.split_proof_by_line("theorem c : 1 = 1 := by rfl") is None and lean.split_proof_by_line(None) is None
+    assert lean.context_of(text, 10) == {"header": "import A\nimport B\n", "context": "open Nat\n", "comment": "-- about\n/- more -/", "statement": "theorem t (x : ℕ) :\n    x = x := by"}
+    assert lean.top_level_colon("(a : b) c") == -1 == lean.top_level_colon("x := y : z") and lean.top_level_colon("[a : b] : c") == 8
+    steps = [{"tactic": "simp", "line": 1, "column": 2, "comment": None}, {"tactic": "rw [a,\n b]", "line": 3, "column": 2, "comment": None}, {"tactic": "<;> x", "line": 4, "column": 4, "comment": None}]
+    assert lean.rebuild(steps) == "  simp\n\n  rw [a,\n b] <;> x"
+    assert lean.segment_logprobs(["si", "mp", "\n", "rf", "l"], [-1.0, -2.0, -4.0, -8.0, -16.0], ["simp", "rfl"]) == [-3.0, -28.0]
+    assert lean.longest_common_run(list("abcdef"), list("zbcdy")) == 3 and lean.longest_common_run([], ["a"]) == 0
+    assert lean.loose_span("a b", "c") is None and lean.loose_span("x  y\nz", "y z") == (3, 6) and lean.loose_span("x", " ") is None
+    assert lean.truncate_tactic(None) is None and lean.truncate_tactic("\nsimp\nx") == "\nsimp" and lean.truncate_tactic("simp```") == "simp"
+    assert lean.diverse([], 2) == [] and lean.diverse(["a", "a", "b"], 5) == ["a", "b"]
+
+
+def test_search_takes_the_best_node_first():
+    asked = []
+    tactics = {"goal": [("a", -0.1), ("b", -0.5), ("bad", -0.01)], "s_a": [("a", -2.0), ("b", -3.0)], "s_b": [("a", -0.1), ("again", -0.1)], "s_b2": [("done", -0.3)]}
+    moves = {("goal", "a"): ("s_a", "open"), ("goal", "b"): ("s_b", "open"), ("goal", "bad"): ("x", "failed"), ("s_a", "a"): ("s_c", "open"), ("s_a", "b"): ("s_c", "open"), ("s_b", "a"): ("s_b2", "open"), ("s_b", "again"): ("s_b2", "open"), ("s_b2", "done"): ("qed", "proved")}
+
+    def policy(state):
+        asked.append(state)
+        return tactics[state]
+
+    rows = X.best_first("goal", 10, policy, lambda state, tactic: moves[state, tactic])
+    assert asked == ["goal", "s_a", "s_b", "s_b2"]  # -0.1, then -0.5 before -2.1, then -0.6
+    assert [r[3] for r in rows] == [None, "a", "b", "bad", "a", "a", "done"] and rows[-1][5] == "proved"  # equal children merge to the likelier
+    assert rows[-1][4] == pytest.approx(-0.9) and rows[3][5] == "failed"
+    asked.clear()
+    assert len(X.best_first("goal", 1, policy, lambda state, tactic: moves[state, tactic])) == 4 and asked == ["goal"]
+    assert X.best_first("goal", 5, lambda s: [], lambda s, t: None) == [("goal", "0", None, None, 0.0, "open", 0)]
+
+
+def test_cache_calls_only_for_new_keys(spark, tmp_path):
+    store, asked = str(tmp_path / "store"), []
+
+    def call(df):
+        asked.append(sorted(r["k"] for r in df.collect()))
+        return df.withColumn("answer", F.concat(F.lit("a"), "k"))
+
+    df = spark.createDataFrame([("1",), ("2",)], "k string")
+    assert {r["answer"] for r in X.cached(df, store, "k", call).collect()} == {"a1", "a2"}
+    more = df.union(spark.createDataFrame([("3",)], "k string"))
+    assert {r["answer"] for r in X.cached(more, store, "k", call).collect()} == {"a1", "a2", "a3"}
+    assert asked == [["1", "2"], ["3"]] and X.cached(more, store, "k", call).count() == 3
+
+
+def test_pipelines_by_value(spark):
+    code = "theorem t{} : {} = {} := by rfl"
+    s = spark.createDataFrame([(str(i), code.format(i, i, i), False) for i in range(4)], "statement_id string, formal_statement string, is_negation boolean")
+    store = spark.createDataFrame([("0", 3), ("neg_1", 1), ("2", 2)], "statement_id string, proof_count long")
+    right = '{"error":null,"response":{"env":0}}'
+    proofs, record = P.proof_generation(s, store, 2, 2, lambda p, n: [[f"{x}#{i}" for i in range(n)] for x in p], lambda p: [right if x.endswith("#0") else "{" for x in p])
+    assert sorted((r["statement_id"], r["is_valid"]) for r in proofs.collect()) == [("2", False), ("2", True), ("3", False), ("3", True)]
+    assert {r["statement_id"]: r["proof_count"] for r in record.collect()} == {"0": 3, "neg_1": 1, "2": 3, "3": 1}
+    pool = spark.createDataFrame([(i, f"t{i}") for i in range(10)], "k int, t string")
+    rounds = P.bootstrap_round(pool, pool.where("k < 3"), "k", "t", 100, "s", lambda p: [right if x in ("t5", "t7") else '{"error":"no","response":null}' for x in p])
+    assert sorted(r["k"] for r in rounds.collect()) == [0, 1, 2, 5, 7]
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "one two three four five six seven"), (3, "a | b c d e f g"), (4, "x")], "id int, t string")
+    assert sorted(r["id"] for r in P.filtered_and_deduped(docs, "id", "t", [("char_length", {"low": 5}), ("without_word", {"word": "|"})]).collect()) == [1]
+    judged = P.candidate_build(s.withColumn("uuid", F.lit(1)), spark.createDataFrame([("0",)], "statement_id string"), 3, lambda texts, vote: ["Status: Correct" if "t1" in t or ("t2" in t and vote == 0) else "Status: Incorrect" for t in texts])
+    assert [r["statement_id"] for r in judged.collect()] == ["1"]
+    m = P.judge_evaluation(docs, "id", "t", F.col("id") < 3, 3, lambda texts, vote: ["Status: Correct" if "one" in t or "a" in t else "no idea" for t in texts]).first()
+    assert (m["tp"], m["tn"], m["fp"], m["fn"], m["conclusive"]) == (2, 0, 1, 0, 0.75)
+
+
+def test_listing_and_folders(spark, tmp_path):
+    from corpusmill.sources import tables
+
+    for d, texts in (("x", {"a.txt": "1", "b.txt": "2"}), ("y", {"a.txt": "3"})):
+        (tmp_path / d / "deep").mkdir(parents=True)
+        for name, t in texts.items():
+            (tmp_path / d / name).write_text(t)
+    (tmp_path / "y" / "deep" / "c.lean").write_text("theorem")
+    assert sorted(r["path"].rpartition("/")[2] for r in tables.list_files(spark, str(tmp_path), "*.lean").collect()) == ["c.lean"]
+    got = {r["folder"]: (r["a.txt"], r["b.txt"]) for r in tables.read_folders(spark, str(tmp_path), ("a.txt", "b.txt")).collect()}
+    assert got == {"x": ("1", "2"), "y": ("3", None)}
+
+
+def test_outlines_and_infotrees(spark):
+    df = spark.createDataFrame([(1, "Lemma 1: a\n  more\n└── Claim 1.1: b"), (2, None), (3, "no heading")], "k int, t string")
+    assert [tuple(r) for r in TR.outline_nodes(df, "k", "t").orderBy("id").collect()] == [(1, "1", None, "Lemma", "a\nmore"), (1, "1.1", "1", "Claim", "b")]
