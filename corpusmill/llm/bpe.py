@@ -25,6 +25,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -148,22 +149,32 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def _encoder(path: str) -> Encoder:
     """One encoder a Python worker."""
     return Encoder(path)
 
 
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """The worker's encoder, whose memo ends with the task, since the worker goes on to other stages."""
+    out = _encoder(path)
+    try:
+        yield out
+    finally:
+        out.memo.clear()
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, ids array<int>, decoded string. A null text counts as empty; repeated rows are encoded each; no shuffle."""
     path = path or default_path()
 
     def run(batches):
-        enc = encoder(path)
-        for b in batches:
-            got = [enc.encode_bytes(t or "") for t in b.column(1).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x[0]) // 4 for x in got], dtype=np.int64)]).astype(np.int32)
-            flat = np.frombuffer(b"".join(x[0] for x in got), "<u4").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([x[1].decode("utf-8", "replace") for x in got], pa.string())], ["id", "ids", "decoded"])
+        with encoder(path) as enc:
+            for b in batches:
+                got = [enc.encode_bytes(t or "") for t in b.column(1).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(x[0]) // 4 for x in got], dtype=np.int64)]).astype(np.int32)
+                flat = np.frombuffer(b"".join(x[0] for x in got), "<u4").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([x[1].decode("utf-8", "replace") for x in got], pa.string())], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(lean(run), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_column)
@@ -178,16 +189,16 @@ def encoding_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches):
-        enc = encoder(path)
         sha = hashlib.sha256
-        for b in batches:
-            n, ids, dec = [], [], []
-            for t in b.column(1).to_pylist():
-                i, d = enc.encode_bytes(t or "")
-                n.append(len(i) // 4)
-                ids.append(sha(i).hexdigest())
-                dec.append(sha(d.decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with encoder(path) as enc:
+            for b in batches:
+                n, ids, dec = [], [], []
+                for t in b.column(1).to_pylist():
+                    i, d = enc.encode_bytes(t or "")
+                    n.append(len(i) // 4)
+                    ids.append(sha(i).hexdigest())
+                    dec.append(sha(d.decode("utf-8", "replace").encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -76,11 +76,11 @@ def document_pieces(docs: DataFrame, path: str | None = None, capacity: int = CA
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc = encoder(path)
-        for b in batches:
-            rows = [(d, k, *p) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, p in enumerate(pieces_of(enc.encode_bytes(t or "")[0] + tail, capacity))]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        with encoder(path) as enc:
+            for b in batches:
+                rows = [(d, k, *p) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, p in enumerate(pieces_of(enc.encode_bytes(t or "")[0] + tail, capacity))]
+                cols = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), ITEM)
 
