@@ -7,7 +7,7 @@ two steps make the pieces:
 * text is cut where a byte that isn't ASCII white space comes before ASCII white space (a pre-token of the
   tokenizer's pattern never runs into white space that follows it, and the pattern's only look-ahead is about what
   follows white space); bytes that some token does have before white space are not cut after;
-* each distinct piece is cut at every other forced pair that lies between two characters, unless the pattern might
+* each distinct piece of over SHORT bytes is cut at every other forced pair that lies between two characters, unless the pattern might
   see the parts otherwise than the whole: behind white space (the look-ahead), and beside an apostrophe
   (contractions). Elsewhere a cut is either a border of pre-tokens already or parts a run of one class of
   characters, whose second part is a run of its own.
@@ -39,8 +39,8 @@ from .common import lean
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept in memory by one Python worker; when full, the memo starts anew (a bound on memory alone).
 MEMO_PIECES = 600_000
-#: Longer pieces aren't kept.
-MEMO_BYTES = 64
+#: Longer pieces aren't kept; pieces up to SHORT bytes (words, as a rule) are merged whole.
+MEMO_BYTES, SHORT = 64, 32
 #: Fixed: the letters of the pattern's contractions of more than one letter.
 CONTRACTIONS = (b"re", b"ve", b"ll")
 
@@ -93,9 +93,12 @@ class Encoder:
 
     def _new(self, key: bytes) -> tuple[bytes, bytes]:
         """Ids (little-endian unsigned 32-bit) and decoded bytes of a piece not yet in the memo."""
-        ids: list[int] = []
-        for fragment in self.fragments(key):
-            ids += self.bpe.encode_ordinary(fragment)
+        if len(key) <= SHORT:  # cutting costs more than it saves
+            ids = self.bpe.encode_ordinary(key.decode())
+        else:
+            ids = []
+            for fragment in self.fragments(key):
+                ids += self.bpe.encode_ordinary(fragment)
         packed = array("I", ids)
         if sys.byteorder != "little":
             packed.byteswap()
@@ -155,13 +158,14 @@ def _encoder(path: str) -> Encoder:
 
 
 @contextmanager
-def encoder(path: str) -> Iterator[Encoder]:
-    """The worker's encoder, whose memo ends with the task, since the worker goes on to other stages."""
+def encoder(path: str, forget: bool = False) -> Iterator[Encoder]:
+    """The worker's encoder. With forget its memo ends with the task, for jobs whose workers go on to other stages."""
     out = _encoder(path)
     try:
         yield out
     finally:
-        out.memo.clear()
+        if forget:
+            out.memo.clear()
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
