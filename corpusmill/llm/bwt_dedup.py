@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import lean, lean_group, persisted
+from .common import bucketed, lean, lean_group, persisted
 
 WINDOW, K = 50, 20
 #: Bytes of text in a chunk (one longer document is a chunk of its own), and of all text for which there is a bucket.
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 3 << 20
+#: Bytes of text whose anchors and texts leave a task together, a row for each bucket.
+GROUP_BYTES = 16 << 20
 #: Strings of a chunk that are hashed in one go.
 BLOCK = 1 << 17
 #: Runs whose anchor has more texts than this (distinct ones of a chunk) meet string by string instead of by anchor, so
@@ -70,15 +72,15 @@ def _power_at(table: np.ndarray, base: np.uint64, at: np.ndarray) -> np.ndarray:
 def sums(text: np.ndarray) -> np.ndarray:
     """Prefix sums of the polynomial hash, modulo 2^64."""
     n = len(text)
-    value = _TABLE[text]
+    out = np.empty(n + 1, np.uint64)
+    out[0] = 0
     for i in range(0, n, 1 << 16):
-        block = value[i : i + (1 << 16)]
+        block = _TABLE[text[i : i + (1 << 16)]]
         block *= _POWER[: len(block)]
         if i:
             block *= np.uint64(pow(int(_BASE), i, 1 << 64))
-    out = np.empty(n + 1, np.uint64)
-    out[0] = 0
-    np.cumsum(value, out=out[1:])
+        np.cumsum(block, out=out[i + 1 : i + 1 + len(block)])
+        out[i + 1 : i + 1 + len(block)] += out[i]
     return out
 
 
@@ -102,8 +104,9 @@ def runs_of(text: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k: int
     s = sums(text)
     want = window - k + 1
     strings = n - window + 1
-    places = np.empty(strings, np.int32)
-    for start in range(0, strings, BLOCK):  # blocks keep the hashes of a chunk out of memory
+    firsts, before, anchors = [], [], []  # of each run: its first string, the string in a document before that, its anchor
+    string, anchor = -2, -1
+    for start in range(0, strings, BLOCK):  # blocks keep what is known of a chunk's strings out of memory
         end = min(start + BLOCK, strings) + want - 1
         least = _mixed((s[start + k : end + k] - s[start:end]) * _power_at(_BACK, _INVERSE, np.arange(start, end)))
         here, span = np.arange(start, end, dtype=np.int32), 1
@@ -115,20 +118,19 @@ def runs_of(text: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k: int
             here = np.where(take, here[step:], here[: len(right)])
             least = np.where(take, right, left)
             span += step
-        places[start : start + len(here)] = here
-    del s
-    valid = np.zeros(n + 1, np.int32)
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        if b - a >= window:
-            valid[a] += 1
-            valid[b - window + 1] -= 1
-    at = np.flatnonzero(np.cumsum(valid[: len(places)]))
-    if not len(at):
+        at = np.arange(start, start + len(here))
+        inside = at + window <= offsets[np.searchsorted(offsets, at, "right")]
+        at, p = at[inside], here[inside].astype(np.int64)
+        if len(at):
+            previous = np.concatenate([[string], at[:-1]])
+            new = np.flatnonzero((p != np.concatenate([[anchor], p[:-1]])) | (at != previous + 1))
+            firsts.append(at[new])
+            before.append(previous[new])
+            anchors.append(p[new])
+            string, anchor = int(at[-1]), int(p[-1])
+    if not firsts:
         return empty, empty, empty
-    p = places[at].astype(np.int64)
-    first = np.concatenate([[True], (p[1:] != p[:-1]) | (at[1:] != at[:-1] + 1)])
-    starts = np.flatnonzero(first)
-    return at[starts], at[np.concatenate([starts[1:], [len(at)]]) - 1], p[starts]
+    return np.concatenate(firsts), np.concatenate([*before, [string]])[1:], np.concatenate(anchors)
 
 
 # -- chunks ------------------------------------------------------------------
@@ -223,36 +225,53 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 # -- anchors in two documents --------------------------------------------------
 
 
+def _grouped(chunks: Iterator[pa.RecordBatch], one, group_bytes: int = GROUP_BYTES) -> Iterator[dict[int, list[tuple]]]:
+    """What one(chunk row, chunk) yields, as (bucket, rest), by bucket, for chunks of about group_bytes of text at a time: a row for each chunk and bucket would be ever shorter as both grow in number."""
+    held, size = {}, 0
+    for b in chunks:
+        for row in _rows(b):
+            c = Chunk(row)
+            size += len(c.text)
+            for bucket, *rest in one(row, c):
+                held.setdefault(bucket, []).append(rest)
+            if size >= group_bytes:
+                yield held
+                held, size = {}, 0
+    if held:
+        yield held
+
+
+ANCHORS = "bucket long, chunk binary, n binary, low binary, several binary, texts binary"
+
+
 def _emit_anchors(buckets: int):
+    def one(row, c):
+        h = c.anchors()
+        key = _bucket(h, buckets).astype(np.uint64) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+        text = hash_at(c.sums, c.first, c.last + WINDOW) ^ (c.last - c.first).astype(np.uint64) if len(h) else h
+        order = np.lexsort((text, key))
+        key, text, rank = key[order], text[order], c.ranks[c.doc][order] if len(h) else h
+        head = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        new = np.flatnonzero(head)
+        several = np.minimum.reduceat(rank, new) != np.maximum.reduceat(rank, new) if len(new) else np.zeros(0, bool)
+        texts = np.add.reduceat(head | np.concatenate([[True], text[1:] != text[:-1]])[: len(key)], new, dtype=np.int64) if len(new) else new
+        texts = np.minimum(texts, 65535).astype("<u2")
+        key = key[new]
+        of = (key >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
+        low = key.astype("<u4")
+        bounds = np.concatenate([cuts, [len(of)]])
+        for x, y in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+            yield int(of[x]), row["chunk"], low[x:y], several[x:y], texts[x:y]
+
     def run(batches):
-        for b in batches:
-            for row in _rows(b):
-                c = Chunk(row)
-                h = c.anchors()
-                key = _bucket(h, buckets).astype(np.uint64) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
-                text = hash_at(c.sums, c.first, c.last + WINDOW) ^ (c.last - c.first).astype(np.uint64) if len(h) else h
-                order = np.lexsort((text, key))
-                key, text, rank = key[order], text[order], c.ranks[c.doc][order] if len(h) else h
-                head = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-                new = np.flatnonzero(head)
-                several = np.minimum.reduceat(rank, new) != np.maximum.reduceat(rank, new) if len(new) else np.zeros(0, bool)
-                texts = np.add.reduceat(head | np.concatenate([[True], text[1:] != text[:-1]])[: len(key)], new, dtype=np.int64) if len(new) else new
-                texts = np.minimum(texts, 65535).astype("<u2")
-                key = key[new]
-                of = (key >> np.uint64(32)).astype(np.int64)
-                cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
-                low = key.astype("<u4")
-                bounds = np.concatenate([cuts, [len(of)]])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(of[cuts]),
-                        pa.array(np.full(len(cuts), row["chunk"], np.int64)),
-                        pa.array([low[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary()),
-                        pa.array([np.packbits(several[x:y]).tobytes() for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary()),
-                        pa.array([texts[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary()),
-                    ],
-                    ["bucket", "chunk", "low", "several", "texts"],
-                )
+        for held in _grouped(batches, one):
+            rows = []
+            for bucket, found in held.items():
+                chunk, low, several, texts = zip(*found, strict=True)
+                n = np.array([len(x) for x in low], "<i4")
+                rows.append((bucket, np.array(chunk, "<i8").tobytes(), n.tobytes(), np.concatenate(low).tobytes(), np.packbits(np.concatenate(several)).tobytes(), np.concatenate(texts).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 5), strict=True)], [x.split()[0] for x in ANCHORS.split(", ")])
 
     return run
 
@@ -260,9 +279,10 @@ def _emit_anchors(buckets: int):
 def _in_two(hot_texts: int = HOT_TEXTS):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         """Of a bucket, each chunk's fingerprints that are in two documents, and whether they have more than hot_texts texts."""
-        lows = [np.frombuffer(x, "<u4") for x in pdf["low"]]
-        flags = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(n)].astype(bool) for x, n in zip(pdf["several"], lows, strict=True)]
-        every, flag = np.concatenate(lows), np.concatenate(flags)
+        blocks = [np.frombuffer(x, "<u4") for x in pdf["low"]]
+        flags = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(n)].astype(bool) for x, n in zip(pdf["several"], blocks, strict=True)]
+        every, flag = np.concatenate(blocks), np.concatenate(flags)
+        chunk, n = np.frombuffer(b"".join(pdf["chunk"]), "<i8").tolist(), np.frombuffer(b"".join(pdf["n"]), "<i4")
         order = np.argsort(every, kind="stable")
         s = every[order]
         heads = np.concatenate([[True], s[1:] != s[:-1]])
@@ -272,8 +292,8 @@ def _in_two(hot_texts: int = HOT_TEXTS):
         times[order] = np.bincount(group)[group]
         texts[order] = np.bincount(group, number[order])[group]
         found = (times > 1) | flag
-        cuts = np.cumsum([len(x) for x in lows])[:-1]
-        out = [(c, low[f], t[f] > hot_texts) for c, low, f, t in zip(pdf["chunk"], lows, np.split(found, cuts), np.split(texts, cuts), strict=True) if f.any()]
+        cuts = np.cumsum(n)[:-1]
+        out = [(c, low[f], t[f] > hot_texts) for c, low, f, t in zip(chunk, *(np.split(x, cuts) for x in (every, found, texts)), strict=True) if f.any()]
         return pd.DataFrame({"chunk": [x[0] for x in out], "bucket": [key[0]] * len(out), "low": [x[1].tobytes() for x in out], "hot": [x[2].tobytes() for x in out]})
 
     return run
@@ -300,7 +320,7 @@ def _distinct_runs(c: Chunk, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return which[chosen], inverse
 
 
-TEXTS = "bucket long, chunk long, run binary, at binary, rank binary, size binary, text binary"
+TEXTS = "bucket long, chunk binary, n binary, run binary, at binary, rank binary, size binary, text binary"
 
 
 def _marked(c: Chunk, buckets: int, row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -319,38 +339,42 @@ def _wanted(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit_texts(buckets: int):
+    def one(row, c):
+        which, hot = _marked(c, buckets, row)
+        if not len(which):
+            return
+        reps, inverse = _distinct_runs(c, which)
+        rank = np.full(len(reps), LAST)
+        np.minimum.at(rank, inverse, c.ranks[c.doc[which]])
+        hot = hot[np.searchsorted(which, reps)]
+        of = _bucket(hash_at(c.sums, c.place[reps], c.place[reps] + K), buckets)
+        size = c.last[reps] + WINDOW - c.first[reps]
+        at = np.zeros(len(reps), np.int64)
+        if hot.any():  # each string of a hot run on its own, dealt by its own hash
+            n = np.where(hot, size - WINDOW + 1, 1)
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            reps, rank, of, size, hot = (np.repeat(x, n) for x in (reps, rank, of, size, hot))
+            at, size = np.where(hot, inner, 0), np.where(hot, WINDOW, size)
+            start = c.first[reps] + at
+            of = np.where(hot, _bucket(hash_at(c.sums, start, start + WINDOW), buckets), of)
+        order = np.argsort(of, kind="stable")
+        reps, rank, of, at, size = (x[order] for x in (reps, rank, of, at, size))
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = c.text[np.repeat(c.first[reps] + at - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]]).tolist()
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            yield int(of[i]), row["chunk"], j - i, reps[i:j].astype("<i4").tobytes(), at[i:j].astype("<i2").tobytes(), rank[i:j].astype("<i8").tobytes(), size[i:j].astype("<i4").tobytes(), flat[ends[i] : ends[j]]
+
     def run(batches):
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            for row in _rows(b):
-                c = Chunk(row)
-                which, hot = _marked(c, buckets, row)
-                if not len(which):
-                    continue
-                reps, inverse = _distinct_runs(c, which)
-                rank = np.full(len(reps), LAST)
-                np.minimum.at(rank, inverse, c.ranks[c.doc[which]])
-                hot = hot[np.searchsorted(which, reps)]
-                of = _bucket(hash_at(c.sums, c.place[reps], c.place[reps] + K), buckets)
-                size = c.last[reps] + WINDOW - c.first[reps]
-                at = np.zeros(len(reps), np.int64)
-                if hot.any():  # each string of a hot run on its own, dealt by its own hash
-                    n = np.where(hot, size - WINDOW + 1, 1)
-                    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    reps, rank, of, size, hot = (np.repeat(x, n) for x in (reps, rank, of, size, hot))
-                    at, size = np.where(hot, inner, 0), np.where(hot, WINDOW, size)
-                    start = c.first[reps] + at
-                    of = np.where(hot, _bucket(hash_at(c.sums, start, start + WINDOW), buckets), of)
-                order = np.argsort(of, kind="stable")
-                reps, rank, of, at, size = (x[order] for x in (reps, rank, of, at, size))
-                ends = np.concatenate([[0], np.cumsum(size)])
-                flat = c.text[np.repeat(c.first[reps] + at - ends[:-1], size) + np.arange(ends[-1])]
-                cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
-                out = [(int(of[i]), row["chunk"], pack(reps[i:j].astype("<i4").tobytes()), pack(at[i:j].astype("<i2").tobytes()), pack(rank[i:j].astype("<i8").tobytes()), pack(size[i:j].astype("<i4").tobytes()), pack(flat[ends[i] : ends[j]].tobytes())) for i, j in zip(cuts, cuts[1:], strict=False)]
-                kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in TEXTS.split(", ")])
+        for held in _grouped(batches, one):
+            rows = []
+            for bucket, found in held.items():
+                chunk, n, *data = zip(*found, strict=True)
+                rows.append((bucket, np.array(chunk, "<i8").tobytes(), np.array(n, "<i4").tobytes(), *(pack(b"".join(x)) for x in data)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 7), strict=True)], [x.split()[0] for x in TEXTS.split(", ")])
 
     return run
 
@@ -472,13 +496,13 @@ def _least(key, pdf: pd.DataFrame) -> pd.DataFrame:
     unpack = zstandard.ZstdDecompressor().decompress
     texts: list[bytes] = []
     runs, offsets, ranks, chunks = [], [], [], []
-    for c, r, o, k, n, t in zip(pdf["chunk"], pdf["run"], pdf["at"], pdf["rank"], pdf["size"], pdf["text"], strict=True):
+    for c, m, r, o, k, n, t in zip(pdf["chunk"], pdf["n"], pdf["run"], pdf["at"], pdf["rank"], pdf["size"], pdf["text"], strict=True):
         t, ends = unpack(t), np.cumsum(np.frombuffer(unpack(n), "<i4")).tolist()
         texts += [t[i:j] for i, j in zip([0, *ends], ends, strict=False)]
         runs.append(np.frombuffer(unpack(r), "<i4").astype(np.int64))
         offsets.append(np.frombuffer(unpack(o), "<i2").astype(np.int64))
         ranks.append(np.frombuffer(unpack(k), "<i8"))
-        chunks.append(np.full(len(ends), c, np.int64))
+        chunks.append(np.repeat(np.frombuffer(c, "<i8"), np.frombuffer(m, "<i4")))
     run, offset, rank, chunk = map(np.concatenate, (runs, offsets, ranks, chunks))
     code, distinct = pd.factorize(np.array(texts, object))
     del texts
@@ -589,16 +613,16 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, chunk_bytes: int =
     row = F.struct(*[F.col(f"`{x}`") for x in others]) if others else F.lit(0)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row.alias("row"))
     chunks = rows.mapInArrow(lean(_chunks(chunk_bytes)), CHUNK)
-    chunks = persisted(chunks.select("*", F.monotonically_increasing_id().alias("chunk")))
+    chunks = bucketed(chunks.select("*", F.monotonically_increasing_id().alias("chunk")), "chunk")
     buckets = max(64, chunks.count() * chunk_bytes // BUCKET_BYTES)
-    anchors = chunks.mapInArrow(lean(_emit_anchors(buckets)), "bucket long, chunk long, low binary, several binary, texts binary")
+    anchors = chunks.mapInArrow(lean(_emit_anchors(buckets)), ANCHORS)
     shared = persisted(anchors.groupBy("bucket").applyInPandas(lean_group(_in_two(hot_texts)), "chunk long, bucket long, low binary, hot binary"))
     wanted = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "low", "hot")).alias("w")).select("chunk", F.col("w.bucket").alias("buckets"), F.col("w.low").alias("lows"), F.col("w.hot").alias("hots"))
-    marked = chunks.join(wanted, "chunk", "left")
+    marked = chunks.join(wanted.hint("shuffle_hash"), "chunk", "left")  # the large side stays in its buckets, unsorted
     texts = marked.mapInArrow(lean(_emit_texts(buckets)), TEXTS)
     least = persisted(texts.groupBy("bucket").applyInPandas(lean_group(_least), LEAST))
     back = least.groupBy("chunk").agg(F.collect_list(F.struct("run", "at", "rank")).alias("b")).select("chunk", F.col("b.run").alias("run"), F.col("b.at").alias("at"), F.col("b.rank").alias("rank"))
-    return marked.join(back, "chunk", "left").mapInArrow(lean(_finish(buckets, with_text)), StructType.fromDDL(TEXT).add("row", rows.schema["row"].dataType) if with_text else DIGEST)
+    return marked.join(back.hint("shuffle_hash"), "chunk", "left").mapInArrow(lean(_finish(buckets, with_text)), StructType.fromDDL(TEXT).add("row", rows.schema["row"].dataType) if with_text else DIGEST)
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,18 +32,47 @@ def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="corpusmill-")
 
 
+#: Whether Spark deletes a query's shuffle files when the query ends, not only when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside go with the write: nothing reads them later."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def persisted(df: DataFrame, partitions: int | None = None, **options: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back. Survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusmill/{uuid.uuid4().hex}"
     if partitions:
         df = df.repartition(partitions)
-    df.write.options(**options).parquet(path)
+    with _cleaned(spark):
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The same, dealt to buckets by key, as many as there are shuffle partitions: joins by that key read the buckets as they are, so that only the other side is shuffled. The catalog forgets the table at once; its files stay."""
+    spark = df.sparkSession
+    name = uuid.uuid4().hex
+    path, table = f"{shared_dir(spark)}/corpusmill/{name}", f"corpusmill_{name}"
+    with _cleaned(spark):
+        df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    out._written = path
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that persisted has written. Only for those that nothing unwritten is read from any more."""
     for df in tables:

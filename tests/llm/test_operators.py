@@ -245,6 +245,20 @@ def test_repeats_against_brute_force(spark, odd, docs, empty, hot):
     assert stripped.columns == odd.columns and stripped.count() == odd.count() and stripped.where("extra = 'clash' and n_chars = length(text)").count() == len(ODD_TEXTS) + 1
 
 
+def test_repeats_leave_a_task_by_bucket(spark):
+    """Rows don't grow with chunks times buckets, and the chunks stay in their buckets."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcdefgh "), 2000)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts), pa.array([{"x": 1}] * 40)], ["doc_id", "text", "row"])
+    chunks = pa.Table.from_batches(bwt_dedup._chunks(2500)([batch])).append_column("chunk", pa.array(range(40), pa.int64()))
+    rows = [b.num_rows for b in bwt_dedup._emit_anchors(64)(chunks.to_batches())]
+    assert chunks.num_rows == 40 and sum(rows) <= 64
+    plan = bwt_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "SortMergeJoin" not in plan
+
+
 def test_merged_transforms_order_suffixes():
     rng = np.random.default_rng(2)
     shards = [[bytes(rng.integers(97, 99, 60).astype(np.uint8)) for _ in range(5)] for _ in range(3)]
