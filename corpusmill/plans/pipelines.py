@@ -58,14 +58,22 @@ def _split(c: Column) -> Column:
 
 
 def diverse_each(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Greedy choice of n texts of a key that overlap least; a key's texts are one unit, their number bounded by samples a key."""
+    """Greedy choice of n texts of a key that overlap least; a key's texts are one unit, their number bounded by samples a key. Python gets batches of keys, not a key at a time."""
     kind = df.schema[key].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = lean.diverse(sorted(x for x in pdf[text] if x is not None), n)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(texts), text: texts})
+    def run(batches):
+        import pyarrow as pa
 
-    return df.select(key, text).groupBy(key).applyInPandas(run, f"{key} {kind}, {text} string")
+        for b in batches:
+            rows, chosen = [], []
+            for i, texts in enumerate(b.column(1).to_pylist()):
+                picked = lean.diverse(sorted(texts), n)
+                rows += [i] * len(picked)
+                chosen += picked
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(chosen, pa.string())], [key, text])
+
+    texts = df.select(key, F.col(text).cast("string").alias(text)).groupBy(key).agg(F.collect_set(text).alias(text))
+    return texts.mapInArrow(run, f"{key} {kind}, {text} string")
 
 
 def human_statements(df: DataFrame, tag: str, eval_ids: DataFrame, pick: int) -> DataFrame:
