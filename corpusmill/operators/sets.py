@@ -230,16 +230,63 @@ def near_dedup(df: DataFrame, key: str, text: str, n: int = 5, permutations: int
     return df.join(gone, key, "left_anti")
 
 
+#: Sets whose shingles are counted for the order of prefixes, and shingles that so get a place behind the others.
+COUNTED, COMMON = 4000, 200_000
+
+
+def _common(sets: DataFrame) -> tuple[list[int], list[int]]:
+    """Shingles that several of a bounded number of sets have, and how many. They set the order of the prefixes, never what is compared in the end."""
+    counted = sets.orderBy(F.xxhash64("digest")).limit(COUNTED).select(F.explode("s").alias("t")).groupBy("t").count().where("count > 1")
+    rows = counted.orderBy(F.desc("count"), "t").limit(COMMON).collect()
+    return [r["t"] for r in rows], [r["count"] for r in rows]
+
+
+def _prefixes(threshold: float, common: tuple[list[int], list[int]]):
+    """Batches (rep, s) to the rows (rep, t, place, n) of each set's prefix, rare shingles first."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    order = np.argsort(np.array(common[0], np.int64))
+    shingle, count = np.array(common[0], np.int64)[order], np.array(common[1], np.int64)[order]
+
+    def run(batches):
+        for b in batches:
+            reps, out, places, sizes = [], [], [], []
+            for i, s in enumerate(b.column(1)):
+                t = np.sort(s.values.to_numpy(zero_copy_only=False))
+                if len(shingle):
+                    at = np.minimum(np.searchsorted(shingle, t), len(shingle) - 1)
+                    t = t[np.argsort(np.where(shingle[at] == t, count[at], 0), kind="stable")]
+                k = len(t) - math.ceil(threshold * len(t) - 1e-9) + 1
+                reps.append(np.full(k, i))
+                out.append(t[:k])
+                places.append(np.arange(k, dtype=np.int32))
+                sizes.append(np.full(k, len(t), np.int32))
+            if reps:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(reps))), *(pa.array(np.concatenate(x)) for x in (out, places, sizes))], ["rep", "t", "place", "n"])
+
+    return run
+
+
 def jaccard_pairs(df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.7) -> DataFrame:
     """All pairs (src < dst) of distinct shingle sets, each by its least key, whose Jaccard similarity is at least the
-    threshold. Exact: in a global order of the shingles, two such sets share one of the first
-    size - ceil(threshold * size) + 1 of either, so only these prefixes are joined; every pair is verified."""
+    threshold. Exact: in a common order of the shingles, two such sets share one of the first
+    size - ceil(threshold * size) + 1 of either, so only these prefixes are joined, rare shingles first; a pair goes
+    on if sizes and places leave room for the overlap that it needs, which holds at the first shingle that a pair at the
+    threshold shares. Only sets with such a pair are sent for, and every pair is verified."""
     kind = df.schema[key].dataType.simpleString()
-    sets = df.select(key, text).mapInArrow(_signatures(n, 1, 1), f"key {kind}, {SIGNED}")
-    reps = stored(sets.groupBy("digest").agg(F.min("key").alias("rep"), F.first("s").alias("s")))
-    length = F.size("s") - F.ceil(F.lit(threshold) * F.size("s") - F.lit(1e-9)).cast("int") + 1
-    prefix = reps.select("rep", F.explode(F.slice("s", F.lit(1), length)).alias("t"))
-    pairs = prefix.alias("a").join(prefix.alias("b"), F.expr("a.t = b.t and a.rep < b.rep")).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst")).distinct()
-    a, b = reps.select(F.col("rep").alias("src"), F.col("s").alias("x")), reps.select(F.col("rep").alias("dst"), F.col("s").alias("y"))
+    sets = stored(df.select(key, text).mapInArrow(_signatures(n, 1, 1), f"key {kind}, {SIGNED}").select("key", "s", "digest"))
+    least = stored(sets.groupBy("digest").agg(F.min("key").alias("key")).select("key", "digest"))
+    reps = sets.join(least, ["key", "digest"], "left_semi")
+    prefix = reps.select(F.col("key").alias("rep"), "s").mapInArrow(_prefixes(threshold, _common(sets)), f"rep {kind}, t bigint, place int, n int")
+    need = F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-6)
+    room = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    met = (F.col("a.t") == F.col("b.t")) & (F.col("a.rep") < F.col("b.rep")) & (room >= need)
+    pairs = stored(prefix.alias("a").join(prefix.alias("b"), met).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst")).distinct())
+    a, b = reps.select(F.col("key").alias("src"), F.col("s").alias("x")), reps.select(F.col("key").alias("dst"), F.col("s").alias("y"))
+    a = a.join(pairs.select("src").distinct(), "src", "left_semi")
+    b = b.join(pairs.select("dst").distinct(), "dst", "left_semi")
     j = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
-    return pairs.join(a, "src").join(b, "dst").select("src", "dst", j.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return pairs.join(a, "src").join(b, "dst").select("src", "dst", j.alias("jaccard")).where(F.col("jaccard") >= threshold).distinct()  # repeated rows of a least key

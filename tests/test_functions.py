@@ -167,6 +167,30 @@ def test_minhash_pairs_of_a_large_cluster(spark):
     assert kept == {0, 201, 202, 203}
 
 
+def test_jaccard_pairs_meet_by_rare_shingles(spark, monkeypatch):
+    """Texts that share a common passage alone are no candidates; pairs equal all pairs, however many shingles are counted."""
+    import random
+
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join([*passage, *(f"u{i}_{j}" for j in range(80))])) for i in range(60)]
+    rows += [(100 + i, " ".join([w if rng.random() > 0.02 * (i % 3) else f"v{i}" for w in t.split()])) for i, t in rows]
+    rows += [rows[0], (300, rows[1][1]), (301, ""), (302, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    grams = {}
+    for i, t in rows:
+        w = (t or "").split()
+        grams.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else None, i)
+    sets = [(i, g) for g, i in grams.items() if g]
+    want = sorted((a, b) for a, x in sets for b, y in sets if a < b and len(x & y) / len(x | y) >= 0.7)
+    made, real = [], S.stored
+    for counted in (4000, 3):
+        monkeypatch.setattr(S, "COUNTED", counted)
+        monkeypatch.setattr(S, "stored", lambda x: made.append(real(x)) or made[-1])
+        assert want and sorted((r["src"], r["dst"]) for r in S.jaccard_pairs(df, "id", "text").collect()) == want
+        assert made[-1].columns == ["src", "dst"] and (counted == 3 or made[-1].count() < 3 * len(want))
+
+
 def test_external_never_loses_rows(spark):
     df = spark.createDataFrame([(1, "p"), (2, None)], "id int, t string")
 
