@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .stored import stored
+from .stored import stored, stored_by
 
 #: Sets of one task that are compared pair by pair.
 CELL = 4000
@@ -277,16 +277,17 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, n: int = 5, threshold: flo
     on if sizes and places leave room for the overlap that it needs, which holds at the first shingle that a pair at the
     threshold shares. Only sets with such a pair are sent for, and every pair is verified."""
     kind = df.schema[key].dataType.simpleString()
-    sets = stored(df.select(key, text).mapInArrow(_signatures(n, 1, 1), f"key {kind}, {SIGNED}").select("key", "s", "digest"))
-    least = stored(sets.groupBy("digest").agg(F.min("key").alias("key")).select("key", "digest"))
-    reps = sets.join(least, ["key", "digest"], "left_semi")
+    sets = stored_by(df.select(key, text).mapInArrow(_signatures(n, 1, 1), f"key {kind}, {SIGNED}").select("key", "s", "digest"), "key")
+    least = stored(sets.groupBy("digest").agg(F.min("key").alias("rep")).select("rep", F.xxhash64("digest").alias("d")))
+    # by the key alone, as the sets are dealt; a key that is repeated has several digests
+    reps = sets.join(least.hint("shuffle_hash"), (F.col("key") == F.col("rep")) & (F.col("d").bitwiseXOR(F.xxhash64("digest")) == 0), "left_semi")
     prefix = reps.select(F.col("key").alias("rep"), "s").mapInArrow(_prefixes(threshold, _common(sets)), f"rep {kind}, t bigint, place int, n int")
     need = F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-6)
     room = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
     met = (F.col("a.t") == F.col("b.t")) & (F.col("a.rep") < F.col("b.rep")) & (room >= need)
     pairs = stored(prefix.alias("a").join(prefix.alias("b"), met).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst")).distinct())
     a, b = reps.select(F.col("key").alias("src"), F.col("s").alias("x")), reps.select(F.col("key").alias("dst"), F.col("s").alias("y"))
-    a = a.join(pairs.select("src").distinct(), "src", "left_semi")
-    b = b.join(pairs.select("dst").distinct(), "dst", "left_semi")
+    a = a.join(pairs.select("src").distinct().hint("shuffle_hash"), "src", "left_semi")
+    b = b.join(pairs.select("dst").distinct().hint("shuffle_hash"), "dst", "left_semi")
     j = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
     return pairs.join(a, "src").join(b, "dst").select("src", "dst", j.alias("jaccard")).where(F.col("jaccard") >= threshold).distinct()  # repeated rows of a least key

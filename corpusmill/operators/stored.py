@@ -9,6 +9,10 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether Spark deletes a query's shuffle files when the query ends, not only when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only where that is unset and executors are threads of this machine (tests)."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
@@ -33,5 +37,19 @@ def scratch(spark: SparkSession, name: str = "table") -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder. A lost executor repeats nothing that lies before it."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    before = df.sparkSession.conf.get(CLEANUP, None)
+    df.sparkSession.conf.set(CLEANUP, "true")  # nothing reads the write's shuffle files later
+    try:
+        df.write.parquet(path)
+    finally:
+        df.sparkSession.conf.unset(CLEANUP) if before is None else df.sparkSession.conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_by(df: DataFrame, key: str) -> DataFrame:
+    """The same, dealt to buckets by key: joins by it alone shuffle the other side only. The catalog forgets the table at once; its files stay."""
+    spark, table = df.sparkSession, f"corpusmill_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", scratch(spark)).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
