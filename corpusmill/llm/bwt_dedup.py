@@ -391,9 +391,15 @@ def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     body = np.ones(n, bool)
     body[ends] = False
     symbols[body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-    rank, span = symbols.copy(), 1
     left = np.repeat(ends, size + 1) - np.arange(n)  # symbols before the end marker
-    order = np.argsort(rank, kind="stable")
+    key, span = symbols.copy(), 7  # symbols have 9 bits: the first 7 fit one number
+    for k in range(1, span):
+        key <<= 9
+        key[:-k] |= np.where(left[:-k] >= k, symbols[k:], 0)
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]).astype(np.int64)]))
     while span < WINDOW:
         far = np.minimum(np.arange(n) + span, n - 1)
         second = np.where(left >= span, rank[far], 0)
@@ -407,6 +413,14 @@ def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return last.astype(np.uint16), order
 
 
+def _bytes_if_few(x: np.ndarray) -> np.ndarray:
+    """Numbers with the same order in the narrowest type that holds as many distinct values: a stable sort of 8 or 16 bits is one or two counting passes, of wider types a merge sort."""
+    seen = np.zeros(int(x.max(initial=0)) + 1, bool)
+    seen[x] = True
+    code = np.cumsum(seen) - 1
+    return code.astype(np.min_scalar_type(int(code[-1])))[x]
+
+
 def interleave(transforms: list[np.ndarray], depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Merge transforms by interleave refinement. Returns (shard of each place of the merged transform, first round whose prefixes differ from the place before: the common prefix of two neighbours is one less; 0 where they agree up to `depth`).
 
@@ -416,11 +430,10 @@ def interleave(transforms: list[np.ndarray], depth: int = WINDOW) -> tuple[np.nd
     """
     sizes = [len(t) for t in transforms]
     n = sum(sizes)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.int32), sizes)
+    shard = np.repeat(np.arange(len(transforms), dtype=np.min_scalar_type(max(0, len(transforms) - 1))), sizes)
     parted = np.zeros(n, np.int16)  # round in which a boundary before the place appeared
-    group = np.zeros(n, np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.concatenate(transforms) if transforms else np.zeros(0, np.uint16)
+    group = np.zeros(n, np.int32 if n < 1 << 31 else np.int64)
+    flat = _bytes_if_few(np.concatenate(transforms)) if n else np.zeros(0, np.uint16)
     for h in range(1, depth + 1):
         # the symbol at each place of the present interleave, taken from its shard in that shard's order
         by_shard = np.argsort(shard, kind="stable")
@@ -431,10 +444,9 @@ def interleave(transforms: list[np.ndarray], depth: int = WINDOW) -> tuple[np.nd
         new = np.concatenate([[True], (s[1:] != s[:-1]) | (g[1:] != g[:-1])]) if n else np.zeros(0, bool)
         parted_now = np.where(new & (parted == 0), h, parted).astype(np.int16)
         settled = h > 1 and np.array_equal(moved, shard) and np.array_equal(parted_now, parted)
-        shard, parted, group = moved, parted_now, np.cumsum(new)
+        shard, parted, group = moved, parted_now, np.cumsum(new, dtype=group.dtype)
         if settled:
             break
-    del starts
     return shard, parted
 
 

@@ -272,6 +272,27 @@ def test_merged_transforms_order_suffixes():
     assert len(set(by.values())) == len(by)
 
 
+def test_interleave_sorts_by_counting(monkeypatch):
+    """Keys of the 50 rounds' stable sorts have at most 16 bits, also where all 256 bytes and the end marker are symbols."""
+    rng = np.random.default_rng(12)
+    shards = [[bytes(rng.permutation(256).astype(np.uint8)) for _ in range(3)] for _ in range(4)]
+    shards[3][1] = shards[0][2][100:170] + shards[3][1]
+    built = [bwt_dedup.transform(t)[0] for t in shards]
+    widths, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, **k: widths.append(x.dtype.itemsize) or sort(x, **k))
+    bwt_dedup.interleave(built)
+    assert widths and max(widths) <= 2
+    monkeypatch.undo()
+    numbers, places = bwt_dedup.intervals(shards)
+    by = {}
+    for texts, n, p in zip(shards, numbers, places, strict=True):
+        for t, at in zip(texts, p, strict=True):
+            for j in range(len(t) - 49):
+                by.setdefault(int(n[at + j]), set()).add(t[j : j + 50])
+    assert all(len(x) == 1 for x in by.values())
+    assert len(by) == len({t[j : j + 50] for texts in shards for t in texts for j in range(len(t) - 49)})
+
+
 # -- 3, the pipeline's stage -------------------------------------------------------
 
 
