@@ -14,6 +14,8 @@ two steps make the pieces:
 
 Pieces repeat, so each distinct piece is encoded once and kept in a bounded memo; ids of a text are the
 concatenation of its pieces' ids.
+
+Where only ids are wanted (packing), whole texts are merged by tiktoken's core, without pieces and memo.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +42,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 MEMO_PIECES = 600_000
 #: Longer pieces aren't kept; pieces up to SHORT bytes (words, as a rule) are merged whole.
 MEMO_BYTES, SHORT = 64, 32
+#: Characters of white space in a row that are merged apart: some hundred thousand overflow the stack of tiktoken's regular expressions.
+LONG_SPACE = 50_000
+#: Fixed: the pattern's \s, which is Unicode's White_Space.
+LONG_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)
 #: Fixed: the letters of the pattern's contractions of more than one letter.
 CONTRACTIONS = (b"re", b"ve", b"ll")
 
@@ -58,6 +63,14 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """Encodes and decodes as the tokenizers library does for a byte-level BPE file with the pattern above, without added special tokens."""
 
@@ -98,17 +111,30 @@ class Encoder:
         else:
             ids = []
             for fragment in self.fragments(key):
-                ids += self.bpe.encode_ordinary(fragment)
-        packed = array("I", ids)
-        if sys.byteorder != "little":
-            packed.byteswap()
-        out = packed.tobytes(), b"".join(map(self.bytes_of.__getitem__, ids))
+                ids += self.ordinary(fragment)
+        out = _packed(ids), b"".join(map(self.bytes_of.__getitem__, ids))
         if len(key) <= MEMO_BYTES:
             if len(self.memo) >= MEMO_PIECES:
                 self.memo.clear()
             self.memo[key] = out
         return out
 
+    def ordinary(self, text: str) -> list[int]:
+        """Ids of a text without added tokens. Long white space is merged on its own: the pattern takes all of it as one pre-token, less its last character if something follows."""
+        if len(text) < LONG_SPACE:
+            return self.bpe.encode_ordinary(text)
+        ids, at = [], 0
+        for m in LONG_SPACES.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            ids += self.bpe.encode_ordinary(text[at : m.start()])
+            ids += self.bpe._encode_single_piece(text[m.start() : end])
+            at = end
+        return ids + self.bpe.encode_ordinary(text[at:])
+
+    def ids(self, text: str) -> bytes:
+        """All ids of the text as little-endian unsigned 32-bit integers, as encode_bytes, merged whole."""
+        return b"".join([_packed([self.added[part]] if special else self.ordinary(part)) for part, special in self._spans(text)])
+
     def fragments(self, piece: bytes) -> list[str]:
         """A piece cut at its forced pairs."""
         b = np.frombuffer(piece, np.uint8)
@@ -152,33 +178,22 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One encoder a Python worker."""
     return Encoder(path)
 
 
-@contextmanager
-def encoder(path: str, forget: bool = False) -> Iterator[Encoder]:
-    """The worker's encoder. With forget its memo ends with the task, for jobs whose workers go on to other stages."""
-    out = _encoder(path)
-    try:
-        yield out
-    finally:
-        if forget:
-            out.memo.clear()
-
-
 def encode_documents(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, ids array<int>, decoded string. A null text counts as empty; repeated rows are encoded each; no shuffle."""
     path = path or default_path()
 
     def run(batches):
-        with encoder(path) as enc:
-            for b in batches:
-                got = [enc.encode_bytes(t or "") for t in b.column(1).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x[0]) // 4 for x in got], dtype=np.int64)]).astype(np.int32)
-                flat = np.frombuffer(b"".join(x[0] for x in got), "<u4").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([x[1].decode("utf-8", "replace") for x in got], pa.string())], ["id", "ids", "decoded"])
+        enc = encoder(path)
+        for b in batches:
+            got = [enc.encode_bytes(t or "") for t in b.column(1).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x[0]) // 4 for x in got], dtype=np.int64)]).astype(np.int32)
+            flat = np.frombuffer(b"".join(x[0] for x in got), "<u4").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([x[1].decode("utf-8", "replace") for x in got], pa.string())], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(lean(run), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_column)
@@ -194,15 +209,15 @@ def encoding_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         sha = hashlib.sha256
-        with encoder(path) as enc:
-            for b in batches:
-                n, ids, dec = [], [], []
-                for t in b.column(1).to_pylist():
-                    i, d = enc.encode_bytes(t or "")
-                    n.append(len(i) // 4)
-                    ids.append(sha(i).hexdigest())
-                    dec.append(sha(d.decode("utf-8", "replace").encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc = encoder(path)
+        for b in batches:
+            n, ids, dec = [], [], []
+            for t in b.column(1).to_pylist():
+                i, d = enc.encode_bytes(t or "")
+                n.append(len(i) // 4)
+                ids.append(sha(i).hexdigest())
+                dec.append(sha(d.decode("utf-8", "replace").encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

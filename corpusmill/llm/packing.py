@@ -70,17 +70,17 @@ ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{ITEM}, part long, bin long, offset long, done boolean"
 
 
-def document_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int | None = END_ID, forget: bool = False) -> DataFrame:
-    """Pieces of every row of docs: doc_id, piece, start, length, ids_crc32. Null text: as empty, one piece that holds the end token. forget: see bpe.encoder."""
+def document_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int | None = END_ID) -> DataFrame:
+    """Pieces of every row of docs: doc_id, piece, start, length, ids_crc32. Null text: as empty, one piece that holds the end token."""
     path = path or default_path()
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        with encoder(path, forget) as enc:
-            for b in batches:
-                rows = [(d, k, *p) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, p in enumerate(pieces_of(enc.encode_bytes(t or "")[0] + tail, capacity))]
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc = encoder(path)
+        for b in batches:
+            rows = [(d, k, *p) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, p in enumerate(pieces_of(enc.ids(t or "") + tail, capacity))]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), ITEM)
 
@@ -134,9 +134,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: i
     return sequences
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, forget: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for all rows of docs; see document_pieces and pack_pieces. forget: see bpe.encoder."""
-    return pack_pieces(document_pieces(docs, path, forget=forget))
+def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for all rows of docs; see document_pieces and pack_pieces."""
+    return pack_pieces(document_pieces(docs, path))
 
 
 def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -670,6 +670,24 @@ def test_bpe_equals_the_library(spark, odd, docs, empty):
 # -- 9 ---------------------------------------------------------------------------
 
 
+def test_packing_merges_whole_texts():
+    """Ids for packing take nothing from the memo; long white space, which stopped the encoder, is as in the library."""
+    import tokenizers
+
+    enc = bpe.Encoder(bpe.default_path())
+    library = tokenizers.Tokenizer.from_file(bpe.default_path())
+    library.no_truncation()
+    library.no_padding()
+    odd = ["", " ", "a  b", "it's  we'll\n\n x", "\u3000" * 60000 + "z", " " * 60000, "x" + " \n" * 40000 + "\u00a0 y'll", "\x1c" * 60000 + " k", "é漢 <|endoftext|> 0"]
+    for text in odd:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == want, text[:20]
+    assert not enc.memo
+    long = " " * 1_200_000 + "x"
+    whole = enc.ids(long)
+    assert whole == enc.encode_bytes(long)[0] and enc.decode(np.frombuffer(whole, "<u4").tolist()) == long
+
+
 def test_bpe_forced_pairs_and_unbroken_scripts():
     from tokenizers import Tokenizer
 
