@@ -9,7 +9,8 @@ a whole are boilerplate where LEAST_PAGES pages of the host with different strea
 size; the tokens of open blocks that such runs cover are removed, and the unique runs between them stay. Pages with
 equal streams count once, so that copies of a page don't remove each other. A host is dealt to cells of bounded
 bytes, each with its own suffix array, equal streams to the same cell; page counts of equal substrings are summed
-over the cells, so that nothing depends on the deal. Hosts without open blocks need no suffix array.
+over the cells, so that nothing depends on the deal. Every host has its suffix arrays and every page its covered
+tokens, counted in n_boilerplate, whether it has open blocks or not; what structure is certain of comes after them.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_sized, lean, persisted
+from .common import bucketed, join_sized, lean, persisted
 
 #: Tokens of a repeated substring; least distinct pages that hold it.
 RUN, LEAST_PAGES = 12, 3
@@ -175,7 +176,7 @@ class Blocks:
 
 # -- pages ---------------------------------------------------------------------------
 
-PARSED = "page_id long, url string, host string, text string, blocks array<struct<text:string,open:boolean>>, stream binary, sizes binary"
+PARSED = "page_id long, url string, host string, blocks array<struct<text:string,open:boolean>>, stream binary, sizes binary"
 HOST = re.compile(r"://([^/?#]*)")
 
 
@@ -186,7 +187,7 @@ def _tokens(text: str) -> np.ndarray:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages to their text where nothing is open; else to their blocks. stream: token numbers of blocks that aren't text for certain; sizes: tokens of each of those, negative for furniture."""
+    """Pages to their blocks without furniture. stream: token numbers of blocks that aren't text for certain; sizes: tokens of each of those, negative for furniture."""
     for b in batches:
         rows = []
         for page, url, source in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -195,13 +196,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unsure = [(t, s) for t, s in states if s != "text"]
             tokens = [_tokens(t) for t, _ in unsure]
             sizes = np.array([len(x) if s == "open" else -len(x) for x, (_, s) in zip(tokens, unsure, strict=True)], "<i4")
-            open_ = any(s == "open" for _, s in states)
             kept = [{"text": t, "open": s == "open"} for t, s in states if s != "furniture"]
-            text = None if open_ else "\n\n".join(x["text"] for x in kept)
-            rows.append((page, url, host[1].lower() if host else "", text, kept if open_ else None, np.concatenate(tokens).tobytes() if tokens else b"", sizes.tobytes()))
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("text", pa.string()), ("open", pa.bool_())])), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "url", "host", "text", "blocks", "stream", "sizes"])
+            rows.append((page, url, host[1].lower() if host else "", kept, np.concatenate(tokens).tobytes() if tokens else b"", sizes.tobytes()))
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("text", pa.string()), ("open", pa.bool_())])), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "url", "host", "blocks", "stream", "sizes"])
 
 
 def suffix_order(tokens: np.ndarray, depth: int = RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +248,7 @@ def numbers(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _repeats(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a cell: each distinct substring (its number) and the distinct streams that hold it, from intervals of the suffix array."""
+    """Of a cell: each distinct substring (its number) and the distinct streams that hold it, from intervals of the suffix array. Where the host has no other cell, those of LEAST_PAGES streams alone."""
     pages = [layout(t, z) for t, z in dict.fromkeys(zip(pdf["stream"], pdf["sizes"], strict=True))]
     ends = np.cumsum([len(p[0]) for p in pages])
     flat = np.concatenate([p[0] for p in pages])
@@ -265,28 +264,30 @@ def _repeats(key, pdf: pd.DataFrame) -> pd.DataFrame:
     pair = np.unique(interval * np.int64(len(pages)) + page[order])
     count = np.bincount(pair // len(pages))
     first = np.flatnonzero(np.concatenate([[True], ~same]))[: len(count)]
+    if key[2] == 1:
+        first, count = first[count >= LEAST_PAGES], count[count >= LEAST_PAGES]
     return pd.DataFrame({"host": np.full(len(first), key[0]), "number": numbers(flat, order[first]), "pages": count.astype(np.int64)})
 
 
-def _open_places(batches):
-    """(uid, host, number, place, covers) of each substring that starts in an open block."""
+def _places(batches):
+    """(uid, host, number, place, covers) of each substring of a stream, the last two in one number."""
     for b in batches:
+        found = [[np.zeros(0, np.int64)] * 4]
         for uid, host, stream, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
             flat, starts, places, covers = layout(stream, sizes)
-            n = np.frombuffer(sizes, "<i4")
-            at = np.flatnonzero(np.repeat(n > 0, np.abs(n))[places])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), uid, np.int64)), pa.array(np.full(len(at), host, np.int64)), pa.array(numbers(flat, starts[at])), pa.array(places[at].astype(np.int32)), pa.array(covers[at].astype(np.int32))], ["uid", "host", "number", "place", "covers"])
+            found.append([np.full(len(starts), uid), np.full(len(starts), host), numbers(flat, starts), places << 8 | covers])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["uid", "host", "number", "at"])
 
 
 def _settle(batches):
-    """Text of pages with open blocks, without the tokens of open blocks that repeated substrings cover."""
+    """Text of pages, without the tokens of open blocks that repeated substrings cover; n_boilerplate: tokens that they cover in all blocks but those that are text for certain."""
     for b in batches:
         out = []
         for row in b.to_pylist():
             sizes = np.frombuffer(row["sizes"], "<i4").astype(np.int64)
             hit = np.zeros(int(np.abs(sizes).sum()), bool)
             for x in row["places"] or []:
-                hit[x["place"] : x["place"] + x["covers"]] = True
+                hit[x >> 8 : (x >> 8) + (x & 255)] = True
             ends = np.cumsum(np.abs(sizes))
             kept = [~hit[e - n : e] for n, e in zip(sizes.tolist(), ends.tolist(), strict=True) if n > 0]
             texts, k = [], 0
@@ -297,29 +298,26 @@ def _settle(batches):
                     k += 1
                 if text:
                     texts.append(text)
-            out.append((row["page_id"], row["url"], "\n\n".join(texts)))
-        cols = list(zip(*out, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["page_id", "url", "text"])
+            out.append((row["page_id"], row["url"], "\n\n".join(texts), int(hit.sum())))
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "text", "n_boilerplate"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of pages (page_id, url, html).
+    """page_id, url, text, n_boilerplate (see _settle), n_chars of every row of pages (page_id, url, html).
 
     Null or empty html: empty text. Null url, or one without a host: the host ''. Repeated rows give a row each.
     Other columns are ignored. Empty table: empty result. Cut-off pages are read to their end, unclosed elements end
     with what holds them; very long and deeply nested pages are read in one pass.
     """
     parsed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(lean(_parse), PARSED)
-    parsed = persisted(parsed.withColumn("host", F.xxhash64("host")).withColumn("uid", F.monotonically_increasing_id()))
-    settled = parsed.where("blocks is null").select("page_id", "url", "text")
-    open_ = parsed.where("blocks is not null")
-    hosts = persisted(open_.select("host").distinct())
-    own = join_sized(parsed.where("length(stream) > 0").select("host", "stream", "sizes"), hosts, "host", "left_semi", 16)
+    parsed = bucketed(parsed.withColumn("host", F.xxhash64("host")).withColumn("uid", F.monotonically_increasing_id()), "uid")
+    own = parsed.where("length(stream) > 0").select("uid", "host", "stream", "sizes")
     bytes_ = persisted(own.groupBy("host").agg(F.ceil(F.sum(F.length("stream")) / F.lit(CELL_BYTES)).alias("cells")))
-    cells = join_sized(own, bytes_, "host", "inner", 24).withColumn("cell", F.pmod(F.xxhash64("stream", "sizes"), F.col("cells")))
-    counted = cells.select("host", "cell", "stream", "sizes").distinct().groupBy("host", "cell").applyInPandas(_repeats, "host long, number long, pages long")
+    cells = join_sized(own.drop("uid"), bytes_, "host", "inner", 24).withColumn("cell", F.pmod(F.xxhash64("stream", "sizes"), F.col("cells")))
+    counted = cells.distinct().groupBy("host", "cell", "cells").applyInPandas(_repeats, "host long, number long, pages long")
     repeated = persisted(counted.groupBy("host", "number").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= LEAST_PAGES).select("host", "number"))
-    places = open_.select("uid", "host", "stream", "sizes").mapInArrow(lean(_open_places), "uid long, host long, number long, place int, covers int")
-    places = places.join(repeated, ["host", "number"], "left_semi").groupBy("uid").agg(F.collect_list(F.struct("place", "covers")).alias("places"))
-    late = open_.join(places, "uid", "left").select("page_id", "url", "blocks", "sizes", "places").mapInArrow(lean(_settle), "page_id long, url string, text string")
-    return settled.unionByName(late).withColumn("n_chars", F.length("text").cast("long"))
+    places = join_sized(own.mapInArrow(lean(_places), "uid long, host long, number long, at long"), repeated, ["host", "number"], "left_semi", 24)
+    places = places.groupBy("uid").agg(F.collect_list("at").alias("places"))
+    settled = parsed.join(places.hint("shuffle_hash"), "uid", "left").select("page_id", "url", "blocks", "sizes", "places")  # the pages stay in their buckets
+    return settled.mapInArrow(lean(_settle), "page_id long, url string, text string, n_boilerplate long").withColumn("n_chars", F.length("text").cast("long"))

@@ -80,6 +80,16 @@ def test_html_repeats_settle_pages_without_article(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_repeats_are_found_on_every_host(spark):
+    """Pages that structure settles go through the suffix arrays as well; an article's own repeats stay."""
+    notice = "this notice of twelve words stands on each page of the host"
+    rows = [(i, f"http://h.org/{i}", f"<nav>Home News</nav><article><h1>Title {i}</h1><p>{notice}</p></article><aside>{notice} {i}</aside><footer>only {i}</footer>") for i in range(4)]
+    rows.append((9, "http://one.org/", rows[0][2]))
+    got = {r["page_id"]: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i]["text"] == f"Title {i}\n\n{notice}" for i in range(4)) and got[9]["text"] == got[0]["text"]
+    assert [got[i]["n_boilerplate"] for i in (0, 1, 2, 3, 9)] == [14] * 4 + [0]
+
+
 def test_html_nesting_is_linear():
     import time
 
