@@ -20,7 +20,7 @@ import itertools
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, join_sized, lean, persisted
+from .common import bucketed, connected_components, discard, join_sized, lean, persisted
 
 #: Fixed: generator polynomial of the binary Golay code (23, 12, 7).
 GENERATOR = 0b110001110101
@@ -37,10 +37,12 @@ MOST_BITS = 4
 WORDS_A_SHINGLE, SEED = 4, 42
 #: Fingerprints of one key that are compared in one go; a key with more is dealt to cells of blocks.
 MOST_RUN = 4096
-#: Similar texts: least and most bits of a set's sketch; sets in the sample that orders shingles, and least hashes of each.
-LEAST_SKETCH, MOST_SKETCH, SAMPLE, SAMPLE_HASHES = 512, 8192, 2000, 1024
-#: Sets that share an element and are compared in one go (more become candidates of each other as they are), and those compared place by place.
+#: Similar texts: least and most bits of a set's sketch; sets in the sample that orders shingles, least hashes of each, and shingles that so get a place behind the others.
+LEAST_SKETCH, MOST_SKETCH, SAMPLE, SAMPLE_HASHES, COMMON = 512, 8192, 8000, 512, 100_000
+#: Sets that share an element and whose places are compared in one go (of more, all get their sketches), and those compared place by place.
 MOST_SAME, SHORT_RUN = 2048, 8
+#: Bytes of rows with sketches, for each shuffle partition, that are on disk at once: the keys are taken in so many slices.
+SLICE_BYTES = 8 << 20
 #: Shingles of a group of candidates that one task compares; members that all of a larger group meet first; parts of a very common element's rows.
 MOST_SHINGLES, PIVOTS, SALTS = 1_000_000, 3, 64
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -343,15 +345,15 @@ def _sign(words_a_shingle: int, share: float):
                 h = shingle_set(text, words_a_shingle)
                 digest = digest_of(h)
                 taken = zlib.crc32(digest + str(doc_id).encode()) < share * 2**32
-                rows.append((digest, node_of(digest), len(h), np.uint64(majority(h)).astype(np.int64), odd_sketch(h), h[:SAMPLE_HASHES].tobytes() if taken else None))
+                rows.append((digest, node_of(digest), len(h), np.uint64(majority(h)).astype(np.int64), odd_sketch(h), h[:SAMPLE_HASHES].view(np.int64) if taken else None))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["th", "doc_id", *(x.split()[0] for x in SIGNED.split(", ")[2:])])
 
     return run
 
 
-SIGNED = "th long, doc_id long, digest binary, node long, size long, fp long, odd binary, sample binary"
+SIGNED = "th long, doc_id long, digest binary, node long, size long, fp long, odd binary, sample array<long>"
 
 
 def _prefixes(similarity: float, words_a_shingle: int, common: np.ndarray, counts: np.ndarray, salts: int):
@@ -394,7 +396,7 @@ def close_places(starts: np.ndarray, n: int, test) -> tuple[np.ndarray, np.ndarr
 
 
 def _meet(similarity: float, most_run: int):
-    """Over rows (key, salt, node, at) sorted by key, salt, node: (kind, key, node, at). Kind 1: rows that may be similar to another of their key, by sizes and places. Kind 0: rows of salted keys and of keys with over most_run rows, which all become candidates of each other."""
+    """Over rows (key, salt, node, at) sorted by key, salt, node: (kind, key, node, at). Kind 1: rows that may be similar to another of their key, by sizes and places, and all rows of keys with over most_run rows. Kind 0: rows of salted keys, which all become candidates of each other."""
 
     def run(batches):
         held, passing = None, None
@@ -418,8 +420,8 @@ def _meet(similarity: float, most_run: int):
                     passing, held = tuple(rows[:2, -1]), rows[:, -1:]  # its last row stays, to find repeated ones
                 else:
                     held, rows, starts, ends, hot = rows[:, starts[-1] :], rows[:, : starts[-1]], starts[:-1], ends[:-1], hot[:-1]
-            star = np.repeat(hot, ends - starts)
-            useful = np.zeros(rows.shape[1], bool)
+            star = rows[1] > 0
+            useful = np.repeat(hot, ends - starts)
             at = rows[3]
             for places in close_places(starts, rows.shape[1], lambda x, y: may_overlap(at[x], at[y], similarity)):  # noqa: B023
                 useful[places] = True
@@ -437,7 +439,7 @@ def _meet(similarity: float, most_run: int):
 
 
 def _sketched(similarity: float):
-    """Over rows (key, node, at, odd) sorted by key: links (src, dst) of nodes that neither places nor sketches rule out; of a key with many rows a spanning forest."""
+    """Over rows (key, node, at, odd) sorted by key: links (src, dst) of nodes that neither places nor sketches rule out; of a key with many rows a spanning forest, for which a row meets only those of sizes that allow the similarity."""
 
     def run(batches):
         held = None
@@ -469,17 +471,20 @@ def _sketched(similarity: float):
             links = [(first, second)]
             ends = np.append(starts[1:], len(odd))
             for s, e in zip(starts[ends - starts > SHORT_RUN], ends[ends - starts > SHORT_RUN], strict=True):
-                rest, queue = np.arange(s, e), []
+                size = rows[2] >> 32
+                rest, queue = s + np.argsort(size[s:e], kind="stable"), []
                 while len(rest):
                     if not queue:
                         queue, rest = [rest[0]], rest[1:]
                         continue
                     x = queue.pop()
-                    ok = near(rest, np.full(len(rest), x))
+                    i, j = np.searchsorted(size[rest], (similarity * size[x] - 1e-3, size[x] / similarity + 1e-3))
+                    some = rest[i:j]
+                    ok = near(some, np.full(len(some), x))
                     if ok.any():
-                        links.append((np.full(int(ok.sum()), x), rest[ok]))
-                        queue.extend(rest[ok])
-                        rest = rest[~ok]
+                        links.append((np.full(int(ok.sum()), x), some[ok]))
+                        queue.extend(some[ok])
+                        rest = np.concatenate([rest[:i], some[~ok], rest[j:]])
             src, dst = (rows[1, np.concatenate(x)] for x in zip(*links, strict=True))
             if len(src):
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
@@ -655,19 +660,35 @@ def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, similarity:
     return found.unionByName(cells.mapInArrow(check, "src long, dst long"))
 
 
-def _similar(docs: DataFrame, similarity: float, words_a_shingle: int, most_run: int = MOST_SAME, most_shingles: int = MOST_SHINGLES, pivots: int = PIVOTS, salts: int = SALTS) -> DataFrame:
+def _alike(met: DataFrame, nodes: DataFrame, similarity: float, slice_bytes: int) -> DataFrame:
+    """Links (src, dst) of the rows of kind 1. Unrelated texts share more elements the more texts there are, and each such row takes a sketch: the keys go through in slices, by their rows' bytes, and a slice's files are gone before the next."""
+    rows = met.where("kind = 1")
+    sketch = F.greatest(F.lit(LEAST_SKETCH), F.least(F.lit(MOST_SKETCH), F.shiftright("at", 31))) / 8  # up to twice as many bits as elements
+    partitions = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(1, -int(-(rows.agg(F.sum(sketch + 24)).first()[0] or 0) // (slice_bytes * partitions)))
+    found = []
+    for i in range(slices):
+        runs = rows.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == i).select("key", "node", "at")
+        runs = runs.join(nodes.select("node", "odd"), "node").select("key", "node", "at", "odd")
+        found.append(persisted(runs.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_sketched(similarity)), "src long, dst long").distinct()))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _similar(docs: DataFrame, similarity: float, words_a_shingle: int, most_run: int = MOST_SAME, most_shingles: int = MOST_SHINGLES, pivots: int = PIVOTS, salts: int = SALTS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(th, doc_id, group) of every row of docs; th: the hash of its text. See similar_texts."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     share = min(1.0, SAMPLE / max(1, docs.count()))
     rows = docs.select(text.alias("text"), F.xxhash64(text).alias("th"), F.col("doc_id").cast("long").alias("doc_id"))
     signed = persisted(rows.mapInArrow(lean(_sign(words_a_shingle, share)), SIGNED))
     nodes = signed.groupBy("digest").agg(F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("node", "size", "fp", "odd")])
-    nodes = persisted(nodes.withColumn("id", F.monotonically_increasing_id()))
+    nodes = bucketed(nodes.withColumn("id", F.monotonically_increasing_id()).repartition("node"), "node")
 
     # an order that puts what the sample has often last; any order finds all pairs
-    taken = [np.frombuffer(r[0], "<u8") for r in signed.where("sample is not null").select("sample").limit(2 * SAMPLE).collect()]
-    common, counts = np.unique(np.concatenate([np.zeros(0, "<u8"), *taken]), return_counts=True)
-    common, counts = common[counts > 1], counts[counts > 1]
+    several = persisted(signed.where("sample is not null").select(F.explode("sample").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON))
+    taken = several.toArrow()
+    common, counts = taken["h"].to_numpy().view("<u8"), taken["n"].to_numpy()
+    common, counts = common[np.argsort(common)], counts[np.argsort(common)]
+    discard(several)
 
     # candidates by the method: fingerprints at most MOST_BITS apart
     first = persisted(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")))
@@ -681,8 +702,7 @@ def _similar(docs: DataFrame, similarity: float, words_a_shingle: int, most_run:
     keys = rows.select("text").mapInArrow(lean(_prefixes(similarity, words_a_shingle, common, counts, salts)), "key long, salt int, node long, at long")
     met = persisted(keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(lean(_meet(similarity, most_run)), "kind int, key long, node long, at long"))
     same = met.where("kind = 0").select(F.col("node").alias("src"), F.col("key").alias("dst"))
-    runs = met.where("kind = 1").select("key", "node", "at").join(nodes.select("node", "odd"), "node").select("key", "node", "at", "odd")
-    alike = runs.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_sketched(similarity)), "src long, dst long")
+    alike = _alike(met, nodes, similarity, slice_bytes)
     groups = connected_components(equal.unionByName(golay).unionByName(same).unionByName(alike))
     discard(met, first)
 

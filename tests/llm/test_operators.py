@@ -434,6 +434,29 @@ def test_similar_texts_equal_all_pairs(spark, bounds):
     assert len(set(want[:150])) > 140 and len(set(want)) < len(want) - 100
 
 
+@pytest.mark.parametrize("bounds", [{"most_run": 16, "slice_bytes": 4000}, {"slice_bytes": 4000}])
+def test_similar_texts_of_a_frequent_element_stay_apart(spark, monkeypatch, bounds):
+    """Unrelated texts don't become one group of candidates by an element that many have, however the keys are sliced."""
+    rng = np.random.default_rng(12)
+    passage = [f"p{x}" for x in range(104)]
+    texts = [passage + [f"o{x}" for x in rng.integers(0, 1 << 40, 100)] for _ in range(40)]  # pairwise about a third
+    texts += [edited(rng, w, 3) for w in texts[:5]]
+    seen, verified, persisted = [], simhash_golay._verified, simhash_golay.persisted
+
+    def spied(docs, nodes, groups, *rest):
+        seen.append({r["node"]: r["component"] for r in groups.collect()})
+        return verified(docs, nodes, groups, *rest)
+
+    written = []
+    monkeypatch.setattr(simhash_golay, "_verified", spied)
+    monkeypatch.setattr(simhash_golay, "persisted", lambda df, *a: written.append(df.columns) or persisted(df, *a))
+    monkeypatch.setattr(simhash_golay, "SAMPLE", 0)  # no order by a sample, as for elements that it misses
+    got = simhash_golay.similar_texts(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"), **bounds)
+    assert [r["component_id"] for r in got.orderBy("doc_id").collect()] == list(range(40)) + list(range(5))
+    assert len(seen[0]) == 10 and len(set(seen[0].values())) == 5
+    assert written.count(["src", "dst"]) > 1
+
+
 def test_keep_one_judges_rows(spark):
     a, b = " ".join(f"a{x}" for x in range(60)), " ".join(f"b{x}" for x in range(60))
     rows = [(1, a, "x", 1), (2, a, "x", 2), (2, b, "x", 3), (2, b, "y", 4), (None, b, "x", 5), (7, None, "x", 6), (8, "", "y", 7), (9, "c", "z", 8)]
