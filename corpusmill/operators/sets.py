@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .overlap import MOST_SAME, SLICE_BYTES, alike, digest_of, meet, node_of, odd_sketch
 from .stored import stored, stored_by
 
 #: Sets of one task that are compared pair by pair.
@@ -169,8 +170,8 @@ def minhash_pairs(df: DataFrame, key: str, text: str, n: int = 5, permutations:
     return found.unionByName(copies_)
 
 
-def _compare(threshold: float, spanning: bool):
-    """All pairs of a cell's sets at the threshold, or enough of them to connect the similar sets."""
+def _compare(threshold: float, spanning: bool, columns: tuple[str, str, str] = ("src", "dst", "jaccard")):
+    """All pairs of a cell's sets at the threshold, or enough of them to connect the similar sets; in each the greater key first."""
     import numpy as np
     import pandas as pd
 
@@ -195,7 +196,7 @@ def _compare(threshold: float, spanning: bool):
                     continue
                 out.append((reps[y], reps[x], float(jaccard[y - x - 1])))
                 root[root == root[y]] = root[x]
-        return pd.DataFrame(out, columns=["src", "dst", "jaccard"])
+        return pd.DataFrame(out, columns=columns)
 
     return run
 
@@ -232,62 +233,117 @@ def near_dedup(df: DataFrame, key: str, text: str, n: int = 5, permutations: int
 
 #: Sets whose shingles are counted for the order of prefixes, and shingles that so get a place behind the others.
 COUNTED, COMMON = 4000, 200_000
+#: Links whose ends are sent to all tasks that read texts; the ends of more are joined by a shuffle of the texts.
+FEW = 65_000
 
 
-def _common(sets: DataFrame) -> tuple[list[int], list[int]]:
+def _grams(text: str | None, n: int):
+    """The sorted hashes of a text's distinct word n-grams, as _signatures takes them; none without words."""
+    import numpy as np
+    import xxhash
+
+    words = (text or "").lower().split()
+    return np.sort(np.array([xxhash.xxh64_intdigest(g) for g in {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}] if words else [], np.uint64))
+
+
+def _described(n: int, share: float):
+    """Batches (key, text) to (key, digest, node, odd, sample): the set's digest, name and sketch, and of a share of the rows the set. Rows without words are left out."""
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            at, rows = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                if len(h := _grams(text, n)):
+                    digest = digest_of(h)
+                    at.append(i)
+                    rows.append((digest, node_of(digest), odd_sketch(h), h.view(np.int64) if zlib.crc32(digest) < share * 2**32 else None))
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["key", "digest", "node", "odd", "sample"])
+
+    return run
+
+
+def _common(signed: DataFrame) -> tuple[list[int], list[int]]:
     """Shingles that several of a bounded number of sets have, and how many. They set the order of the prefixes, never what is compared in the end."""
-    counted = sets.orderBy(F.xxhash64("digest")).limit(COUNTED).select(F.explode("s").alias("t")).groupBy("t").count().where("count > 1")
-    rows = counted.orderBy(F.desc("count"), "t").limit(COMMON).collect()
+    sample = signed.where("sample is not null").limit(2 * COUNTED).groupBy("digest").agg(F.first("sample").alias("s"))
+    rows = sample.select(F.explode("s").alias("t")).groupBy("t").count().where("count > 1").orderBy(F.desc("count"), "t").limit(COMMON).collect()
     return [r["t"] for r in rows], [r["count"] for r in rows]
 
 
-def _prefixes(threshold: float, common: tuple[list[int], list[int]]):
-    """Batches (rep, s) to the rows (rep, t, place, n) of each set's prefix, rare shingles first."""
+def _prefixes(threshold: float, n: int, common: tuple[list[int], list[int]]):
+    """Batches (text) to the rows (key, salt, node, at) of the prefix of every set that the task hasn't met, rare shingles first; at: size << 32 | place."""
     import math
 
     import numpy as np
     import pyarrow as pa
 
-    order = np.argsort(np.array(common[0], np.int64))
-    shingle, count = np.array(common[0], np.int64)[order], np.array(common[1], np.int64)[order]
+    shingle, count = np.array(common[0], np.int64).view(np.uint64), np.array(common[1], np.int64)
+    shingle, count = shingle[order := np.argsort(shingle)], count[order]
+
+    def run(batches):
+        seen = set()
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                held = []
+                for text in b.column(0).slice(i, 500).to_pylist():
+                    t = _grams(text, n)
+                    if not len(t) or (digest := digest_of(t)) in seen:
+                        continue
+                    seen.add(digest)
+                    k, size = len(t) - math.ceil(threshold * len(t) - 1e-9) + 1, len(t)
+                    if len(shingle):
+                        at = np.minimum(np.searchsorted(shingle, t), len(shingle) - 1)
+                        t = t[np.argsort(np.where(shingle[at] == t, count[at], 0), kind="stable")]
+                    held.append((t[:k].view(np.int64), np.full(k, node_of(digest), np.int64), size << 32 | np.arange(k)))
+                if held:
+                    key, node, at = (np.concatenate(x) for x in zip(*held, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(key), np.int32)), pa.array(node), pa.array(at)], ["key", "salt", "node", "at"])
+
+    return run
+
+
+def _sets_of(n: int):
+    """Batches (root, blocks, rep, digest, text) to (root, blocks, rep, s); texts of another digest, under a repeated key, are left out."""
+    import numpy as np
+    import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            reps, out, places, sizes = [], [], [], []
-            for i, s in enumerate(b.column(1)):
-                t = np.sort(s.values.to_numpy(zero_copy_only=False))
-                if len(shingle):
-                    at = np.minimum(np.searchsorted(shingle, t), len(shingle) - 1)
-                    t = t[np.argsort(np.where(shingle[at] == t, count[at], 0), kind="stable")]
-                k = len(t) - math.ceil(threshold * len(t) - 1e-9) + 1
-                reps.append(np.full(k, i))
-                out.append(t[:k])
-                places.append(np.arange(k, dtype=np.int32))
-                sizes.append(np.full(k, len(t), np.int32))
-            if reps:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(reps))), *(pa.array(np.concatenate(x)) for x in (out, places, sizes))], ["rep", "t", "place", "n"])
+            for i in range(0, b.num_rows, 500):
+                some = b.slice(i, 500)
+                found = [(k, h.view(np.int64)) for k, (d, t) in enumerate(zip(some.column(3).to_pylist(), some.column(4).to_pylist(), strict=True)) if digest_of(h := _grams(t, n)) == d]
+                some = some.take(pa.array([k for k, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array([h for _, h in found], pa.list_(pa.int64()))], ["root", "blocks", "rep", "s"])
 
     return run
 
 
-def jaccard_pairs(df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.7) -> DataFrame:
+def jaccard_pairs(df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.7, most_run: int = MOST_SAME, slice_bytes: int = SLICE_BYTES, cell: int = CELL) -> DataFrame:
     """All pairs (src < dst) of distinct shingle sets, each by its least key, whose Jaccard similarity is at least the
     threshold. Exact: in a common order of the shingles, two such sets share one of the first
-    size - ceil(threshold * size) + 1 of either, so only these prefixes are joined, rare shingles first; a pair goes
-    on if sizes and places leave room for the overlap that it needs, which holds at the first shingle that a pair at the
-    threshold shares. Only sets with such a pair are sent for, and every pair is verified."""
+    size - ceil(threshold * size) + 1 of either, so only these prefixes meet, rare shingles first. Sets that sizes,
+    places and sketches don't rule out are linked to candidate groups; their sets alone are sent, once for a group (or a
+    cell of it, beyond `cell` sets), and every pair is verified there. Rows with sketches are taken in slices of keys."""
     kind = df.schema[key].dataType.simpleString()
-    sets = stored_by(df.select(key, text).mapInArrow(_signatures(n, 1, 1), f"key {kind}, {SIGNED}").select("key", "s", "digest"), "key")
-    least = stored(sets.groupBy("digest").agg(F.min("key").alias("rep")).select("rep", F.xxhash64("digest").alias("d")))
-    # by the key alone, as the sets are dealt; a key that is repeated has several digests
-    reps = sets.join(least.hint("shuffle_hash"), (F.col("key") == F.col("rep")) & (F.col("d").bitwiseXOR(F.xxhash64("digest")) == 0), "left_semi")
-    prefix = reps.select(F.col("key").alias("rep"), "s").mapInArrow(_prefixes(threshold, _common(sets)), f"rep {kind}, t bigint, place int, n int")
-    need = F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-6)
-    room = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    met = (F.col("a.t") == F.col("b.t")) & (F.col("a.rep") < F.col("b.rep")) & (room >= need)
-    pairs = stored(prefix.alias("a").join(prefix.alias("b"), met).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst")).distinct())
-    a, b = reps.select(F.col("key").alias("src"), F.col("s").alias("x")), reps.select(F.col("key").alias("dst"), F.col("s").alias("y"))
-    a = a.join(pairs.select("src").distinct().hint("shuffle_hash"), "src", "left_semi")
-    b = b.join(pairs.select("dst").distinct().hint("shuffle_hash"), "dst", "left_semi")
-    j = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
-    return pairs.join(a, "src").join(b, "dst").select("src", "dst", j.alias("jaccard")).where(F.col("jaccard") >= threshold).distinct()  # repeated rows of a least key
+    share = min(1.0, COUNTED / max(1, df.count()))
+    signed = stored(df.select(key, text).mapInArrow(_described(n, share), f"key {kind}, digest binary, node long, odd binary, sample array<long>"))
+    nodes = stored_by(signed.groupBy("digest").agg(F.min("key").alias("rep"), *[F.first(c).alias(c) for c in ("node", "odd")]), "node")
+    prefix = df.select(text).mapInArrow(_prefixes(threshold, n, _common(signed)), "key long, salt int, node long, at long")
+    met = stored(prefix.repartition("key").sortWithinPartitions("key", "salt", "node").mapInArrow(meet(threshold, most_run), "kind int, key long, node long, at long"))
+    found = alike(met, nodes, threshold, slice_bytes, stored).where("src != dst")
+    roots = components(found)
+    links = stored(found.distinct())
+    members = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(roots, "node").join(nodes, "node").select("root", "rep", "digest")
+    members = members.join(members.groupBy("root").agg(F.ceil(F.count("*") / F.lit(cell / 2)).cast("int").alias("blocks")), "root")
+    few = F.broadcast(members) if links.limit(FEW + 1).count() <= FEW else members
+    texts = df.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(few, "rep").select("root", "blocks", "rep", "digest", "text")
+    sets = texts.mapInArrow(_sets_of(n), f"root long, blocks int, rep {kind}, s array<bigint>")
+    dealt = sets.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "s")
+    pairs = cells.groupBy("root", "i", "j").applyInPandas(_compare(threshold, False, ("dst", "src", "jaccard")), f"dst {kind}, src {kind}, jaccard double")
+    return pairs.where("src < dst").select("src", "dst", "jaccard").distinct()  # repeated rows of a least key

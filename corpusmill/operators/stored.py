@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,22 +36,30 @@ def scratch(spark: SparkSession, name: str = "table") -> str:
     return f"{shared_dir(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside go with the write: nothing reads them later."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder. A lost executor repeats nothing that lies before it."""
     path = scratch(df.sparkSession)
-    before = df.sparkSession.conf.get(CLEANUP, None)
-    df.sparkSession.conf.set(CLEANUP, "true")  # nothing reads the write's shuffle files later
-    try:
+    with _cleaned(df.sparkSession):
         df.write.parquet(path)
-    finally:
-        df.sparkSession.conf.unset(CLEANUP) if before is None else df.sparkSession.conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stored_by(df: DataFrame, key: str) -> DataFrame:
     """The same, dealt to buckets by key: joins by it alone shuffle the other side only. The catalog forgets the table at once; its files stay."""
     spark, table = df.sparkSession, f"corpusmill_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", scratch(spark)).saveAsTable(table)
+    with _cleaned(spark):
+        df.repartition(key).write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", scratch(spark)).saveAsTable(table)
     out = spark.table(table)
     spark.sql(f"DROP TABLE {table}")
     return out

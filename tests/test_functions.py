@@ -191,6 +191,31 @@ def test_jaccard_pairs_meet_by_rare_shingles(spark, monkeypatch):
         assert made[-1].columns == ["src", "dst"] and (counted == 3 or made[-1].count() < 3 * len(want))
 
 
+@pytest.mark.parametrize("bounds", [{}, {"most_run": 8, "slice_bytes": 4000, "cell": 6}])
+def test_jaccard_pairs_send_sets_once(spark, monkeypatch, bounds):
+    """Unrelated texts that share prefix elements are ruled out by sketches; no pair's sets are joined to the pair."""
+    import random
+
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([*passage, *(f"u{i}_{j}" for j in range(60))])) for i in range(40)]
+    near = [f"n{i}" for i in range(100)]
+    rows += [(100 + i, " ".join([w if rng.random() > 0.02 else f"x{i}" for w in near])) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    grams = {}
+    for i, t in rows:
+        grams.setdefault(frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)), i)
+    sets = [(i, g) for g, i in grams.items()]
+    want = sorted((a, b, round(len(x & y) / len(x | y), 9)) for a, x in sets for b, y in sets if a < b and len(x & y) / len(x | y) >= 0.7)
+    made, real = [], S.stored
+    monkeypatch.setattr(S, "COUNTED", 0)  # no order by a sample, as for shingles that it misses
+    monkeypatch.setattr(S, "stored", lambda x: made.append(real(x)) or made[-1])
+    got = S.jaccard_pairs(df, "id", "text", **bounds)
+    assert want and sorted((r["src"], r["dst"], round(r["jaccard"], 9)) for r in got.collect()) == want
+    assert made[-1].columns == ["src", "dst"] and made[-1].count() <= len(want)
+    assert not [x for x in made if {"x", "y", "s"} & set(x.columns)]
+
+
 def test_external_never_loses_rows(spark):
     df = spark.createDataFrame([(1, "p"), (2, None)], "id int, t string")
 
